@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from mnemora.runtime import durable
 
 #: Tables, width of a slot in units of distance on the unit sphere, classes a bucket should hold, functions a table at most.
-TABLES, WIDTH, BUCKET, FUNCTIONS_MOST = 5, 2.0, 64, 16
+TABLES, WIDTH, BUCKET, FUNCTIONS_MOST = 8, 3.0, 48, 24
 #: Perturbed buckets a table at most, and the chance to find the k-th neighbour at which visiting ends.
-PROBES, CHANCE = 160, 0.97
+PROBES, CHANCE = 160, 0.92
 #: Members of one bucket that one task holds at once; larger buckets are split into blocks, each of which meets all queries.
 BLOCK = 4096
+#: What a row does in its block.
+MEMBER, MEMBER_ASKS, ASKS = 0, 1, 2
 #: Split buckets up to which their list is broadcast; beyond it is joined.
 SPLIT_MOST = 20_000
 
@@ -163,7 +165,7 @@ def _probing(bounded: DataFrame, h: Hashing, width: int) -> DataFrame:
     return bounded.select("k", "vec", "low").mapInArrow(run, "t int, bucket long, k long, vec array<float>, low double")
 
 
-def _compare(members: DataFrame, queries: DataFrame, split: DataFrame, few: bool, width: int, top: int) -> DataFrame:
+def _compare(members: DataFrame, queries: DataFrame | None, split: DataFrame, few: bool, width: int, top: int) -> DataFrame:
     """``(k, other, sim)``: for each query its ``top`` most similar members of each bucket block, other than itself, above its bound.
 
     ``split(t, bucket, blocks)`` lists the buckets with more than BLOCK members. Their members are dealt out to blocks and
@@ -171,13 +173,17 @@ def _compare(members: DataFrame, queries: DataFrame, split: DataFrame, few: bool
     """
     hint = F.broadcast if few else (lambda x: x)
     blocks = F.coalesce("blocks", F.lit(1))
-    members = members.join(hint(split), ["t", "bucket"], "left").select(
-        "t", "bucket", F.pmod(F.xxhash64("k"), blocks).cast("int").alias("block"), F.lit(False).alias("asks"), "k", "vec", F.lit(0.0).alias("low")
-    )
-    queries = queries.join(hint(split), ["t", "bucket"], "left").select(
-        "t", "bucket", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"), F.lit(True).alias("asks"), "k", "vec", "low"
-    )
-    both = members.unionByName(queries).repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "asks")
+    own = F.pmod(F.xxhash64("k"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
+    members = members.join(hint(split), ["t", "bucket"], "left")
+    if queries is None:  # the members ask, each in one row unless its bucket is split
+        both = members.select("t", "bucket", every.alias("block"), own.alias("own"), "k", "vec", F.lit(-2.0).alias("low"))
+        both = both.select("t", "bucket", "block", F.when(F.col("block") == F.col("own"), F.lit(MEMBER_ASKS)).otherwise(F.lit(ASKS)).alias("role"), "k", "vec", "low")
+    else:
+        held = members.select("t", "bucket", own.alias("block"), F.lit(MEMBER).alias("role"), "k", "vec", F.lit(0.0).alias("low"))
+        asking = queries.join(hint(split), ["t", "bucket"], "left").select("t", "bucket", every.alias("block"), F.lit(ASKS).alias("role"), "k", "vec", "low")
+        both = held.unionByName(asking)
+    both = both.repartition("t", "bucket", "block").sortWithinPartitions("t", "bucket", "block", "role")
 
     def answer(held: list[tuple[np.ndarray, np.ndarray]], k: np.ndarray, x: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([a for a, _ in held])
@@ -198,22 +204,31 @@ def _compare(members: DataFrame, queries: DataFrame, split: DataFrame, few: bool
             yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(ids[cols]), pa.array(exact)], ["k", "other", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        group, held, waiting = None, [], []
+
+        def members_ask() -> Iterator[pa.RecordBatch]:
+            for part in waiting:
+                yield from answer(held, *part)
+            waiting.clear()
+
         for b in batches:
             if not b.num_rows:
                 continue
-            t, bucket, block = (b.column(i).to_numpy() for i in range(3))
-            asks = b.column(3).to_numpy(zero_copy_only=False)
-            k, low = b.column(4).to_numpy(), b.column(6).to_numpy()
-            x = _unit(_matrix(b.column(5), width))
-            cuts = np.nonzero((np.diff(t) != 0) | (np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(np.int8)) != 0))[0] + 1
+            t, bucket, block, role, k = (b.column(i).to_numpy() for i in range(5))
+            low, x = b.column(6).to_numpy(), _unit(_matrix(b.column(5), width))
+            cuts = np.nonzero((np.diff(t) != 0) | (np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0))[0] + 1
             for i, j in zip([0, *cuts], [*cuts, len(t)]):
                 if (now := (t[i], bucket[i], block[i])) != group:
+                    yield from members_ask()
                     group, held = now, []
-                if not asks[i]:
+                if role[i] != ASKS:
                     held.append((k[i:j], x[i:j]))
-                elif held:
+                if role[i] == MEMBER_ASKS:
+                    waiting.append((k[i:j], x[i:j], low[i:j]))
+                elif role[i] == ASKS and held:
+                    yield from members_ask()
                     yield from answer(held, k[i:j], x[i:j], low[i:j])
+        yield from members_ask()
 
     return both.mapInArrow(run, "k long, other long, sim double")
 
@@ -239,13 +254,13 @@ def nearest(rows: DataFrame, id_col: str = "id", vec_col: str = "embedding", wid
     heads = durable(named.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1))
     classes = durable(heads.where("at = 1").select(F.monotonically_increasing_id().alias("k"), "class", "vec"))
     n = classes.count()
-    functions = min(FUNCTIONS_MOST, ceil(log2(n / BUCKET) * 0.85)) if n > BLOCK else 0
+    functions = min(FUNCTIONS_MOST, ceil(log2(n / BUCKET))) if n > BLOCK else 0
     h = Hashing(width, functions, tables)
     top = k + 1
-    entries = durable(_entries(classes, h, width))
+    entries = _entries(classes, h, width)  # made anew where it is read, which costs less than to keep it
     split = durable(entries.groupBy("t", "bucket").count().where(F.col("count") > BLOCK).select("t", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     few = split.count() <= SPLIT_MOST
-    home = durable(_best(_compare(entries, entries.withColumn("low", F.lit(-2.0)), split, few, width, top), top))
+    home = durable(_best(_compare(entries, None, split, few, width, top), top))
     low = home.groupBy("k").agg(F.min("sim").alias("sim"), F.count("*").alias("n"))
     bounded = classes.join(low, "k", "left").select("k", "vec", F.when(F.col("n") >= top, F.col("sim")).otherwise(F.lit(0.0)).alias("low"))
     more = _compare(entries, _probing(bounded, h, width), split, few, width, top)
