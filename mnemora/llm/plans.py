@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("components_queries", "tokens_queries", "packing_queries", "neighbors_queries", "splitting_queries", "sentences_queries")
+_MODULES = ("components_queries", "tokens_queries", "packing_queries", "neighbors_queries", "splitting_queries", "sentences_queries", "pairs_queries")
 
 
 def _modules():
