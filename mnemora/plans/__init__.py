@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemora.plans import hierarchy_queries, search_queries, text_queries
+from mnemora.plans import graph_queries, hierarchy_queries, search_queries, text_queries
 
-_MODULES = (hierarchy_queries, text_queries, search_queries)
+_MODULES = (hierarchy_queries, text_queries, search_queries, graph_queries)
 
 
 def queries() -> dict:
