@@ -136,7 +136,7 @@ SQL = {
     "df_prune_terms": X.with_(_TERMS) + r""", words as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) word from documents where text is not null),
 vocab as (select word, list(doc_id) ids from words group by word),
 df as (select t.term, coalesce(len(list_distinct(flatten(list(v.ids)))), 0) df from (select distinct term from terms) t left join vocab v on starts_with(v.word, t.term) group by t.term),
-marked as (select t.question, t.pos, t.term, d.df, d.df <= floor(0.2 * (select count(*) from documents where text is not null)) rare,
+marked as (select t.question, t.pos, t.term, d.df, (d.df <= floor(0.2 * (select count(*) from documents where text is not null)) or (select count(*) from documents where text is not null) <= 100) rare,
   row_number() over (partition by t.question order by t.pos) rn from terms t join df d on t.term = d.term)
 select question, pos::integer pos, term, df::bigint df from (select *, bool_or(rare) over (partition by question) r from marked) where case when r then rare else rn <= 3 end""",
     "evidence_spans": r"""with sq as (select distinct question_id, ground_truth, generated_answer from longmemeval_full)
