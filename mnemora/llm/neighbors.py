@@ -194,9 +194,16 @@ def _compare(members: DataFrame, queries: DataFrame | None, split: DataFrame, fe
             sims = q.astype(np.float32) @ y32.T
             if len(ids) > top + 4:
                 best = np.argpartition(-sims, top + 4, axis=1)[:, : top + 5]
+                rows, cols = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+                last = np.take_along_axis(sims, best, 1).min(1)
+                tied = np.nonzero((sims >= last[:, None] - 3e-7).sum(1) > top + 5)[0]
+                if len(tied):  # single precision can't tell which of them go on
+                    keep = ~np.isin(rows, tied)
+                    more = [(r, _first(q[r], y, ids, own[r], np.nonzero(sims[r] >= last[r] - 3e-7)[0], top)) for r in tied]
+                    rows = np.concatenate([rows[keep], *(np.full(len(c), r) for r, c in more)])
+                    cols = np.concatenate([cols[keep], *(c for _, c in more)])
             else:
-                best = np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
-            rows, cols = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+                rows, cols = np.repeat(np.arange(len(q)), len(ids)), np.tile(np.arange(len(ids)), len(q))
             near = sims[rows, cols] > low[i : i + 512][rows] - 1e-5
             near &= ids[cols] != own[rows]
             rows, cols = rows[near], cols[near]
@@ -233,11 +240,17 @@ def _compare(members: DataFrame, queries: DataFrame | None, split: DataFrame, fe
     return both.mapInArrow(run, "k long, other long, sim double")
 
 
+def _first(q: np.ndarray, y: np.ndarray, ids: np.ndarray, own: int, near: np.ndarray, top: int) -> np.ndarray:
+    """The ``top`` of some members by exact rounded similarity, ties to the smaller number."""
+    near = near[ids[near] != own]
+    return near[np.lexsort((ids[near], -np.round(y[near] @ q, 9)))[:top]]
+
+
 def _best(found: DataFrame, top: int) -> DataFrame:
     """The ``top`` most similar others of each k."""
     # one shuffle by k serves both the grouping and the window
     distinct = found.repartition("k").groupBy("k", "other").agg(F.max("sim").alias("sim"))
-    return distinct.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("sim"), "other"))).where(F.col("at") <= top)
+    return distinct.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(F.desc(F.round("sim", 9)), "other"))).where(F.col("at") <= top)
 
 
 def nearest(rows: DataFrame, id_col: str = "id", vec_col: str = "embedding", width: int = 64, k: int = 10, tables: int = TABLES, chance: float = CHANCE) -> DataFrame:
@@ -252,7 +265,8 @@ def nearest(rows: DataFrame, id_col: str = "id", vec_col: str = "embedding", wid
     # a class keeps its k + 1 smallest ids, which are all that anyone's k nearest may hold of it
     first = Window.partitionBy("class", "vec").orderBy("id")
     heads = durable(named.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1))
-    classes = durable(heads.where("at = 1").select(F.monotonically_increasing_id().alias("k"), "class", "vec"))
+    # numbered in the order of their ids, so that ties by number are ties by id
+    classes = durable(heads.where("at = 1").orderBy("id").select(F.monotonically_increasing_id().alias("k"), "class", "vec"))
     n = classes.count()
     functions = min(FUNCTIONS_MOST, ceil(log2(n / BUCKET))) if n > BLOCK else 0
     h = Hashing(width, functions, tables)

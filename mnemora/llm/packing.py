@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from mnemora.runtime import durable
 
-#: Extra worth of a token in an item of the whole capacity: long items, which are hard to place, go first.
-LARGER = 0.3
+#: Extra worth of a token in an item of the whole capacity, by which long items go first: each is tried until the
+#: containers are full to FULL, else the plan of the fewest containers is taken.
+LARGER, FULL = (0.3, 3.0), 0.995
 #: Rows of one length that one task ranks, about.
 RANKED = 200_000
 
@@ -49,7 +50,7 @@ def _knapsack(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity:
     return uses
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int = 2500, rate: float = 0.5, priced: int = 128) -> list[tuple[np.ndarray, float]]:
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, larger: float = LARGER[0], steps: int = 2500, rate: float = 0.5, priced: int = 128) -> list[tuple[np.ndarray, float]]:
     """Contents and how often to use each so that every length's demand is met, or nearly.
 
     A length's weight shrinks by a constant power of the share of its demand that a step meets. ``priced`` is how many
@@ -64,11 +65,11 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int
         if not need.any():
             break
         weight = np.where(need > 0, np.exp(4 * rate * (need - need.max())), 0.0)
-        chosen = np.lexsort((rng.random(len(sizes)) - LARGER * sizes / capacity, -np.round(weight, 2)))[:priced]
+        chosen = np.lexsort((rng.random(len(sizes)) - larger * sizes / capacity, -np.round(weight, 2)))[:priced]
         chosen = chosen[need[chosen] > 0]
         open_ = np.maximum(np.ceil(counts[chosen] * need[chosen]), 1)
         uses = np.zeros(len(sizes), np.int64)
-        uses[chosen] = _knapsack(sizes[chosen], open_, sizes[chosen] * weight[chosen] * (1 + LARGER * sizes[chosen] / capacity), capacity)
+        uses[chosen] = _knapsack(sizes[chosen], open_, sizes[chosen] * weight[chosen] * (1 + larger * sizes[chosen] / capacity), capacity)
         held = uses > 0
         step = max(1.0, rate * float(np.min(counts[held] * need[held] / uses[held])))
         met = met + uses * step / counts
@@ -78,6 +79,20 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, steps: int
 
 def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Contents (uses by size) and numbers of containers that hold exactly ``counts`` items of each of the ascending sizes."""
+    best: list[tuple[np.ndarray, int]] = []
+    fewest = 0
+    for larger in LARGER:
+        made = _rounded(sizes, counts, capacity, larger)
+        n = sum(t for _, t in made)
+        if not best or n < fewest:
+            best, fewest = made, n
+        if not n or sizes @ counts / (fewest * capacity) >= FULL:
+            break
+    return best
+
+
+def _rounded(sizes: np.ndarray, counts: np.ndarray, capacity: int, larger: float) -> list[tuple[np.ndarray, int]]:
+    """The fractional program's contents in whole containers, and what is left over packed by length, longest first."""
     left, made = counts.astype(np.int64).copy(), []
 
     def use(uses: np.ndarray, times: int) -> None:
@@ -88,7 +103,7 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.
             made.append((uses, times))
 
     if len(sizes):
-        for uses, x in sorted(fractional(sizes, counts.astype(np.float64), capacity), key=lambda p: (-int(sizes @ p[0]), -p[1])):
+        for uses, x in sorted(fractional(sizes, counts.astype(np.float64), capacity, larger), key=lambda p: (-int(sizes @ p[0]), -p[1])):
             use(uses, int(x))
     while left.any():
         uses, room = np.zeros(len(sizes), np.int64), capacity
