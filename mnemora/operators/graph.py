@@ -225,9 +225,11 @@ def relevance(edges: DataFrame, entities: DataFrame, seeds: DataFrame, at: str,
     pairs = [(a, b, v) for (x, y), v in AFFINITY.items() for a, b in {(x, y), (y, x)}]
     table = entities.sparkSession.createDataFrame(pairs, "seed_type string, type string, v double")
     seed_types = entities.join(seeds, "id", "left_semi").groupBy(F.col("type").alias("seed_type")).agg(F.count("*").alias("k"))
-    kinds = entities.select("type").distinct().join(F.broadcast(seed_types), F.lit(True)).join(F.broadcast(table), ["seed_type", "type"], "left")  # a few types
-    affinity = kinds.groupBy("type").agg((F.sum(F.coalesce("v", F.lit(1.0)) * F.col("k")) / F.sum("k")).alias("type_affinity"))
-    rows = candidates.join(common, "id", "left").join(entities.where("article_path <> ''").select("id", "type"), "id").join(F.broadcast(affinity), "type", "left").na.fill(0.0)
+    seeds_in_all = seed_types.agg(F.sum("k")).first()[0] or 1
+    # pairs that aren't listed count 1, so that only the listed ones' differences from it need a join
+    affinity = seed_types.join(table, "seed_type").groupBy("type").agg((F.sum(F.col("k") * (F.col("v") - 1)) / F.lit(float(seeds_in_all))).alias("off"))
+    rows = candidates.join(common, "id", "left").join(entities.where("article_path <> ''").select("id", "type"), "id").join(affinity, "type", "left").na.fill(0.0)
+    rows = rows.withColumn("type_affinity", 1 + F.col("off"))
     score = sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(0.0))
     return rows.select("id", F.round(score, 6).alias("score"), *(F.round(c, 6).alias(c) for c in weights)).orderBy(F.desc("score"), "id").limit(limit)
 
@@ -270,7 +272,7 @@ def blocks(entities: DataFrame, name_tokens: Column, share: float = 0.05, floor:
     """
     words = entities.select("id", "type", F.explode(F.array_distinct(name_tokens)).alias("w"))
     size = entities.groupBy("type").agg(F.count("*").alias("n"))
-    rare = words.groupBy("type", "w").agg(F.count("*").alias("df")).join(F.broadcast(size), "type").where(F.col("df") <= F.greatest(F.lit(floor), F.floor(F.col("n") * share))).where("df > 1")
+    rare = words.groupBy("type", "w").agg(F.count("*").alias("df")).join(size, "type").where(F.col("df") <= F.greatest(F.lit(floor), F.floor(F.col("n") * share))).where("df > 1")
     told = words.join(rare.select("type", "w"), ["type", "w"])
     return told.alias("x").join(told.alias("y"), ["type", "w"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemora.plans import corpus_queries, event_queries, graph_queries, hierarchy_queries, search_queries, text_queries
+from mnemora.plans import corpus_queries, event_queries, graph_queries, hierarchy_queries, more_queries, search_queries, text_queries
 
-_MODULES = (hierarchy_queries, text_queries, search_queries, graph_queries, corpus_queries, event_queries)
+_MODULES = (hierarchy_queries, text_queries, search_queries, graph_queries, corpus_queries, event_queries, more_queries)
 
 
 def queries() -> dict:
