@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once a session, as theirs may not find it where the driver does."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mnemora_shipped", False):
+        return
+    root = Path(__file__).parent
+    to = Path(tempfile.mkdtemp(prefix="mnemora-")) / "mnemora_package.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(to))  # Spark serves it to all executors
+    sc._mnemora_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
     sc = spark.sparkContext
