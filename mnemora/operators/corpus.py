@@ -122,16 +122,18 @@ def lint(docs: DataFrame, known: DataFrame, now: str, stale_days: int = 90) -> D
 def independence(confirmations: DataFrame) -> DataFrame:
     """``(output, independence, n)``: mean Jaccard distance over pairs of an output's confirmations ``(output, confirmation, chunk)``.
 
-    0 with fewer than two. Distances come from counts of shared chunks, so that only pairs that share one are made; the rest have 1.
+    0 with fewer than two. Confirmations of equal chunks are one class with a weight, so that copies make no pairs; classes
+    pair only where they share a chunk, the rest have distance 1.
     """
-    c = confirmations.distinct()
-    size = c.groupBy("output", "confirmation").agg(F.count("*").alias("size"))
-    n = size.groupBy("output").agg(F.count("*").alias("n"))
-    shared = c.alias("x").join(c.alias("y"), ["output", "chunk"]).where("x.confirmation < y.confirmation").groupBy("output", F.col("x.confirmation").alias("a"), F.col("y.confirmation").alias("b")).agg(F.count("*").alias("both"))
-    sized = shared.join(size.select("output", F.col("confirmation").alias("a"), F.col("size").alias("sa")), ["output", "a"]).join(size.select("output", F.col("confirmation").alias("b"), F.col("size").alias("sb")), ["output", "b"])
-    near = sized.groupBy("output").agg(F.sum(F.col("both") / (F.col("sa") + F.col("sb") - F.col("both"))).alias("near"))
+    sets = confirmations.groupBy("output", "confirmation").agg(F.sort_array(F.collect_set("chunk")).alias("l"))
+    classes = sets.groupBy("output", "l").agg(F.count("*").alias("m")).withColumn("c", F.xxhash64(F.col("l")))
+    n = classes.groupBy("output").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("equal"))
+    c = classes.select("output", "c", "m", F.size("l").alias("size"), F.explode("l").alias("chunk"))
+    x, y = c.alias("x"), c.alias("y")
+    shared = x.join(y, ["output", "chunk"]).where("x.c < y.c").groupBy("output", F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.m").alias("ma"), F.col("y.m").alias("mb"), F.col("x.size").alias("sa"), F.col("y.size").alias("sb")).agg(F.count("*").alias("both"))
+    near = shared.groupBy("output").agg(F.sum(F.col("ma") * F.col("mb") * F.col("both") / (F.col("sa") + F.col("sb") - F.col("both"))).alias("near"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return n.join(near, "output", "left").select("output", F.round(F.when(F.col("n") < 2, 0.0).otherwise(1 - F.coalesce("near", F.lit(0.0)) / pairs), 6).alias("independence"), "n")
+    return n.join(near, "output", "left").select("output", F.round(F.when(F.col("n") < 2, 0.0).otherwise(1 - (F.coalesce("near", F.lit(0.0)) + F.col("equal")) / pairs), 6).alias("independence"), "n")
 
 
 def strict_sum(value: Column) -> Column:

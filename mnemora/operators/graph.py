@@ -265,16 +265,23 @@ def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select(F.array_join("path", ">").alias("path"), F.size("path").alias("edges"))
 
 
-def blocks(entities: DataFrame, name_tokens: Column, share: float = 0.05, floor: int = 20) -> DataFrame:
-    """``(a, b)``, a < b: entities of one type with a telling word in common: one that few names of the type have.
+def blocks(entities: DataFrame, name_tokens: Column, floor: int = 20, share: float = 0.0) -> DataFrame:
+    """``(a, b)``, a < b: entities of one type with a telling word in common: one that few different names of the type have.
 
-    Few means at most the larger of ``floor`` and a share of the type; a word's pairs are hence bounded by that.
+    Few means at most ``floor``, or a share of the type's names if that is more; with a share, pairs grow faster than names.
+    Entities of the same words are one class, named by its smallest id, so that copies make no pairs; see name_classes().
     """
-    words = entities.select("id", "type", F.explode(F.array_distinct(name_tokens)).alias("w"))
-    size = entities.groupBy("type").agg(F.count("*").alias("n"))
+    words = name_classes(entities, name_tokens).select("class", "type", "words").distinct().select("class", "type", F.explode("words").alias("w"))
+    size = words.groupBy("type").agg(F.countDistinct("class").alias("n"))
     rare = words.groupBy("type", "w").agg(F.count("*").alias("df")).join(size, "type").where(F.col("df") <= F.greatest(F.lit(floor), F.floor(F.col("n") * share))).where("df > 1")
     told = words.join(rare.select("type", "w"), ["type", "w"])
-    return told.alias("x").join(told.alias("y"), ["type", "w"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return told.alias("x").join(told.alias("y"), ["type", "w"]).where("x.class < y.class").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def name_classes(entities: DataFrame, name_tokens: Column) -> DataFrame:
+    """``(id, type, words, class)``: the smallest id of the type with the same set of words."""
+    rows = entities.select("id", "type", F.sort_array(F.array_distinct(name_tokens)).alias("words"))
+    return rows.join(rows.groupBy("type", "words").agg(F.min("id").alias("class")), ["type", "words"])
 
 
 def elect(members: DataFrame, key: str) -> DataFrame:
@@ -327,10 +334,28 @@ def pick_level(communities: DataFrame, least: int = 3) -> DataFrame:
     return per.agg(F.coalesce(F.max(F.when(F.col("n") >= 2, F.col("level"))), F.max("level"), F.lit(-1)).alias("level"))
 
 
-def related(pairs: DataFrame, most: int = 8) -> DataFrame:
-    """``(concept, other, shared, rank)`` of distinct ``(concept, source)``: the concepts that share most sources, ties by name."""
-    both = pairs.alias("x").join(pairs.alias("y"), "source").where("x.concept <> y.concept").groupBy(F.col("x.concept").alias("concept"), F.col("y.concept").alias("other")).agg(F.count("*").alias("shared"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("shared"), "other"))).where(F.col("rank") <= most)
+def related(pairs: DataFrame, most: int = 8, large: int = 500) -> DataFrame:
+    """``(concept, other, shared, rank)`` of distinct ``(concept, source)``: the concepts that share most sources, ties by name.
+
+    Sources of up to ``large`` concepts make pairs. Larger ones don't: pairs found otherwise count them by their sets of large
+    sources; for concepts that share large ones only, those of one set are a class, of which the first ``most`` + 1 names are
+    all that any list may need.
+    """
+    pairs = durable(pairs.distinct())
+    size = pairs.groupBy("source").agg(F.count("*").alias("n"))
+    small = pairs.join(size.where(F.col("n") <= large).select("source"), "source", "left_semi")
+    wide = durable(pairs.join(size.where(F.col("n") > large).select("source"), "source", "left_semi").groupBy("concept").agg(F.sort_array(F.collect_set("source")).alias("wide")))
+    both = small.alias("x").join(small.alias("y"), "source").where("x.concept <> y.concept").groupBy(F.col("x.concept").alias("concept"), F.col("y.concept").alias("other")).agg(F.count("*").alias("shared"))
+    both = both.join(wide, "concept", "left").join(wide.select(F.col("concept").alias("other"), F.col("wide").alias("w2")), "other", "left")
+    both = both.select("concept", "other", (F.col("shared") + F.coalesce(F.size(F.array_intersect("wide", "w2")), F.lit(0))).alias("shared"))
+    first = F.row_number().over(Window.partitionBy("wide").orderBy("concept"))
+    named = durable(wide.withColumn("at", first).where(F.col("at") <= most + 1).select("wide", F.col("concept").alias("other")))
+    sets = wide.select("wide").distinct().withColumn("s", F.explode("wide"))
+    near = sets.alias("x").join(sets.alias("y"), "s").groupBy(F.col("x.wide").alias("wide"), F.col("y.wide").alias("w2")).agg(F.count("*").alias("shared"))
+    lists = near.join(named.withColumnRenamed("wide", "w2"), "w2").withColumn("at", F.row_number().over(Window.partitionBy("wide").orderBy(F.desc("shared"), "other"))).where(F.col("at") <= most + 1)
+    only = wide.join(lists.select("wide", "other", "shared"), "wide").where("concept <> other").select("concept", "other", "shared")
+    rows = both.unionByName(only).groupBy("concept", "other").agg(F.max("shared").alias("shared"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("shared"), "other"))).where(F.col("rank") <= most)
 
 
 def stated_relations(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.runtime import durable
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in double precision."""
@@ -54,19 +57,17 @@ def quantized(rows: DataFrame, key: str, column: str = "embedding") -> DataFrame
     return unit.select(key, F.transform("v", lambda x: F.round(x / F.lit(scale)).cast("int")).alias("codes"), F.lit(scale).alias("scale"))
 
 
-def queries_against_all(queries: DataFrame, rows: DataFrame, key: str, least: float, column: str = "embedding", block: int = 256) -> DataFrame:
+def queries_against_all(queries: DataFrame, rows: DataFrame, key: str, least: float, column: str = "embedding", block: int = 2048) -> DataFrame:
     """``(a, b, score)`` with cosine of at least ``least`` between a stated set of queries and all other rows.
 
-    The queries are shared in blocks of ``block`` vectors, so that each scan of the rows holds a bounded set.
+    The queries are shared in blocks of about ``block`` vectors, by hash, so that each scan of the rows holds a bounded set.
     """
-    asked = queries.select(F.col(key).alias("a"), normalized(F.col(column)).alias("q")).orderBy("a").collect()  # the stated set
+    asked = durable(queries.select(F.col(key).alias("a"), normalized(F.col(column)).alias("q")))
+    blocks = max(1, -(-asked.count() // block))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
     unit = rows.select(F.col(key).alias("b"), normalized(F.col(column)).alias("v"))
-    out = None
-    for i in range(0, len(asked), block):
-        part = rows.sparkSession.createDataFrame(asked[i : i + block], "a string, q array<double>")
-        found = unit.join(F.broadcast(part), F.col("a") != F.col("b")).select("a", "b", dot(F.col("q"), F.col("v")).alias("score")).where(F.col("score") >= least)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else unit.select(F.col("b").alias("a"), "b", F.lit(0.0).alias("score")).where(F.lit(False))
+    parts = (unit.join(F.broadcast(asked.where(F.col("block") == i).drop("block")), F.col("a") != F.col("b")) for i in range(blocks))
+    return reduce(DataFrame.unionByName, (p.select("a", "b", dot(F.col("q"), F.col("v")).alias("score")).where(F.col("score") >= least) for p in parts))
 
 
 def near_duplicates(pairs: DataFrame, never: Column) -> DataFrame:

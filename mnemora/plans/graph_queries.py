@@ -150,7 +150,7 @@ _NAME = r"[^\p{L}\p{Nd}]+"
 def alias_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "entities").where("id is not null and type is not null and name is not null").groupBy("id").agg(F.max("type").alias("type"), F.max("name").alias("name"))
     tokens = F.filter(F.split(F.lower(F.regexp_replace("name", _NAME, " ")), " "), lambda w: F.length(w) >= 2)
-    return graph.blocks(e, tokens, 0.01, 20)
+    return graph.blocks(e, tokens, 60)
 
 
 def elect_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,8 +275,8 @@ SQL = {
     "functional_supersession": X.with_(X.RELATIONS, "k as (select source_id, target_id keep, valid_from since from relations where relation = 'optimizes' qualify row_number() over (partition by source_id order by valid_from desc, confidence desc, target_id) = 1)")
     + "select r.source_id, r.target_id, r.valid_from, case when r.target_id <> keep then greatest(since, r.valid_from) else r.valid_to end valid_to from relations r join k on r.source_id = k.source_id where relation = 'optimizes'",
     "alias_blocks": rf"""with e as (select id, max(type) as type, max(name) as name from entities where id is not null and type is not null and name is not null group by id),
-      w as (select distinct id, type, unnest(list_filter(str_split(lower(regexp_replace(name, '{_NAME}', ' ', 'g')), ' '), lambda x: length(x) >= 2)) w from e), n as (select type, count(*) n from e group by type),
-      rare as (select w.type, w.w from w join n on w.type = n.type group by w.type, w.w, n.n having count(*) <= greatest(20, floor(n.n * 0.01)))
+      l as (select id, type, list_sort(list_distinct(list_filter(str_split(lower(regexp_replace(name, '{_NAME}', ' ', 'g')), ' '), lambda x: length(x) >= 2))) l from e),
+      c as (select type, l, min(id) id from l group by type, l), w as (select id, type, unnest(l) w from c), rare as (select type, w from w group by type, w having count(*) <= 60)
       select distinct x.id a, y.id b from w x join rare r on x.type = r.type and x.w = r.w join w y on x.type = y.type and x.w = y.w where x.id < y.id""",
     "elect_canonical": X.with_(_COMP, recursive=True) + "select component, e.id canonical_id from comp c join (select distinct id, article_path, created_at from entities where id is not null) e on c.id = e.id qualify row_number() over (partition by component order by coalesce(article_path, '') <> '' desc, coalesce(created_at, '') desc, e.id) = 1",
     "community_input": X.with_(X.RELATIONS, X.GRAPH_ENTITIES, _CEDGES) + "select relation, count(*) edges, count(distinct source_id) sources from cedges group by relation",

@@ -76,3 +76,20 @@ def test_stated_relations_and_blocks(spark):
     assert {tuple(r) for r in graph.stated_relations(d, "id", "text").collect()} == {("d", "A", "extends"), ("d", "C", "extends")}
     e = spark.createDataFrame([("1", "t", "graph store"), ("2", "t", "graph index"), ("3", "u", "graph"), ("4", "t", None)], "id string, type string, name string")
     assert [tuple(r) for r in graph.blocks(e, F.split("name", " ")).collect()] == [("1", "2")]
+
+
+def test_related_counts_large_sources_without_their_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = {(f"c{i:03}", s) for i in range(60) for s in rng.sample(range(40), 3)} | {(f"c{i:03}", 100 + s) for i in range(60) for s in range(3) if rng.random() < 0.6} | {(f"d{i:02}", 100) for i in range(12)}
+    df = spark.createDataFrame(sorted(rows), "concept string, source int")
+    of = {}
+    for c, s in rows:
+        of.setdefault(c, set()).add(s)
+    want = set()
+    for c in of:
+        best = sorted(((-len(of[c] & of[o]), o) for o in of if o != c and of[c] & of[o]))[:8]
+        want |= {(c, o, -n, i + 1) for i, (n, o) in enumerate(best)}
+    for large in (500, 10):
+        assert {(r.concept, r.other, r.shared, r["rank"]) for r in graph.related(df, large=large).collect()} == want
