@@ -93,7 +93,7 @@ def pieces(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content
         raise ValueError("overlap must be less than limit")
     texts = oversized(chunks, id_col, text_col, limit, heading_col, start_col, end_col)
     room = limit - overlap
-    least = max(1, room // 4)
+    least = max(1, room // 4, min(overlap, room))  # so that what a piece repeats stands in the one before
     marks = boundaries(texts, id_col, text_col).groupBy(id_col, "of").agg(F.sort_array(F.collect_list("boundary")).alias("marks"))
     # natural boundaries split the text into parts; parts are joined greedily by a bounded expression over marked text
     mark = "\\uFDD0"
@@ -103,22 +103,20 @@ def pieces(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content
     # a quantified class and no quantified group, as the latter would take the stack; a mark takes the room of a character
     run = f"[\\s\\S]{{{least},{room}}}"
     pattern = "|".join((f"{run}(?={mark}|\\z)", f"{run}(?<=[\\r\\n])", f"{run}(?<=[.!?…。！？؟।])(?=\\s|[^\\x00-\\x7f])", f"{run}(?<=\\s)", f"[\\s\\S]{{1,{room}}}"))
-    cut = texts.select(
-        id_col, "of", text_col, heading_col, start_col, end_col,
-        F.posexplode(F.regexp_extract_all(F.array_join(parts, "\ufdd0"), F.lit(pattern), F.lit(0))).alias("piece", "marked"),
-    )
-    sized = cut.withColumn("size", F.length(F.regexp_replace("marked", mark, ""))).drop("marked")
-    order = Window.partitionBy(id_col, "of").orderBy("piece")
-    placed = sized.withColumn("from", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    back = F.least(F.lit(overlap), F.col("from"))
-    tail = F.substring(F.col(text_col), F.col("from") - back + 1, back)
-    # lookback: from the first word that starts in the overlap, or all of it where no word does
-    skip = F.when(back < F.col("from"), F.length(F.regexp_extract(tail, "\\A\\S*\\s+(?=\\S)", 0))).otherwise(0)
-    start = (F.col("from") - back + skip).cast("int")
-    fits = F.col(end_col) - F.col(start_col) == F.length(text_col)
-    out = placed.withColumn("start", start).withColumn("end", (F.col("from") + F.col("size")).cast("int"))
-    return out.select(
-        id_col, "piece", heading_col, "start", "end",
-        F.when(fits, F.col(start_col) + F.col("start")).alias("place_start"), F.when(fits, F.col(start_col) + F.col("end")).alias("place_end"),
-        F.substring(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start")).alias("content"),
-    )
+    marked = F.regexp_extract_all(F.array_join(parts, "\ufdd0"), F.lit(pattern), F.lit(0))
+    cut = texts.withColumn("cut", F.transform(marked, lambda x: F.translate(x, "\ufdd0", "")))
+    ends = F.aggregate("cut", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+    cut = cut.withColumn("ends", ends)
+
+    def piece(x: Column, i: Column) -> Column:
+        start = F.get("ends", i)
+        tail = F.when(i > 0, F.right(F.get("cut", i - 1), F.lit(overlap))).otherwise("") if overlap else F.lit("")
+        # lookback: from the first word that starts in the overlap, or all of it where no word does
+        kept = F.when(F.length(tail) < start, F.regexp_replace(tail, "\\A\\S*\\s+(?=\\S)", "")).otherwise(tail)
+        return F.struct(i.alias("piece"), (start - F.length(kept)).alias("start"), F.get("ends", i + 1).alias("end"), F.concat(kept, x).alias("text"))
+
+    # a text that holds the mark itself, which no character is, is cut from the original
+    own = F.when(F.contains(text_col, F.lit("\ufdd0")), F.col(text_col)).alias("own")
+    out = cut.select(id_col, heading_col, start_col, own, (F.col(end_col) - F.col(start_col) == F.length(text_col)).alias("fits"), F.explode(F.transform("cut", piece)).alias("p"))
+    place = lambda c: F.when(F.col("fits"), F.col(start_col) + F.col(f"p.{c}"))
+    return out.select(id_col, "p.piece", heading_col, "p.start", "p.end", place("start").alias("place_start"), place("end").alias("place_end"), F.coalesce(F.substring(F.col("own"), F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), F.col("p.text")).alias(text_col))
