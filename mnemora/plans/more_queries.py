@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.functions import text as T
 from mnemora.operators import fusion, graph, links, vectors
 from mnemora.plans import fixtures as X
 from mnemora.plans import graph_queries as G
 from mnemora.plans import search_queries as S
 from mnemora.runtime import table
+from mnemora.sources import code, files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +96,57 @@ def lint_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(~F.arrays_overlap("x", "y")).select("a", "b", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (wikilinks_sanitized, wikilinks_stripped, triples_normalized, semantic_dedup, ego_graph, rerank_candidates, hydrated_top10, workspace_status, query_hits, lint_connections)}
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.content_hash(F.col("text")).alias("hash"), F.octet_length("text").alias("bytes"))
+
+
+#: Signals of types by file names and words.
+SIGNALS = [{"type": "minutes", "names": ["meeting", "minutes"]}, {"type": "graph", "words": ["graph leg", "entity graph", "backlink"], "least": 2}, {"type": "code", "pattern": "```python"}]
+
+
+def source_path_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of documents by their first 500 characters and path, and the language of code by the extension."""
+    d = table(spark, sf_dir, "documents")
+    head = F.coalesce(F.substring("text", 1, 500), F.lit(""))
+    path = F.coalesce("source_path", F.lit(""))
+    rows = d.select(files.signalled_type(path, head, SIGNALS).alias("type"), files.source_type(path).alias("by_extension"), files.ignored(path, ["*.txt", "inbox"]).alias("ignored"), code.language(path).alias("language"))
+    return rows.groupBy("type", "by_extension", "ignored", "language").agg(F.count("*").alias("docs"))
+
+
+def filler_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a sentence put before them that is filler, which goes again."""
+    d = _docs(spark, sf_dir).where(r"text rlike '\\w'")
+    clean = T.without_filler_sentences(F.concat(F.lit("In summary, it works.\n"), F.col("text")))
+    return d.select("doc_id", F.contains(F.lower(clean), F.lit("in summary")).alias("left"), F.length(clean).alias("chars"))
+
+
+def trusted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of which every third is an output; those of a tier under 2 are confirmed."""
+    top = S.bm25_list(spark, sf_dir, limit=30)
+    n = F.regexp_extract("id", "([0-9]+)", 1).cast("long")
+    rows = top.select(F.when(n % 3 == 0, F.concat(F.lit("output:"), n.cast("string"))).otherwise(F.col("id")).alias("doc_id"), "score")
+    sure = X.items(spark, sf_dir).where("tier < 2").select(F.concat(F.lit("output:"), F.col("doc_id").cast("string")).alias("doc_id"))
+    return fusion.trusted(rows, sure, None)
+
+
+QUERIES = {f.__name__: f for f in (content_hashes, source_path_types, filler_stripped, trusted_results)} | {f.__name__: f for f in (wikilinks_sanitized, wikilinks_stripped, triples_normalized, semantic_dedup, ego_graph, rerank_candidates, hydrated_top10, workspace_status, query_hits, lint_connections)}
 
 _LINKS = r"""names as (select lower(name) k, min(id) id from entities where name is not null and id is not null group by 1),
 parts as (select doc_id, generate_subscripts(l, 1) pos, unnest(l) part from (select doc_id, str_split(regexp_replace(text, '(\[\[[^\]]+\]\])', chr(1) || '\1' || chr(1), 'g'), chr(1)) l from documents where text is not null)),
 solved as (select p.*, regexp_full_match(part, '\[\[[^\]]+\]\]') is_link, n.id, substring(part, 3, length(part) - 4) t from parts p left join names n on regexp_full_match(part, '\[\[[^\]]+\]\]') and lower(split_part(substring(part, 3, length(part) - 4), '|', 1)) = n.k)"""
 _PAIR = "pairs as (select a.id a, b.id b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) s from vectors a, vectors b where regexp_extract(a.id, '([0-9]+)', 1)::bigint % 100 = 0 and a.id <> b.id)"
 
+_TYPE = "case " + " ".join(f"when lower(regexp_extract(p, '\\.([^./]+)$', 1)) in ({', '.join(repr(x) for x in exts.split())}) then '{t}'" for t, exts in files.TYPES.items()) + " else 'article' end"
+_LANG = "case " + " ".join(f"when lower(regexp_extract(p, '\\.([^./]+)$', 1)) in ({', '.join(repr(x) for x in v[0].split())}) then '{t}'" for t, v in code.LANGUAGES.items()) + " end"
+
 SQL = {
+    "content_hashes": "select doc_id, 'sha256:' || sha256(text) hash, octet_length(encode(text))::integer bytes from documents where text is not null",
+    "source_path_types": f"""with d as (select coalesce(source_path, '') p, coalesce(substring(text, 1, 500), '') h from documents), e as (select *, lower(regexp_extract(p, '([^/]*)$', 1)) n, lower(h) l from d)
+      select case when contains(n, 'meeting') or contains(n, 'minutes') then 'minutes' when contains(l, 'graph leg')::integer + contains(l, 'entity graph')::integer + contains(l, 'backlink')::integer >= 2 then 'graph' when contains(h, '```python') then 'code' else {_TYPE} end as type,
+        {_TYPE} by_extension, ends_with(lower(p), '.txt') or contains('/' || p || '/', '/inbox/') ignored, {_LANG} as language, count(*) docs from e group by all""",
+    "trusted_results": X.with_(X.ENTRIES, X.ITEMS, S._DOC, "r as (select case when regexp_extract(k, '([0-9]+)', 1)::bigint % 3 = 0 then 'output:' || regexp_extract(k, '([0-9]+)', 1) else k end doc_id, score from doc where rank <= 30)")
+    + "select doc_id, score from r where not starts_with(doc_id, 'output:') or doc_id in (select 'output:' || doc_id from items where tier < 2)",
+    "filler_stripped": "select doc_id, contains(lower(text), 'in summary') as left, length(text)::integer + 1 chars from documents where regexp_matches(text, '\\w')",
     "wikilinks_sanitized": X.with_(_LINKS) + "select doc_id, md5(string_agg(case when is_link and id is not null then case when id = t then '[[' || id || ']]' else '[[' || id || '|' || split_part(t, '|', -1) || ']]' end else part end, '' order by pos)) digest from solved group by doc_id",
     "wikilinks_stripped": X.with_(_LINKS) + "select doc_id, md5(string_agg(case when is_link and id is null then split_part(t, '|', -1) else part end, '' order by pos)) digest from solved group by doc_id",
     "triples_normalized": """with a as (select distinct trim(' ' || alias) source, trim(canonical_id) target, array_to_string(str_split(reason, ' ')[1:2], ' ') w, confidence * 1.2 confidence, created_at pos, left(entity_type, 1) || left(created_at, 10) doc from entity_aliases),
