@@ -98,21 +98,27 @@ def canonical(aliases: DataFrame, most: int = 32) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(id, component)`` of links ``(a, b)``: the smallest id reached in any direction.
 
-    Labels fall to the smallest label of the neighbours and then to their label's label, until none falls.
+    Alternates two steps until neither changes an edge: every id links its larger neighbours to the smallest id around it, and
+    then its smaller neighbours and itself to the smallest of these. What is left are stars around the components' smallest ids.
     """
-    edges = durable(both_ways(links.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"))).distinct())
-    labels = durable(edges.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")))
-    rows = edges.count()
-    while rows:
-        near = lookup_join(edges.withColumnRenamed("other", "key"), labels.withColumnRenamed("id", "key"), "key", rows=rows).groupBy("id").agg(F.min("component").alias("near"))
-        lower = durable(labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old")))
-        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = lookup_join(lower, jump, "component", "left", rows=rows).select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old")
-        step = durable(step)
-        labels = step.drop("old")
-        if step.where("component < old").isEmpty():
+    pairs = links.where("a is not null and b is not null")
+    edges = durable(pairs.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("other")).distinct())
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("id", "other").cast("decimal(38,0)"))).first())
+    before = mark(edges)
+    while before[0]:
+        around = edges.unionByName(edges.select(F.col("other").alias("id"), F.col("id").alias("other")))
+        least = durable(around.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("m")))
+        large = lookup_join(durable(around.where("other > id")), least, "id", rows=before[0]).select(F.col("other").alias("id"), F.col("m").alias("other"))
+        large = durable(large.where("id <> other").distinct())
+        low = durable(large.groupBy("id").agg(F.min("other").alias("m")))
+        small = lookup_join(large, low, "id", rows=2 * before[0]).where("other <> m").select(F.col("other").alias("id"), F.col("m").alias("other"))
+        edges = durable(small.unionByName(low.select("id", F.col("m").alias("other"))).distinct())
+        if (now := mark(edges)) == before:
             break
-    return labels
+        before = now
+    found = edges.select("id", F.col("other").alias("component"))
+    alone = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(found, "id", "left_anti")
+    return found.unionByName(alone.select("id", F.col("id").alias("component")))
 
 
 def fold_entities(rows: DataFrame) -> DataFrame:

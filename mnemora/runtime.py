@@ -41,10 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, which outlives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cuts the lineage with a reliable checkpoint, which outlives the loss of executors.
+
+    A checkpoint hands on what is known of its columns, and in a loop that knowledge grows with each round until planning takes longer
+    than running; it is hence not gathered.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    was = spark.conf.get(_CONSTRAINTS, "true")
+    spark.conf.set(_CONSTRAINTS, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_CONSTRAINTS, was)
 
 
 def hot_keys(df: DataFrame, key: str, rows: int | None = None, least: int | None = None) -> list:
