@@ -21,10 +21,12 @@ def _hits(tokens: Column, term: str) -> Column:
 
 def counted(docs: DataFrame, key: str, weights: dict[str, float], terms: list[str]) -> DataFrame:
     """``(key, length, tf)``: words of all columns together, and for each term its weighted count of words that start with it."""
-    split = {c: words(F.coalesce(c, F.lit(""))) for c in weights}
-    length = sum((F.size(t) for t in split.values()), F.lit(0))
-    tf = F.array(*(sum((_hits(t, term) * weights[c] for c, t in split.items()), F.lit(0.0)) for term in terms))
-    return docs.select(key, length.alias("length"), tf.alias("tf"))
+    # words in a projection of their own, so that each text is taken apart once however many terms look at it
+    split = docs.select(key, *(words(F.coalesce(c, F.lit(""))).alias(f"w{i}") for i, c in enumerate(weights)))
+    tokens = [(F.col(f"w{i}"), w) for i, w in enumerate(weights.values())]
+    length = sum((F.size(t) for t, _ in tokens), F.lit(0))
+    tf = F.array(*(sum((_hits(t, term) * w for t, w in tokens), F.lit(0.0)) for term in terms))
+    return split.select(key, length.alias("length"), tf.alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, weights: dict[str, float], terms: list[str]) -> DataFrame:
