@@ -260,15 +260,50 @@ def serialize(edges: DataFrame, entities: DataFrame, seeds: DataFrame, hops: int
     return rows.select(n.alias("n"), "hop", F.format_string("(%s) --[%s]--> (%s)", show("source_id"), F.col("relation"), show("target_id")).alias("line"))
 
 
-def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
-    """``(path)``: simple circles of up to ``most`` edges, each from its smallest id, joined by >."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """``(path, edges)``: all simple circles, each from its smallest id, joined by >.
+
+    Paths grow only among ids that may lie on circles, until none is left. Dense graphs have exponentially many circles.
+    """
     step = durable(edges.where("source_id <> target_id").select(F.col("source_id").alias("end"), F.col("target_id").alias("next")).distinct())
+    step = _trimmed(step)
     paths, found = step.where("next > end").select(F.array("end", "next").alias("path")), []
-    for _ in range(most - 1):
+    while True:
         ahead = durable(paths.withColumn("end", F.element_at("path", -1)).join(step, "end"))
         found.append(ahead.where(F.col("next") == F.col("path")[0]).select("path"))
         paths = ahead.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"))
-    return reduce(DataFrame.unionByName, found).select(F.array_join("path", ">").alias("path"), F.size("path").alias("edges"))
+        if paths.isEmpty():
+            return reduce(DataFrame.unionByName, found).select(F.array_join("path", ">").alias("path"), F.size("path").alias("edges"))
+
+
+def _trimmed(step: DataFrame) -> DataFrame:
+    """Edges ``(end, next)`` without those that no circle has, as nothing leads on from them or to them; what joins circles may stay."""
+    rows = step.count()
+    while rows:
+        for a, b in (("end", "next"), ("next", "end")):
+            gone = _run_out(step, a, b)
+            step = durable(step.join(gone.withColumnRenamed("id", "end"), "end", "left_anti").join(gone.withColumnRenamed("id", "next"), "next", "left_anti"))
+        left = step.count()
+        if left == rows:
+            break
+        rows = left
+    return step
+
+
+def _run_out(step: DataFrame, a: str, b: str) -> DataFrame:
+    """``(id)``: ids without a way on, from a to b, and those whose only way leads to such an id.
+
+    Pointers along only ways double each round; a round that finds no such id proves that there is none further off.
+    """
+    only = step.groupBy(F.col(a).alias("id")).agg(F.count("*").alias("n"), F.min(b).alias("to"))
+    ids = step.select(F.explode(F.array("end", "next")).alias("id")).distinct()
+    state = durable(ids.join(only, "id", "left").select("id", F.when(F.col("n") == 1, F.col("to")).otherwise(F.col("id")).alias("anc"), F.col("n").isNull().alias("out")))
+    rows, was = state.count(), 0
+    while (now := state.where("out").count()) > was:
+        was = now
+        ahead = state.select(F.col("id").alias("anc"), F.col("anc").alias("next"), F.col("out").alias("ends"))
+        state = durable(lookup_join(state.select("id", "anc"), ahead, "anc", rows=rows).select("id", F.col("next").alias("anc"), F.col("ends").alias("out")))
+    return state.where("out").select("id")
 
 
 def blocks(entities: DataFrame, name_tokens: Column, floor: int = 20, share: float = 0.0) -> DataFrame:

@@ -107,7 +107,7 @@ def serialize_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Circles among aliases, of up to four."""
+    """Simple circles among aliases, of any length; the SQL knows those of up to four only."""
     a = table(spark, sf_dir, "entity_aliases").where("canonical_id is not null")
     return graph.cycles(a.select(F.col("alias").alias("source_id"), F.col("canonical_id").alias("target_id")))
 

@@ -93,3 +93,11 @@ def test_related_counts_large_sources_without_their_pairs(spark):
         want |= {(c, o, -n, i + 1) for i, (n, o) in enumerate(best)}
     for large in (500, 10):
         assert {(r.concept, r.other, r.shared, r["rank"]) for r in graph.related(df, large=large).collect()} == want
+
+
+def test_cycles_of_any_length_beside_chains(spark):
+    ring = [f"r{i}" for i in range(9)]
+    pairs = [*zip(ring, ring[1:] + ring[:1]), ("r8", "r3"), ("c0", "r1"), ("r4", "d0"), *((f"d{i}", f"d{i + 1}") for i in range(20)), *((f"c{i + 1}", f"c{i}") for i in range(20)), ("r2", "q"), ("q", "p"), ("p", "q")]
+    got = {tuple(r) for r in graph.cycles(edges(spark, *((a, b, "x") for a, b in pairs))).collect()}
+    assert got == {(">".join(ring), 9), (">".join(ring[3:]), 6), ("p>q", 2)}
+    assert graph.cycles(edges(spark, ("a", "b", "x"), ("b", "c", "x"))).count() == 0
