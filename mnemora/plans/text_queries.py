@@ -55,9 +55,13 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_id", "ground_truth", "generated_answer", T.is_grounded(F.col("generated_answer"), F.col("ground_truth")).alias("grounded"))
 
 
+_SPACES = r"[\t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.key_phrases(F.regexp_replace("text", "[\r  　]", " "))).alias("pos", "phrase"))
-    return cut.where("phrase rlike '^[\\\\x00-\\\\x7f]+$'").groupBy("phrase").agg(F.countDistinct("doc_id").alias("docs"))
+    """Documents of each phrase, in any script."""
+    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.key_phrases(F.regexp_replace("text", _SPACES, " "))).alias("pos", "phrase"))
+    return cut.groupBy("phrase").agg(F.countDistinct("doc_id").alias("docs"))
 
 
 def source_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
