@@ -46,8 +46,7 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a document folded eight at a time into one digest."""
-    c = X.chunks(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.concat(F.lit("src:"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("source")), "doc_id").where("source <> 'inbox'")
-    return chunking.reduced(c, "doc_id", "chunk_index", "content", lambda parts: F.sha2(F.array_join(parts, "\n"), 256))
+    return chunking.reduced(X.chunks(spark, sf_dir), "doc_id", "chunk_index", "content", lambda parts: F.sha2(F.array_join(parts, "\n"), 256))
 
 
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries on rows that a narrower reading of the job would leave out."""
 
+import hashlib
+
 from mnemora import plans
 
 
@@ -17,3 +19,12 @@ def test_key_phrases_in_any_script(spark, tmp_path):
     rows = [(1, "один два три четыре"), (2, "Один\u00a0Два\u3000ТРИ"), (3, "plain ascii words"), (4, "déjà vu encore"), (5, None)]
     got = {tuple(r) for r in run(spark, "key_phrases", stored(spark, tmp_path, documents=("doc_id long, text string", rows))).collect()}
     assert got == {("один два три", 2), ("два три четыре", 1), ("plain ascii words", 1), ("déjà vu encore", 1)}
+
+
+def test_chunk_digests_of_every_document(spark, tmp_path):
+    sources = [("inbox", 1), (None, 2), ("wiki", 3)]
+    docs = ("doc_id long, source string", [(i, s) for s, i in sources])
+    chunks = [(f"c{i}", f"src:{i}", 0, "", f"text {i}") for i in (1, 2, 3, 4)] + [("c5", "src:1", 1, "", "more")]
+    d = stored(spark, tmp_path, documents=docs, chunks_meta=("chunk_id string, doc_id string, chunk_index int, heading string, content string", chunks))
+    got = {r.doc_id: r.content for r in run(spark, "chunk_digests", d).collect()}
+    assert got == {"src:1": hashlib.sha256(b"text 1\nmore").hexdigest(), "src:2": "text 2", "src:3": "text 3", "src:4": "text 4"}
