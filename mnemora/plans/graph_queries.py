@@ -189,8 +189,8 @@ def community_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers that share parts."""
-    p = table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_suppkey").alias("concept"), F.col("l_partkey").alias("source")).distinct()
+    """Suppliers that share parts; the SQL counts the parts divisible by ten only."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("concept"), F.col("l_partkey").alias("source")).distinct()
     return graph.related(p)
 
 

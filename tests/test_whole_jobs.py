@@ -28,3 +28,10 @@ def test_chunk_digests_of_every_document(spark, tmp_path):
     d = stored(spark, tmp_path, documents=docs, chunks_meta=("chunk_id string, doc_id string, chunk_index int, heading string, content string", chunks))
     got = {r.doc_id: r.content for r in run(spark, "chunk_digests", d).collect()}
     assert got == {"src:1": hashlib.sha256(b"text 1\nmore").hexdigest(), "src:2": "text 2", "src:3": "text 3", "src:4": "text 4"}
+
+
+def test_related_top8_counts_every_part(spark, tmp_path):
+    lines = [(1, 1), (1, 10), (1, 3), (2, 1), (2, 3), (2, 3), (3, 10), (4, 7)]
+    d = stored(spark, tmp_path, lineitem=("l_suppkey long, l_partkey long", lines))
+    got = {(r.concept, r.other, r.shared, r["rank"]) for r in run(spark, "related_top8", d).collect()}
+    assert got == {(1, 2, 2, 1), (1, 3, 1, 2), (2, 1, 2, 1), (3, 1, 1, 1)}
