@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,19 @@ FILLER = (
     "as an ai", "this article discusses", "in this article", "this article will", "delve into", "needless to say",
     "at the end of the day", "when it comes to", "in today's world", "last but not least",
 )
+# Labels that lead a turn of a transcript, by the role of who speaks; who asks is a user, who answers an assistant.
+SPEAKERS = {
+    "user": (
+        "User", "Human", "Question", "Utilisateur", "Usuario", "Pregunta", "Frage", "Nutzer", "質問", "利用者", "用户", "用戶", "问", "问题",
+        "질문", "사용자", "Вопрос", "Пользователь", "سؤال", "المستخدم", "ผู้ใช้", "คำถาม", "प्रश्न", "उपयोगकर्ता",
+    ),
+    "assistant": (
+        "Assistant", "Answer", "Réponse", "Asistente", "Respuesta", "Antwort", "Assistent", "回答", "助手", "答",
+        "답변", "Ответ", "جواب", "المساعد", "ผู้ช่วย", "คำตอบ", "उत्तर", "सहायक",
+    ),
+    "system": ("System",),
+    "speaker": ("Speaker",),
+}
 _CJK = r"\p{IsHan}\p{IsHangul}\p{IsKatakana}\p{IsHiragana}"
 #: Query words keep these characters only.
 _KEPT = r"[^a-z0-9_\-\p{IsHan}\p{IsHangul}\x{3040}-\x{30FF}]"
@@ -71,6 +86,23 @@ def is_grounded(source: Column, evidence: Column) -> Column:
     return F.coalesce((squeezed(evidence) != "") & F.contains(squeezed(source), squeezed(evidence)), F.lit(False))
 
 
+def speakers(*roles: str) -> list[str]:
+    """The labels of these roles, or of all, in composed and in decomposed form, longest first."""
+    forms = {unicodedata.normalize(f, s) for r in roles or SPEAKERS for s in SPEAKERS[r] for f in ("NFC", "NFD")}
+    return sorted(forms, key=lambda s: (-len(s), s))
+
+
+def turn(line: Column) -> Column:
+    """``(role, said)`` of a line that a speaker's label leads, plain, numbered or bold, else null; a numbered speaker's role has its number."""
+    label = "(" + "|".join(speakers()) + ")"
+    lead = rf"^(?:\*\*)?{label}( [0-9]{{1,3}})?(?:\*\*[ \x{{A0}}]?[:：]|[ \x{{A0}}]?[:：]\*\*|[ \x{{A0}}]?[:：])[ \t\x{{A0}}\x{{3000}}]?"
+    who = F.regexp_extract(line, lead, 1)
+    role = F.lit(None).cast("string")
+    for r in SPEAKERS:
+        role = F.when(who.isin(speakers(r)), F.concat(F.lit(r), F.regexp_extract(line, lead, 2)) if r == "speaker" else F.lit(r)).otherwise(role)
+    return F.when(who != "", F.struct(role.alias("role"), F.regexp_replace(line, lead, "").alias("said")))
+
+
 def key_phrases(text: Column) -> Column:
     """The first five windows of three words of each sentence, lower case, of at least ten bytes, distinct, the first fifty."""
     def of_sentence(s: Column) -> Column:

@@ -2,29 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-# Labels that lead a turn of a transcript, by language.
-SPEAKERS = (
-    "User", "Assistant", "System", "Question", "Answer", "Human", "Speaker",
-    "Question", "Réponse", "Utilisateur",
-    "Usuario", "Asistente", "Pregunta", "Respuesta",
-    "Frage", "Antwort", "Nutzer", "Assistent",
-    "質問", "回答", "利用者",
-    "用户", "助手", "问", "答", "问题", "用戶",
-    "질문", "답변", "사용자",
-    "Вопрос", "Ответ", "Пользователь",
-    "سؤال", "جواب", "المستخدم", "المساعد",
-    "ผู้ใช้", "ผู้ช่วย", "คำถาม", "คำตอบ",
-    "प्रश्न", "उत्तर", "उपयोगकर्ता", "सहायक",
-)
-
-
-def speakers() -> list[str]:
-    """The labels in composed and in decomposed form, longest first."""
-    forms = {unicodedata.normalize(f, s) for s in SPEAKERS for f in ("NFC", "NFD")}
-    return sorted(forms, key=lambda s: (-len(s), s))
-
+from mnemora.functions.text import speakers
 
 #: Spaces within a line.
 GAP = "[ \\t\\u00a0\\u3000\\u200b]"

@@ -69,12 +69,20 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(near.select("query", "other"), ["query", "other"]).agg(F.round(F.count("*") / F.lit(max(exact.count(), 1)), 4).alias("recall"))
 
 
+#: Fenced blocks: fence, language, code.
+_FENCE = r"(?m)^(`{3,}|~{3,})[ \t]*([\w+#.-]*)[^\n]*\n((?:(?!\1)(?:[^\n]*\n|[^\n]+\z))*)(?:\1)?"
+_TAGS = {"python": ("python3",), "go": ("golang",), "javascript": ("typescript",), "c": ("c++",)}
+
+
 def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions in the fenced Python of documents."""
-    text = F.regexp_replace("text", "\r", "")
-    blocks = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^```python\n((?:(?!```)[^\n]*\n)*)"), F.lit(1))).alias("code"))
-    found = code.structure(blocks.withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))), "path", "code")
-    return found.select("path", F.explode("functions").alias("function")).groupBy("function").agg(F.countDistinct("path").alias("docs"))
+    """Functions in the fenced code of documents, in every language that the operator parses; the SQL knows Python in backticks only."""
+    tags = F.lower(F.regexp_extract("block", _FENCE, 2))
+    ext = F.coalesce(*(F.when(tags.isin(lang, *of[0].split(), *_TAGS.get(lang, ())), F.lit(of[0].split()[0])) for lang, of in code.LANGUAGES.items()))
+    blocks = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all(F.regexp_replace("text", "\r", ""), F.lit(_FENCE), F.lit(0))).alias("block"))
+    path = F.concat(F.col("doc_id").cast("string"), F.lit("."), ext)
+    found = code.structure(blocks.select(path.alias("path"), F.regexp_extract("block", _FENCE, 3).alias("code")), "path", "code")
+    doc = F.regexp_replace("path", r"\.[^.]*$", "")
+    return found.select(doc.alias("doc"), F.explode("functions").alias("function")).groupBy("function").agg(F.countDistinct("doc").alias("docs"))
 
 
 QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_session, events_dedup, event_payloads, document_chunks, chunk_digests, hash_embeddings, louvain_communities, ann_recall, code_structure)}

@@ -106,10 +106,9 @@ def chunk_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of transcripts, by speaker."""
+    """Turns of transcripts, by speaker; the SQL knows English labels only."""
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("pos", "line"))
-    turns = lines.where(r"line rlike '^(User|Assistant): '").select("doc_id", "pos", F.lower(F.regexp_extract("line", r"^(\w+): ", 1)).alias("role"), F.regexp_replace("line", r"^\w+: ", "").alias("said"))
-    return turns
+    return lines.select("doc_id", "pos", T.turn(F.col("line")).alias("turn")).where("turn is not null").select("doc_id", "pos", "turn.role", "turn.said")
 
 
 def truncated_content(spark: SparkSession, sf_dir: str) -> DataFrame:

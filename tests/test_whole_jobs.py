@@ -35,3 +35,17 @@ def test_related_top8_counts_every_part(spark, tmp_path):
     d = stored(spark, tmp_path, lineitem=("l_suppkey long, l_partkey long", lines))
     got = {(r.concept, r.other, r.shared, r["rank"]) for r in run(spark, "related_top8", d).collect()}
     assert got == {(1, 2, 2, 1), (1, 3, 1, 2), (2, 1, 2, 1), (3, 1, 1, 1)}
+
+
+def test_session_turns_in_any_language(spark, tmp_path):
+    text = "User: hi\n用户：你好\nRéponse: oui\n**Speaker 2**: so\n**Assistant:** yes\nОтвет: да\nUsers: none\nनहीं: x"
+    rows = run(spark, "session_turns", stored(spark, tmp_path, documents=("doc_id long, text string", [(1, text)]))).collect()
+    assert sorted((r.pos, r.role, r.said) for r in rows) == [
+        (0, "user", "hi"), (1, "user", "你好"), (2, "assistant", "oui"), (3, "speaker 2", "so"), (4, "assistant", "yes"), (5, "assistant", "да"),
+    ]
+
+
+def test_code_structure_of_every_language(spark, tmp_path):
+    text = "```python\ndef f():\n```\n~~~go\nfunc f() {}\nfunc G() {}\n~~~\n```\ndef plain():\n```\n```sql\nselect 1\n```\n```TypeScript x\nfunction h() {}\n"
+    rows = run(spark, "code_structure", stored(spark, tmp_path, documents=("doc_id long, text string", [(1, text), (2, "~~~python\ndef f():\n~~~")]))).collect()
+    assert {tuple(r) for r in rows} == {("f", 2), ("G", 1), ("h", 1)}
