@@ -309,12 +309,13 @@ def _run_out(step: DataFrame, a: str, b: str) -> DataFrame:
 def blocks(entities: DataFrame, name_tokens: Column, floor: int = 20, share: float = 0.0) -> DataFrame:
     """``(a, b)``, a < b: entities of one type with a telling word in common: one that few different names of the type have.
 
-    Few means at most ``floor``, or a share of the type's names if that is more; with a share, pairs grow faster than names.
+    Few means at most ``floor`` names, or at most a ``share`` of the type's entities; with a share, pairs grow faster than names.
     Entities of the same words are one class, named by its smallest id, so that copies make no pairs; see name_classes().
     """
-    words = name_classes(entities, name_tokens).select("class", "type", "words").distinct().select("class", "type", F.explode("words").alias("w"))
-    size = words.groupBy("type").agg(F.countDistinct("class").alias("n"))
-    rare = words.groupBy("type", "w").agg(F.count("*").alias("df")).join(size, "type").where(F.col("df") <= F.greatest(F.lit(floor), F.floor(F.col("n") * share))).where("df > 1")
+    classes = name_classes(entities, name_tokens).groupBy("class", "type", "words").agg(F.count("*").alias("copies"))
+    words = classes.select("class", "type", "copies", F.explode("words").alias("w"))
+    size = classes.groupBy("type").agg(F.sum("copies").alias("n"))
+    rare = words.groupBy("type", "w").agg(F.count("*").alias("df"), F.sum("copies").alias("held")).join(size, "type").where((F.col("df") <= floor) | (F.col("held") <= F.floor(F.col("n") * share))).where("df > 1")
     told = words.join(rare.select("type", "w"), ["type", "w"])
     return told.alias("x").join(told.alias("y"), ["type", "w"]).where("x.class < y.class").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 

@@ -49,3 +49,12 @@ def test_code_structure_of_every_language(spark, tmp_path):
     text = "```python\ndef f():\n```\n~~~go\nfunc f() {}\nfunc G() {}\n~~~\n```\ndef plain():\n```\n```sql\nselect 1\n```\n```TypeScript x\nfunction h() {}\n"
     rows = run(spark, "code_structure", stored(spark, tmp_path, documents=("doc_id long, text string", [(1, text), (2, "~~~python\ndef f():\n~~~")]))).collect()
     assert {tuple(r) for r in rows} == {("f", 2), ("G", 1), ("h", 1)}
+
+
+def test_alias_blocks_of_words_within_the_share(spark, tmp_path):
+    rows = [(f"e{i:04}", "t", f"shared name{i}" if i < 65 else f"other{i // 1400} name{i}") for i in range(1400)] + [("f0000", "t", "Name3, shared")]
+    d = stored(spark, tmp_path, entities=("id string, type string, name string", rows))
+    got = {tuple(r) for r in run(spark, "alias_blocks", d).collect()}
+    assert got == {(f"e{i:04}", f"e{j:04}") for i in range(65) for j in range(i + 1, 65)}
+    classes = {r.id: r["class"] for r in run(spark, "alias_classes", d).collect()}
+    assert len(classes) == 1401 and classes["f0000"] == "e0003" and classes["e0003"] == "e0003"
