@@ -27,7 +27,7 @@ from mnemora.runtime import durable, lookup_join
 #: Tables, width of a slot in units of distance on the unit sphere, classes a bucket should hold, functions a table at least and at most.
 TABLES, WIDTH, BUCKET, FUNCTIONS = 4, 3.0, 1024, (2, 24)
 #: Perturbations of a table's functions at most (the T of multiprobe hashing), and the chance to find the k-th neighbour at which visiting ends.
-PROBES, CHANCE = 160, 0.97
+PROBES, CHANCE = 160, 0.98
 #: Members of a bucket above which it is hashed again, functions that do so, and how often: then slots are narrower than 1e-6.
 BLOCK, FINER, LEVELS = 8192, 2, 22
 #: A branch of a bucket that was hashed again is left out if its share of the bucket's chance is below this.
@@ -140,11 +140,13 @@ class Hashing:
             key = self.below(key, self.again(x, t, level)[0])
         return key
 
-    def visits(self, x: np.ndarray, distance: np.ndarray, chance: float = CHANCE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(table, rows, keys)`` of the buckets to visit besides a vector's own, for neighbours at each one's given distance.
+    def visits(self, x: np.ndarray, distance: np.ndarray, chance: float = CHANCE) -> tuple[np.ndarray, np.ndarray]:
+        """``(rows, keys)`` of the buckets to visit besides a vector's own, for neighbours at each one's given distance.
 
         For each function the chance that the neighbour stays in the slot, or goes to the one below or above, follows
-        from a normal step of that distance. A set's chance in a table is the product over its functions.
+        from a normal step of that distance. A set's chance in a table is the product over its functions. Sets are tried in
+        the order that is best on average until the chance is reached; of what they gave, each vector visits in its own order
+        no more than it takes.
         """
         rows = np.arange(len(x))
         distance = np.maximum(distance, 1e-9)
@@ -159,10 +161,11 @@ class Hashing:
             tables.append((slots, stay.prod(1), np.take_along_axis(moves, order, 1), order, self.leaf(x, t)))
         got = np.zeros((self.tables, len(x)))
         open_ = np.ones(len(x), bool)
+        found: list[tuple[np.ndarray, ...]] = []
         for s in self.sets:
             live = rows[open_]
             if not len(live):
-                return
+                break
             for t, (slots, stay, moves, order, own) in enumerate(tables):
                 step = np.zeros((len(live), self.m), np.int64)
                 gain = stay[live].copy()
@@ -175,10 +178,19 @@ class Hashing:
                     gain *= moves[live, i]
                 to = live[valid]
                 to, keys, gain = self._leaves(x, to, t, self.key(slots[to] + step[valid], t), gain[valid], distance)
-                np.add.at(got[t], to, gain)
-                other = keys != own[to]
-                yield t, to[other], keys[other]
+                got[t] += np.bincount(to, gain, len(x))
+                found.append((to, np.full(len(to), t), keys, gain, keys == own[to]))
             open_ = 1 - np.prod(1 - np.minimum(got, 1), axis=0) < chance
+        to, table, keys, gain, own = (np.concatenate(p) for p in zip(*found))
+        best = np.lexsort((-gain, ~own, to))
+        to, table, keys, gain, own = to[best], table[best], keys[best], gain[best], own[best]
+        starts = np.searchsorted(to, rows)
+        missed = np.ones(len(to))
+        for t in range(self.tables):
+            sums = np.concatenate([[0.0], np.cumsum(np.where(table == t, gain, 0))])
+            missed *= 1 - np.minimum(sums[:-1] - sums[starts][to], 1)  # before this one
+        needed = ~own & (1 - missed < chance)
+        return to[needed], keys[needed]
 
     def _leaves(self, x: np.ndarray, rows: np.ndarray, t: int, keys: np.ndarray, gain: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, keys and chances with buckets that are hashed again replaced by those of their parts that are worth a visit."""
@@ -336,8 +348,7 @@ def _asked(bounded: DataFrame, h: Hashing, width: int, chance: float) -> dict[in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _unit(_matrix(b.column(0), np.float32, width))
-            for _, _, key in h.visits(x, _distance(b.column(1)), chance):
-                yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.visits(x, _distance(b.column(1)), chance)[1])], ["key"])
             for t in range(h.tables):
                 yield pa.RecordBatch.from_arrays([pa.array(h.leaf(x, t))], ["key"])
 
@@ -375,10 +386,11 @@ def _visiting(bounded: DataFrame, h: Hashing, width: int, chance: float, parts:
                             others = np.array([p for p in range(n) if p != part[i]])
                             at = pa.array(np.full(n - 1, i))
                             yield _rows(np.full(n - 1, key[i]), others, np.full(n - 1, MEMBER), k.take(at), vec.take(at), np.zeros(n - 1))
-            for _, rows, key in h.visits(x, _distance(b.column(2)), chance):
-                if len(rows):
-                    at = pa.array(rows)
-                    yield _rows(key, spread(key, k.take(at)), np.full(len(rows), ASKS), k.take(at), vec.take(at), low[rows])
+            rows, keys = h.visits(x, _distance(b.column(2)), chance)
+            for i in range(0, len(rows), 20_000):
+                r, key = rows[i : i + 20_000], keys[i : i + 20_000]
+                at = pa.array(r)
+                yield _rows(key, spread(key, k.take(at)), np.full(len(r), ASKS), k.take(at), vec.take(at), low[r])
 
     return bounded.select("k", "vec", "low").mapInArrow(run, _ROW)
 
@@ -464,8 +476,11 @@ def _answers(ids: pa.Array, y: np.ndarray, k: pa.Array, x: np.ndarray, low: np.n
     for i in range(0, len(k), 512):
         q, own = x[i : i + 512], k[i : i + 512]
         sims = q.astype(np.float32) @ y32.T
-        least = np.maximum(low[i : i + 512], _floor(sims, top + 1)) - 2e-6  # what single precision can't tell goes on
-        rows, cols = np.nonzero(sims >= least[:, None])
+        least = (low[i : i + 512] - 2e-6).astype(np.float32)  # what single precision can't tell goes on
+        above = sims >= least[:, None]
+        if len(many := np.nonzero(np.count_nonzero(above, axis=1) > 4 * top)[0]):
+            above[many] &= sims[many] >= _floor(sims[many], top + 1)[:, None] - np.float32(2e-6)
+        rows, cols = np.nonzero(above)
         for a in range(0, len(rows), 200_000):
             r, c = rows[a : a + 200_000], cols[a : a + 200_000]
             names, asking = ids.take(pa.array(c)), own.take(pa.array(r))
@@ -522,7 +537,7 @@ def exact(queries: DataFrame, classes: DataFrame, width: int, top: int) -> DataF
 
 def classes_of(rows: DataFrame, id_col: str, vec_col: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``named(id, h)``, ``classes(k, vec, several)`` and ``several(k, h)``, the classes of more than one id; vectors are shuffled once."""
-    every = usable(rows, id_col, vec_col, width).withColumn("h", F.concat_ws("-", F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec")))
+    every = durable(usable(rows, id_col, vec_col, width).withColumn("h", F.concat_ws("-", F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"))))
     torn = every.groupBy("id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("id")
     if not torn.isEmpty():
         torn = durable(torn)
@@ -530,7 +545,7 @@ def classes_of(rows: DataFrame, id_col: str, vec_col: str, width: int) -> tuple[
         every = every.join(torn, "id", "left_anti").unionByName(one)
     grouped = every.groupBy("vec").agg(F.min("id").alias("k"), (F.max("id") != F.min("id")).alias("several"), F.first("h").alias("h"))
     classes = durable(grouped)
-    return durable(every.select("id", "h")), classes.select("k", "vec"), classes.where("several").select("k", "h")
+    return every.select("id", "h"), classes.select("k", "vec"), classes.where("several").select("k", "h")
 
 
 def nearest(rows: DataFrame, id_col: str = "id", vec_col: str = "embedding", width: int = 64, k: int = 10, tables: int = TABLES, chance: float = CHANCE) -> DataFrame:
