@@ -47,26 +47,92 @@ def test_nothing_and_only_empty_items(spark):
     assert [(r.container, r.place) for r in packing.pack(spark.createDataFrame([(1, 0)], "id long, n long"), "id", "n", 10).collect()] == [(0, 0)]
 
 
-@pytest.mark.parametrize("seed", range(3))
+def contents(plan):
+    """Spans of each container."""
+    spans = {}
+    for size, low, high, container, per, place, step, start in plan.rows:
+        assert step >= size
+        for q in range(start, start + high - low):
+            spans.setdefault(container + q // per, []).append((place + q % per * step, size))
+    return spans
+
+
+@pytest.mark.parametrize("seed", range(4))
 def test_plans_hold_exactly_the_counts(seed):
     rng = np.random.default_rng(seed)
-    sizes = np.unique(rng.integers(1, 500, 120))
-    counts = rng.integers(1, 4000, len(sizes))
+    sizes = np.unique(rng.integers(1 if seed else 150, 500 if seed else 201, 120))
+    counts = rng.integers(1, 400 if seed < 3 else 3, len(sizes))
     plan = packing.plan(sizes, counts, 512)
-    assert (sum(u * t for u, t in plan) == counts).all() and all(u @ sizes <= 512 for u, _ in plan)
-    # against the longest first, wherever they fit
-    left, n = counts.copy(), 0
-    while left.any():
-        uses, room = np.zeros(len(sizes), np.int64), 512
-        for i in np.nonzero(left)[0][::-1]:
-            uses[i] = min(int(left[i]), room // int(sizes[i]))
-            room -= uses[i] * int(sizes[i])
-        times = int(min(left[uses > 0] // uses[uses > 0]))
-        left, n = left - uses * times, n + times
-    assert sum(t for _, t in plan) <= 1.003 * n
+    ranks = {}
+    for size, low, high, *_ in plan.rows:
+        ranks.setdefault(size, []).append((low, high))
+    for s, c in zip(sizes.tolist(), counts.tolist()):
+        parts = sorted(ranks[s])
+        assert parts[0][0] == 0 and parts[-1][1] == c and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    spans = contents(plan)
+    assert sorted(spans) == list(range(plan.containers))
+    for held in spans.values():
+        held.sort()
+        assert held[-1][0] + held[-1][1] <= 512 and all(a + n <= b for (a, n), (b, _) in zip(held, held[1:]))
+    first = sum(t for _, t in packing.longest_first(sizes, counts, 512))
+    assert plan.bound <= plan.containers <= first
+    if seed == 0:  # two or three a container: the program beats the longest first
+        assert plan.containers < 0.99 * first and plan.containers < 1.02 * plan.bound
+
+
+@pytest.mark.parametrize("kind", ["uniform", "log-normal", "normal", "over half", "600-800", "mixed"])
+def test_never_more_than_longest_first(kind):
+    rng = np.random.default_rng(1)
+    n = 20_000
+    lengths = {
+        "uniform": rng.integers(1, 2049, n), "log-normal": rng.lognormal(5.5, 1, n).astype(int), "normal": rng.normal(1000, 250, n).astype(int),
+        "over half": np.where(rng.random(n) < 0.8, rng.integers(1025, 2049, n), rng.integers(1, 1025, n)), "600-800": rng.integers(600, 801, n),
+        "mixed": np.where(rng.random(n) < 0.5, rng.integers(1000, 1049, n), rng.integers(1, 2000, n)),
+    }[kind]
+    sizes, counts = np.unique(np.clip(lengths, 1, 2048), return_counts=True)
+    plan = packing.plan(sizes, counts, 2048)
+    first = sum(t for _, t in packing.longest_first(sizes, counts, 2048))
+    assert plan.bound - 1e-6 <= plan.containers <= first and plan.containers <= 1.02 * plan.bound
+
+
+def test_bounds_hold_for_the_fewest():
+    """Against the fewest containers by trying all."""
+
+    def fewest(items, capacity):
+        best = [len(items)]
+
+        def place(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for r in sorted(set(rooms)):
+                if r >= items[i]:
+                    rest = list(rooms)
+                    rest.remove(r)
+                    place(i + 1, [*rest, r - items[i]])
+            place(i + 1, [*rooms, capacity - items[i]])
+
+        place(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        items = sorted(rng.integers(2, 13, 9).tolist(), reverse=True)
+        sizes, counts = np.unique(items, return_counts=True)
+        plan = packing.plan(sizes, counts, 20)
+        assert plan.bound - 1e-6 <= fewest(items, 20) <= plan.containers
 
 
 def test_knapsack_is_best():
-    sizes, most, value = np.array([3, 4, 5]), np.array([2, 1, 1]), np.array([4.0, 5.0, 6.5])
-    best = max((a * 4 + b * 5 + c * 6.5, (a, b, c)) for a in range(3) for b in range(2) for c in range(2) if 3 * a + 4 * b + 5 * c <= 10)
-    assert packing._knapsack(sizes, most, value, 10) @ value == best[0]
+    sizes, value = np.array([3, 4, 5]), np.array([4.0, 5.0, 6.6])
+    best, size, at = packing.knapsack(sizes, value, 17)
+    for room in range(18):
+        want = max((a * 4 + b * 5 + c * 6.6) for a in range(7) for b in range(6) for c in range(5) if 3 * a + 4 * b + 5 * c <= room)
+        assert abs(best[room] - want) < 1e-9
+        left, got = room, 0.0
+        while size[left]:
+            got += value[sizes == size[left]][0]
+            left = at[left] - size[left]
+        assert abs(got - want) < 1e-9
