@@ -1,14 +1,15 @@
 """Sentences of texts in many languages and scripts.
 
-Two transducers read a whole batch of texts. The first reads lines and knows in which lines units start, go on or don't
-stand (front matter, fenced code, tables, rules). The second reads what may end a sentence, with the quotations
-around it. Both run as compositions of the transition functions of chunks, see transducer.
+Transducers read a whole batch of texts, one on what the other gives. The first reads lines and knows in which lines units start,
+go on or don't stand (front matter, fenced code, tables, rules). The rules of stops are compiled into tables that are
+looked up for all stops at once, see boundaries. The last reads what may end a sentence, with the quotations around it. Those with
+states run as compositions of the transition functions of chunks, see transducer.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.llm.boundaries import ALPHA, NEW_BLOCK, Scan, symbols
 from mnemora.llm.markup import FIRST_ITEM, GAP, ITEM, RULE, TURN
 from mnemora.llm.transducer import states_before
 
@@ -62,27 +64,11 @@ def _line_table() -> tuple[np.ndarray, np.ndarray]:
 
 LINE_AFTER, LINE_PART = _line_table()
 
-# Sentence symbols: a block's start, a quotation opened after a colon or elsewhere, a sure end, and an end only if the quotation before it was opened after a colon.
-NEW_BLOCK, OPEN_COLON, OPEN_PLAIN, ENDS, ENDS_AFTER_COLON = range(5)
 # States: the last quotation of the sentence, if any, was opened after a colon, or not.
 NOT_COLON, COLON = range(2)
 SENTENCE_AFTER = np.array([[NOT_COLON, NOT_COLON], [COLON, COLON], [NOT_COLON, NOT_COLON], [NOT_COLON, NOT_COLON], [NOT_COLON, NOT_COLON]], np.uint8)
 SENTENCE_ENDS = np.array([[0, 0], [0, 0], [0, 0], [1, 1], [0, 1]], np.uint8)
 
-# Words that end in a stop which ends no sentence, those of them that stand before numbers, and those that may end one.
-NEVER = set(
-    "Dr Drs Prof Mr Mrs Ms Mx St Sr Sra Srta Dra Hr Fr Frau Mme Mlle Mgr Dott Ing Gen Col Sgt Capt Rev Hon Jr Lt e.g i.e cf viz vs al "
-    "bzw vgl evtl ggf inkl zzgl sog z.B d.h u.a z.T ca p.ej p.ex ej ex Sta D Da Uds Ud EE UU cap см См напр им ул д-р г-н т.е др.डॉ डॉ श्री د أ".split()
-)
-BEFORE_NUMBER = set(
-    "fig Fig figs Figs No no Nr nr n nº núm num p pp P S s Abb Kap Tab Bd Sec sec Secs Ch ch Chap chap vol Vol Art art approx Approx aprox Aprox ca Ca Env env pág Pág págs "
-    "рис Рис гл Гл стр Стр с табл Табл п Eq eq Ref ref chap éd t Ziff Rn Nos".split()
-)
-MAY_END = set("etc usw usf a.m p.m A.M P.M Inc Ltd Co Corp Bros ff f т.д т.п др пр u.s.w o.ä u.ä U.S U.K U.N гг г".split())
-# German words after which a number with a stop is an ordinal.
-ORDINAL_AFTER = set("der die das dem den des am im vom zum zur beim ins jede jeder jedem jeden jedes Der Die Das Dem Den Des Am Im Vom Zum Zur Beim Jede Jeder Jedes".split())
-
-_LINES = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
 _FENCE = re.compile(f"{GAP}*(```+|~~~+){GAP}*(\\S?)")
 _MARK = re.compile(f"{GAP}*(?:{ITEM}(?:{GAP}*\\[[ xX]\\](?={GAP}))?{GAP}*)")
 _FIRST = re.compile(f"{GAP}*{FIRST_ITEM}")
@@ -92,17 +78,7 @@ _RULE = re.compile(f" {{0,3}}{RULE}\\s*\\Z")
 _TURN = re.compile(f"{GAP}*{TURN}")
 _DASHES = re.compile(r"﻿?---[ \t]*[\r\n]*\Z")
 _TURN_STARTS = {x for s in re.findall(r"[^|()?:\\*\[\]  ：]+", TURN) if (x := s[0]).isalpha()}
-
-_EVENTS = re.compile(
-    "(?P<end>[.!?…。！？؟।॥]+)"
-    "|(?P<colon>[:：][  \n\r]*[\"“„«「『‘])"
-    "|(?P<open>(?<![\\w.!?…。！？؟।,;])[\"“„«「『](?=[\\w¿¡  ]))"
-    "|(?P<gap>(?<=[ก-๎])[  \t\r\n]+(?=[ก-ไ]))"
-)
-_CLOSERS = "”’»\"“)]）】」』*_`"
-_QUOTES = "”’»\"“」』"
-_OPENERS = "“„«「『\"'‘(（[`¿¡【*"
-_STOPS_WORD = " \t\r\n 　([{（«“„\"'‘「『*_—:："
+_TURN_CODES = np.array([ord(c) for c in _TURN_STARTS])
 
 
 def _symbol(line: str, first: bool) -> tuple[int, int]:
@@ -133,178 +109,77 @@ def _symbol(line: str, first: bool) -> tuple[int, int]:
     return (INDENT if line[0] in " \t 　" else PLAIN), 0
 
 
-def _word_before(text: str, low: int, at: int) -> str:
-    """What stands before ``at`` without a gap, no more than what an abbreviation may have."""
-    k = at
-    while k > low and at - k < 14 and text[k - 1] not in _STOPS_WORD:
-        k -= 1
-    return text[k:at]
-
-
-def _end_symbol(text: str, low: int, high: int, a: int, b: int) -> tuple[int, int]:
-    """Symbol of the stops at ``a`` to ``b`` in the block ``low`` to ``high``, or -1 for no end, and where their sentence would end."""
-    run, quoted, closed = text[a:b], False, b
-    while closed < high:
-        c = text[closed]
-        if c in "“\"'*_`[":  # may open as well as close
-            after = text[closed + 1 : closed + 2]
-            if after.isalnum() and not (c == '"' and text.count('"', low, closed) % 2):
-                break
-            if c in "`[*_" and not text.count(c, low, closed) % 2:
-                break
-        elif c in "  " and text[closed + 1 : closed + 2] == "»":
-            closed += 1
-            c = "»"
-        elif c not in _CLOSERS:
-            break
-        quoted |= c in _QUOTES
-        closed += 1
-    n = closed
-    while n < high and (text[n].isspace() or text[n] == "​"):
-        n += 1
-    if n >= high:
-        return -1, closed
-    nxt, spaced = text[n], n > closed
-    letter = nxt.isalpha()
-    upper = letter and (nxt.isupper() or nxt.istitle() or (nxt.islower() and text[n + 1 : n + 2].isupper()))
-    lower = letter and not upper and nxt.islower()
-    digit, opener = nxt.isdigit(), nxt in _OPENERS
-    plain = ENDS_AFTER_COLON if quoted else ENDS
-    if lower or not (letter or digit or opener or unicodedata.category(nxt) in ("So", "Sc", "Lo", "Sm")):
-        if not (run[-1] in "。！？।॥" and not quoted and not closed > b and letter):
-            return -1, closed
-    caseless = letter and not upper and not lower
-    if "…" in run or (len(run) > 1 and not run.strip(".")):
-        return (ENDS if (upper or opener or (digit and spaced)) and not (run[-1] == "…" and "……" in run and not spaced and not upper) else -1), closed
-    if run[-1] in "。！？।॥" or run[0] in "。！？।॥":
-        return (ENDS if opener else plain), closed
-    if run.strip("."):  # has ! ? or the Arabic question mark
-        return (plain if caseless else ENDS), closed
-    if closed > b:
-        return (plain if caseless else ENDS), closed
-    word = _word_before(text, low, a)
-    bare = word.strip("[]`,;")
-    if not spaced:
-        if digit and (text[a - 1 : a].isdigit() or len(bare) < 3 or not bare[-1:].isalpha() or bare in BEFORE_NUMBER):
-            return -1, closed
-        if upper and (len(bare) < 2 or ("." in bare and bare not in MAY_END) or (text[a - 1].isupper() and len(bare) < 4 and bare.isalpha()) or bare in NEVER):
-            return -1, closed
-        if len(bare) < 2 or bare in NEVER or nxt in "'*)" or (caseless and not (ord(nxt) > 0x250)):
-            return -1, closed
-        return ENDS, closed
-    if bare in NEVER:
-        return -1, closed
-    letters = bare.split(".")[-1]
-    if len(letters) == 1 and letters.isalpha():
-        whole = bare
-        if "." not in bare:  # the parts of an abbreviation may stand apart
-            k = a - 1
-            while k > low and text[k - 1].isspace():
-                k -= 1
-            if k < a - 1 and text[k - 1] == ".":
-                whole = _word_before(text, low, k - 1) + "." + letters
-        if whole in MAY_END and not (whole == "г" and not _number_before(text, low, a - 1)):
-            return ENDS, closed
-        if digit and letters in BEFORE_NUMBER:
-            return -1, closed
-        return -1, closed
-    if digit and bare in BEFORE_NUMBER:
-        return -1, closed
-    if bare in BEFORE_NUMBER and not digit and not upper:
-        return -1, closed
-    if bare.isdigit() and len(bare) < 3 and upper:
-        k = a - len(bare)
-        while k > low and text[k - 1].isspace():
-            k -= 1
-        if _word_before(text, low, k) in ORDINAL_AFTER:
-            return -1, closed
-    return ENDS, closed
-
-
-def _number_before(text: str, low: int, at: int) -> bool:
-    while at > low and text[at - 1].isspace():
-        at -= 1
-    return text[at - 1 : at].isdigit()
+def _blocks(texts: list[str | None], scan: Scan, offsets: list[int]) -> list[list[int]]:
+    """``[start, end, symbol]`` of every block that holds units, in order, by places in the batch."""
+    codes = scan.codes
+    breaks = (codes == 10) | ((codes == 13) & (np.append(codes[1:], 0) != 10))
+    first = np.zeros(len(codes) + 1, bool)
+    first[1:] = breaks
+    begins = np.array([o for o, t in zip(offsets, texts) if t], np.int64)
+    if not len(begins):
+        return []
+    first[begins] = True
+    over = np.array([o + len(t or "") for o, t in zip(offsets, texts)], np.int64)
+    first[over] = False  # separators start no line
+    starts = np.nonzero(first[:-1])[0]
+    owner = np.searchsorted(np.array(offsets), starts, "right") - 1
+    ends = np.minimum(np.append(starts[1:], len(codes)), over[owner])
+    plain = (scan.bits[starts] & ALPHA != 0) & ~np.isin(codes[starts], _TURN_CODES)
+    symbols, marks = np.full(len(starts), PLAIN), np.zeros(len(starts), np.int64)
+    for k in np.nonzero(~plain)[0].tolist():
+        i, o = owner[k], offsets[owner[k]]
+        symbols[k], marks[k] = _symbol(texts[i][starts[k] - o : ends[k] - o], starts[k] == o)
+    # every text starts anew
+    new = np.searchsorted(owner, np.unique(owner))
+    line = np.insert(symbols, new, NEW_TEXT)
+    parts = np.delete(LINE_PART[line, states_before(LINE_AFTER, line)], new + np.arange(len(new)))
+    blocks: list[list[int]] = []
+    numbered, last = False, -1
+    kept = np.nonzero(parts)[0]
+    for i, part, symbol, a, marked, b in zip(*(x[kept].tolist() for x in (owner, parts, symbols, starts, marks, ends))):
+        # a line that starts with a number above 1 goes on with a paragraph, unless the block is a list
+        if part == 1 and symbol == OTHER and blocks and not numbered and last == i and blocks[-1][1] == a and blocks[-1][2] in (PLAIN, SPEAKER, INDENT):
+            blocks[-1][1] = b
+        elif part == 1:
+            blocks.append([a + marked, b, symbol])
+            numbered, last = symbol in (FIRST, OTHER), i
+        else:
+            blocks[-1][1] = b
+    return blocks
 
 
 def split(texts: list[str | None]) -> tuple[list[int], list[int], list[int]]:
     """Text number, start and end of every unit, in order."""
-    spans: list[tuple[int, int, int, int]] = []
-    symbols: list[int] = []
-    for i, text in enumerate(texts):
-        symbols.append(NEW_TEXT)
-        spans.append((i, 0, 0, 0))
-        if not text:
-            continue
-        at, end, first = 0, len(text), True
-        while at < end:
-            stop = _LINES.match(text, at).end()
-            symbol, marks = _symbol(text[at:stop], first)
-            symbols.append(symbol)
-            spans.append((i, at + marks, stop, symbol))
-            at, first = stop, False
-    line = np.array(symbols, np.intp)
-    before = states_before(LINE_AFTER, line)
-    # a line that starts with a number above 1 goes on with a paragraph, unless the block is a list
-    parts = LINE_PART[line, before].tolist()
-    blocks: list[list] = []
-    numbered = False
-    for (i, a, b, symbol), part in zip(spans, parts):
-        if part == 1 and symbol == OTHER and blocks and not numbered and blocks[-1][0] == i and blocks[-1][2] == _line_start(texts[i], a) and blocks[-1][3] in (PLAIN, SPEAKER, INDENT):
-            blocks[-1][2] = b
-        elif part == 1:
-            blocks.append([i, a, b, symbol])
-            numbered = symbol in (FIRST, OTHER)
-        elif part == 2:
-            blocks[-1][2] = b
-    events: list[int] = []
-    places: list[tuple[int, int]] = []
-    for k, (i, a, b, symbol) in enumerate(blocks):
-        events.append(NEW_BLOCK)
-        places.append((k, a))
-        if symbol == HEADING:
-            continue
-        text = texts[i]
-        for m in _EVENTS.finditer(text, a, b):
-            kind = m.lastgroup
-            if kind == "end":
-                s, at = _end_symbol(text, a, b, m.start(), m.end())
-                if s >= 0:
-                    events.append(s)
-                    places.append((k, at))
-            else:
-                events.append(ENDS if kind == "gap" else OPEN_COLON if kind == "colon" else OPEN_PLAIN)
-                places.append((k, m.start()))
-    event = np.array(events, np.intp)
-    ends = SENTENCE_ENDS[event, states_before(SENTENCE_AFTER, event)].tolist() if len(event) else []
-    number, starts, stops = [], [], []
-
-    def unit(i: int, a: int, b: int, heading: bool = False) -> None:
-        piece = texts[i][a:b]
-        if heading:
-            piece = piece.rstrip().rstrip("#") if piece.rstrip().endswith((" #", "##")) else piece
-        left = len(piece) - len(piece.lstrip())
-        if kept := piece.strip():
-            number.append(i)
-            starts.append(a + left)
-            stops.append(a + left + len(kept))
-
-    k, at = -1, 0
-    for (block, place), e in zip(places, ends):
-        if block != k:
-            if k >= 0:
-                unit(blocks[k][0], at, blocks[k][2], blocks[k][3] == HEADING)
-            k, at = block, blocks[block][1]
-        elif e and place > at:
-            unit(blocks[k][0], at, place)
-            at = place
-    if k >= 0:
-        unit(blocks[k][0], at, blocks[k][2], blocks[k][3] == HEADING)
-    return number, starts, stops
-
-
-def _line_start(text: str, at: int) -> int:
-    return max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
+    sizes = [len(t or "") + 1 for t in texts]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    codes = np.frombuffer("".join((t or "") + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not len(codes):
+        return [], [], []
+    scan = Scan(codes)
+    blocks = _blocks(texts, scan, offsets[:-1])
+    if not blocks:
+        return [], [], []
+    start, end, kind = np.array(blocks, np.int64).T
+    of, symbol, place = symbols(scan, start, end)
+    told = kind[of] != HEADING
+    of, symbol, place = of[told], symbol[told], place[told]
+    at = np.searchsorted(of, np.arange(len(blocks)))
+    event = np.insert(symbol.astype(np.intp), at, NEW_BLOCK)
+    ends = np.delete(SENTENCE_ENDS[event, states_before(SENTENCE_AFTER, event)], at + np.arange(len(at))) > 0
+    cuts = np.unique(np.concatenate([start, place[ends & (place > start[of]) & (place < end[of])]]))
+    block = np.searchsorted(start, cuts, "right") - 1
+    stop = np.minimum(np.append(cuts[1:], len(codes)), end[block])
+    for k in np.nonzero(kind[block] == HEADING)[0].tolist():  # closing marks
+        i = bisect_right(offsets, int(cuts[k])) - 1
+        piece = texts[i][cuts[k] - offsets[i] : stop[k] - offsets[i]].rstrip()
+        if piece.endswith((" #", "##")):
+            stop[k] = cuts[k] + len(piece.rstrip("#"))
+    left = scan.to_shown[np.minimum(cuts, len(codes) - 1)]
+    right = scan.ink[stop - 1] + 1
+    kept = left < right
+    number = np.searchsorted(offsets, left[kept], "right") - 1
+    base = np.array(offsets)[number]
+    return number.tolist(), (left[kept] - base).tolist(), (right[kept] - base).tolist()
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from mnemora.llm import sentences, transducer
+from mnemora.llm import boundaries, sentences, transducer
 
 CASES = [
     ("It worked! Dr. Velm et al. saw 3.14 at 5 p.m. The end. Not so.", ["It worked!", "Dr. Velm et al. saw 3.14 at 5 p.m.", "The end.", "Not so."]),
@@ -61,3 +61,22 @@ def test_composed_functions_equal_a_plain_run():
             want.append(state)
             state = table[s, state]
         assert transducer.states_before(table, symbols, 2).tolist() == want
+
+
+def test_one_long_line_costs_no_more_than_its_length():
+    line = 'Dr. Velm saw `x` and said: “No.” Then "yes" (3.14) at 5 p.m. The end! '
+    few, many = units(line * 3), units(line * 30_000)
+    assert len(many) == len(few) * 10_000 and many[: len(few) - 1] == few[:-1]
+    assert len(units("a) . " * 200_000)) == 1
+
+
+def test_decisions_are_compiled_once():
+    table = boundaries.decisions()
+    assert table is boundaries.decisions() and set(np.unique(table)) <= {boundaries.ENDS, boundaries.ENDS_AFTER_COLON, boundaries.NONE}
+    lex = boundaries.lexicon()
+    for word in ("Dr", "p.ex", "т.д"):
+        state = np.array([1])
+        for c in reversed(word):
+            state = lex.step(state, np.array([ord(c)]))
+        assert lex.flags[state[0]]
+    assert lex.step(np.array([1]), np.array([ord("q")]))[0] == 0
