@@ -7,6 +7,7 @@ compare as strings, an empty one is open.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,6 +144,67 @@ def fold_relations(rows: DataFrame) -> DataFrame:
     )
 
 
+def latest_aliases(rows: DataFrame) -> DataFrame:
+    """``(alias, canonical_id, status)`` of each pair's row decided last; a null time is earliest, at equal times the larger status holds.
+
+    Case and outer white space of the status are ignored; pairs of one id, or with a null one, are left out.
+    """
+    clean = F.lower(F.regexp_replace("status", r"(?U)^\s+|\s+$", ""))
+    last = F.max(F.struct(F.col("decided_at").alias("at"), clean.alias("status"))).alias("last")
+    return rows.where("alias <> canonical_id").groupBy("alias", "canonical_id").agg(last).select("alias", "canonical_id", "last.status")
+
+
+def pair_conflicts(aliases: DataFrame) -> DataFrame:
+    """``(alias, canonical_id, blockers)`` of the pending pairs of ``latest_aliases`` that must not be linked.
+
+    A pair is blocked by every other pair, rejected or pending, between the components that applied links make of its two ids, in
+    either direction. Components of the two ids may be one.
+    """
+    aliases = durable(aliases)
+    c = durable(components(aliases.where("status = 'applied'").select(F.col("alias").alias("a"), F.col("canonical_id").alias("b"))))
+    of = lambda df, end, name: df.join(c.select(F.col("id").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+    open_ = of(of(aliases.where("status in ('rejected', 'pending')"), "alias", "x"), "canonical_id", "y")
+    open_ = durable(open_.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).withColumn("pair", F.array(F.least("alias", "canonical_id"), F.greatest("alias", "canonical_id"))))
+    many = open_.select("a", "b", "pair").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+    return open_.where("status = 'pending'").join(many, ["a", "b"]).select("alias", "canonical_id", (F.col("n") - 1).alias("blockers"))
+
+
+def rejected_either_way(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of which no row of ``latest_aliases`` in either direction is rejected."""
+    bad = aliases.where("status = 'rejected'").select(F.least("alias", "canonical_id").alias("x"), F.greatest("alias", "canonical_id").alias("y")).distinct()
+    return pairs.join(bad, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+
+
+def unlink(derived: DataFrame, aliases: DataFrame, cleared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Derived edges without those caused by the aliases ``(alias)``, and the aliases with their rows marked rejected."""
+    gone = cleared.select("alias").distinct()
+    marked = aliases.join(gone.withColumn("cleared", F.lit(True)), "alias", "left")
+    status = F.when(F.col("cleared"), F.lit("rejected")).otherwise(F.col("status"))
+    return derived.join(gone.withColumnRenamed("alias", "alias_id"), "alias_id", "left_anti"), marked.withColumn("status", status).drop("cleared")
+
+
+def triggered(edges: DataFrame, functional: list[str], least: float = 0.8) -> DataFrame:
+    """``(source_id, target_id, relation, action)``: what a new edge asks for.
+
+    supersede for a functional relation of at least that confidence, conflict below, and for every contradicts; others ask for nothing.
+    """
+    is_functional = F.col("relation").isin(functional)
+    action = F.when(F.col("relation") == "contradicts", "conflict").when(is_functional & (F.coalesce("confidence", F.lit(0.0)) >= least), "supersede").when(is_functional, "conflict")
+    return edges.select(*KEY, action.alias("action")).where("action is not null")
+
+
+def guarded_clusters(members: DataFrame, known: DataFrame, never: list[str] = ()) -> DataFrame:
+    """``(cluster, id, confidence)`` of proposed clusters ``(cluster, pos, id, confidence)`` that may be applied.
+
+    Ids that aren't in ``known(id)``, or that are among ``never``, go; an id stays in the first cluster, by ``pos``, that names it; clusters
+    of fewer than two are dropped; confidences are brought between 0 and 1, null to 0.
+    """
+    real = members.where(~F.col("id").isin(list(never)) if never else F.lit(True)).join(known.select("id").distinct(), "id", "left_semi")
+    first = real.groupBy("id").agg(F.min(F.struct("cluster", "pos", "confidence")).alias("m")).select("id", "m.cluster", "m.confidence")
+    size = first.groupBy("cluster").agg(F.count("*").alias("n")).where("n >= 2").select("cluster")
+    return first.join(size, "cluster", "left_semi").select("cluster", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))).alias("confidence"))
+
+
 def fold_aliases(rows: DataFrame) -> DataFrame:
     """One row a pair of upserts in order ``seq``: status and reason of the last row up to the first rejection; source of the first."""
     reject = F.min(F.when(F.col("status") == "rejected", F.col("seq"))).over(Window.partitionBy("alias", "canonical_id"))
@@ -158,19 +220,21 @@ def link_aliases(edges: DataFrame, relations: DataFrame, aliases: DataFrame) ->
     return copies.join(relations.select(*KEY), KEY, "left_anti").dropDuplicates(["alias_id", *KEY])
 
 
-def sweep(relations: DataFrame, aliases: DataFrame, most: int = 33) -> DataFrame:
-    """Derived edges of all applied aliases, replayed over the union view until a pass adds none: chains stamp the last hop."""
+def sweep(relations: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Derived edges of all applied aliases, replayed over the union view until a pass adds none: chains stamp the last hop.
+
+    There are no more derived edges than ids for each end, so that passes come to an end.
+    """
     columns = ["alias_id", *KEY, "confidence", "valid_from", "valid_to"]
     derived = durable(link_aliases(relations, relations, aliases).select(*columns))
     size = derived.count()
-    for _ in range(most):
+    while True:
         view = relations.select(*columns[1:]).unionByName(derived.select(*columns[1:]))
         added = link_aliases(view, relations, aliases).select(*columns).join(derived.select("alias_id", *KEY), ["alias_id", *KEY], "left_anti")
         derived = durable(derived.unionByName(added))
         if (now := derived.count()) == size:
-            break
+            return derived
         size = now
-    return derived
 
 
 def supersede(edges: DataFrame, forms: DataFrame, functional: str) -> DataFrame:
@@ -207,14 +271,21 @@ def graph_leg(edges: DataFrame, entities: DataFrame, aliases: DataFrame, terms:
     return best.join(known, "id").where("article_path <> ''").select("id", F.round("score", 9).alias("score")).orderBy("score", "id").limit(limit * factor)
 
 
-def relevance(edges: DataFrame, entities: DataFrame, seeds: DataFrame, at: str, limit: int = 10, weights: dict[str, float] = RELEVANCE) -> DataFrame:
+def resolved(ids: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Ids ``(id)`` as what applied aliases stand for, each once."""
+    ends = canonical(aliases).withColumnRenamed("alias", "id")
+    return ids.join(ends, "id", "left").select(F.coalesce("canonical_id", "id").alias("id")).distinct()
+
+
+def relevance(edges: DataFrame, entities: DataFrame, seeds: DataFrame, at: str, limit: int = 10, weights: dict[str, float] = RELEVANCE, aliases: DataFrame | None = None) -> DataFrame:
     """``(id, score, direct_link, source_overlap, common_neighbor, type_affinity)`` of articles near the seeds ``(id)``.
 
     direct_link: how many seeds reach it within two live edges that aren't citations. source_overlap: what it cites of what the seeds
     cite, over all that they cite. common_neighbor: sum of 1 / ln(degree) over neighbours that it shares with any seed, of a
-    degree over 1, which counts all edges. type_affinity: mean over the seeds. Seeds themselves are no candidates.
+    degree over 1, which counts all edges. type_affinity: mean over the seeds. Seeds themselves are no candidates; with ``aliases``
+    they are what these stand for.
     """
-    seeds = seeds.distinct()
+    seeds = durable(resolved(seeds, aliases)) if aliases is not None else seeds.distinct()
     plain = durable(edges.where((F.col("relation") != "cites") & live_at(at)))
     cites = edges.where("relation = 'cites'")
     direct = neighbors(plain, seeds, 2).groupBy("id").agg(F.countDistinct("start").cast("double").alias("direct_link"))
@@ -341,20 +412,28 @@ def community_edges(edges: DataFrame, entities: DataFrame, at: str) -> DataFrame
     return rows.join(real.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(real.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
 
-def label_communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
+def label_communities(edges: DataFrame) -> DataFrame:
     """``(id, community)`` by label propagation, which differs from Louvain's local moving but runs on all nodes at once.
 
-    In each round the nodes of one half, by hash, take the heaviest label around them, the smallest on ties.
+    In each round the nodes of one half, by hash, take the heaviest label around them, the smallest on ties. It ends when neither half changes, or when two rounds no longer change fewer nodes than any two before.
     """
     weight = durable(both_ways(edges).where("id <> other").groupBy("id", "other").agg(F.count("*").alias("w")))
     labels = durable(weight.select("id", F.col("id").alias("community")).distinct())
     rows = weight.count()
-    for r in range(rounds):
+    fewest, changed, still = rows + 1, [], 0
+    for r in count():
         votes = lookup_join(weight.withColumnRenamed("other", "key"), labels.withColumnRenamed("id", "key"), "key", rows=rows).groupBy("id", "community").agg(F.sum("w").alias("w"))
         heard = votes.groupBy("id").agg(F.min_by("community", F.struct((-F.col("w")).alias("w"), "community")).alias("heard"))
         half = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        labels = durable(labels.join(heard, "id").select("id", F.when(half, F.col("heard")).otherwise(F.col("community")).alias("community")))
-    return labels
+        step = durable(labels.join(heard, "id").select("id", F.when(half, F.col("heard")).otherwise(F.col("community")).alias("community"), (half & (F.col("heard") != F.col("community"))).alias("moved")))
+        changed.append(step.where("moved").count())
+        labels = step.drop("moved")
+        if r % 2:
+            now = changed[-1] + changed[-2]
+            still = 0 if now < fewest else still + 1
+            fewest = min(fewest, now)
+            if not now or still == 2:
+                return labels
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     make = lambda df, s, o, r, c, vf: df.select(s.alias("source_id"), o.alias("target_id"), F.lit(r).alias("relation"), c.cast("double").alias("confidence"), vf.alias("valid_from"), F.lit("").alias("valid_to"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    cites = t("lineitem").where("l_linenumber = 1 and l_partkey % 10 = 0").groupBy("l_suppkey", "l_partkey").agg(F.min("l_shipdate").alias("d"))
+    cites = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_shipdate").alias("d"))
     level = F.concat(F.lit("priority-"), F.substring("o_orderpriority", 1, 1))
     uses = t("orders").groupBy("o_custkey", level.alias("level")).agg(F.max("o_totalprice").alias("p"), F.min("o_orderdate").alias("d"))
     out = make(t("nation"), key("nation-", "n_nationkey"), key("region-", "n_regionkey"), "derived_from", F.lit(0.9), F.lit(""))
@@ -102,7 +102,7 @@ RELATIONS = """relations as (
   select 'nation-' || n_nationkey source_id, 'region-' || n_regionkey target_id, 'derived_from' relation, 0.9::double confidence, '' valid_from, '' valid_to from nation
   union all select 'supplier-' || s_suppkey, 'nation-' || s_nationkey, 'extends', 0.8, '', '' from supplier
   union all select 'customer-' || c_custkey, 'nation-' || c_nationkey, 'implements', 0.7, '', '' from customer
-  union all select 'supplier-' || l_suppkey, 'part-' || l_partkey, 'cites', 0.0, strftime(min(l_shipdate), '%Y-%m-%dT%H:%M:%SZ'), '' from lineitem where l_linenumber = 1 and l_partkey % 10 = 0 group by l_suppkey, l_partkey
+  union all select 'supplier-' || l_suppkey, 'part-' || l_partkey, 'cites', 0.0, strftime(min(l_shipdate), '%Y-%m-%dT%H:%M:%SZ'), '' from lineitem group by l_suppkey, l_partkey
   union all select 'customer-' || o_custkey, 'priority-' || left(o_orderpriority, 1), 'optimizes', round(max(o_totalprice) / 1000000, 6), strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%SZ'), '' from orders group by o_custkey, left(o_orderpriority, 1))"""
 
 
@@ -123,7 +123,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_path"), F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("hash"),
         F.coalesce("source_type", F.lit("article")).alias("file_type"), F.octet_length(text).cast("long").alias("size_bytes"),
-        (F.col("doc_id") % 4).cast("int").alias("tier"), (F.col("doc_id") % 7).cast("int").alias("hits"), "doc_id",
+        (F.col("doc_id") % 4).cast("int").alias("tier"), (F.col("doc_id") % 7).cast("int").alias("hits"), "doc_id", "ingested_at",
     )
 
 

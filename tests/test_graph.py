@@ -101,3 +101,24 @@ def test_cycles_of_any_length_beside_chains(spark):
     got = {tuple(r) for r in graph.cycles(edges(spark, *((a, b, "x") for a, b in pairs))).collect()}
     assert got == {(">".join(ring), 9), (">".join(ring[3:]), 6), ("p>q", 2)}
     assert graph.cycles(edges(spark, ("a", "b", "x"), ("b", "c", "x"))).count() == 0
+
+
+def test_conflicts_over_components_and_rejections_either_way(spark):
+    rows = [("b", "a", "applied", "1"), ("d", "c", "Applied ", "1"), ("a", "c", "rejected", "1"), ("b", "d", "pending", "2"), ("x", "y", "pending", "1"), ("b", "a", "pending", None), ("p", "p", "pending", "1"), (None, "q", "applied", "1"), ("b", "d", "pending", "2")]
+    latest = graph.latest_aliases(spark.createDataFrame(rows, "alias string, canonical_id string, status string, decided_at string"))
+    assert {tuple(r) for r in graph.pair_conflicts(latest).collect()} == {("b", "d", 1)}
+    pairs = spark.createDataFrame([("c", "a"), ("a", "b")], "a string, b string")
+    assert [tuple(r) for r in graph.rejected_either_way(pairs, latest).collect()] == [("a", "b")]
+    assert graph.pair_conflicts(latest.limit(0)).count() == 0
+
+
+def test_unlinked_triggers_and_guarded_clusters(spark):
+    derived = spark.createDataFrame([("al", "s", "t", "r"), ("be", "s", "t", "r")], "alias_id string, source_id string, target_id string, relation string")
+    aliases = spark.createDataFrame([("al", "c", "applied"), ("be", "c", "applied")], "alias string, canonical_id string, status string")
+    kept, marked = graph.unlink(derived, aliases, spark.createDataFrame([("al",)], "alias string"))
+    assert [r.alias_id for r in kept.collect()] == ["be"] and {(r.alias, r.status) for r in marked.collect()} == {("al", "rejected"), ("be", "applied")}
+    e = spark.createDataFrame([("a", "b", "owns", 0.9), ("a", "c", "owns", None), ("a", "d", "contradicts", 1.0), ("a", "e", "cites", 1.0)], "source_id string, target_id string, relation string, confidence double")
+    assert {(r.target_id, r.action) for r in graph.triggered(e, ["owns"]).collect()} == {("b", "supersede"), ("c", "conflict"), ("d", "conflict")}
+    m = spark.createDataFrame([("1", 0, "a", 1.7), ("1", 1, "b", None), ("2", 0, "b", 0.5), ("2", 1, "c", 0.5), ("3", 0, "zz", 0.5), ("3", 1, "c", 0.5)], "cluster string, pos int, id string, confidence double")
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert {tuple(r) for r in graph.guarded_clusters(m, known).collect()} == {("1", "a", 1.0), ("1", "b", 0.0)}
