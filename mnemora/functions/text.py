@@ -71,6 +71,18 @@ def front_matter(text: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(text, "\r", ""), r"^﻿?---\n((?:[^\n]*\n)*?)---(?:\n|$)", 1)
 
 
+def with_front_matter(text: Column, **fields: Column) -> Column:
+    """A text after a block of its fields, in their order, without those that are null; line ends in them become spaces."""
+    lines = (F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), F.regexp_replace(v, r"[\r\n]+", " "))) for k, v in fields.items())
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), F.coalesce(text, F.lit("")))
+
+
+def sections(text: Column, least: int = 0) -> Column:
+    """A text split before each heading line; one of at most ``least`` characters is a section as it is, 0 splits always."""
+    parts = F.filter(F.split(text, r"(?m)(?=^#{1,6}[ \t])"), lambda s: s != "")
+    return F.when(F.length(text) <= least, F.array(text)).otherwise(parts) if least else parts
+
+
 def body(text: Column) -> Column:
     """A text without its front matter."""
     return F.regexp_replace(F.regexp_replace(text, "\r", ""), r"^﻿?---\n(?:[^\n]*\n)*?---(?:\n|$)", "")
@@ -97,16 +109,16 @@ def turn(line: Column) -> Column:
     label = "(" + "|".join(speakers()) + ")"
     lead = rf"^(?:\*\*)?{label}( [0-9]{{1,3}})?(?:\*\*[ \x{{A0}}]?[:：]|[ \x{{A0}}]?[:：]\*\*|[ \x{{A0}}]?[:：])[ \t\x{{A0}}\x{{3000}}]?"
     who = F.regexp_extract(line, lead, 1)
-    role = F.lit(None).cast("string")
-    for r in SPEAKERS:
-        role = F.when(who.isin(speakers(r)), F.concat(F.lit(r), F.regexp_extract(line, lead, 2)) if r == "speaker" else F.lit(r)).otherwise(role)
-    return F.when(who != "", F.struct(role.alias("role"), F.regexp_replace(line, lead, "").alias("said")))
+    known = F.create_map(*(F.lit(x) for r in SPEAKERS for label in speakers(r) for x in (label, r)))
+    role = F.element_at(known, who)
+    numbered = F.when(role == "speaker", F.concat(role, F.regexp_extract(line, lead, 2))).otherwise(role)
+    return F.when(who != "", F.struct(numbered.alias("role"), F.regexp_replace(line, lead, "").alias("said")))
 
 
 def key_phrases(text: Column) -> Column:
     """The first five windows of three words of each sentence, lower case, of at least ten bytes, distinct, the first fifty."""
     def of_sentence(s: Column) -> Column:
-        w = F.filter(F.split(F.trim(s), r"\s+"), lambda x: x != "")
+        w = F.filter(F.split(s, r"(?U)\s+"), lambda x: x != "")
         starts = F.when(F.size(w) >= 3, F.sequence(F.lit(1), F.least(F.lit(5), F.size(w) - 2))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.lower(F.array_join(F.slice(w, i, 3), " ")))
 

@@ -63,20 +63,64 @@ def reconcile(files: DataFrame, indexed: DataFrame, vectors: DataFrame) -> DataF
 
 
 def provenance(concepts: DataFrame) -> DataFrame:
-    """``(source, articles)`` of concepts ``(name, sources array)``."""
-    return concepts.select("name", F.explode("sources").alias("source")).groupBy("source").agg(F.countDistinct("name").alias("articles"))
+    """``(source, articles)`` of distinct pairs ``(name, source)``."""
+    return concepts.groupBy("source").agg(F.count("*").alias("articles"))
 
 
-def without_sources(concepts: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Concepts ``(name, sources)`` after sources ``(source)`` are removed, and the sources deferred.
+def without_sources(concepts: DataFrame, removed: DataFrame, prune: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``(name, source)`` after sources ``(source)`` are removed, and the sources deferred.
 
-    A source that is the only one of some concept is deferred and stays everywhere.
+    A source that is the only one of some concept is deferred and stays everywhere; with ``prune`` none is deferred, and
+    concepts left without a source are gone.
     """
-    rows = concepts.select("name", F.explode(F.array_distinct("sources")).alias("source"), (F.size(F.array_distinct("sources")) == 1).alias("only"))
-    hit = rows.join(removed.distinct(), "source", "left_semi")
-    deferred = hit.where("only").select("source").distinct()
-    kept = rows.join(removed.join(deferred, "source", "left_anti").distinct(), "source", "left_anti")
-    return kept.groupBy("name").agg(F.sort_array(F.collect_set("source")).alias("sources")), deferred
+    if prune:
+        return concepts.join(removed.distinct(), "source", "left_anti"), removed.select("source").where(F.lit(False))
+    only = concepts.groupBy("name").agg(F.count("*").alias("n"), F.min("source").alias("source")).where("n = 1").select("source").distinct()
+    deferred = removed.distinct().join(only, "source", "left_semi")
+    return concepts.join(removed.distinct().join(deferred, "source", "left_anti"), "source", "left_anti"), deferred
+
+
+def queue_upsert(old: DataFrame, new: DataFrame, flags: list[str]) -> DataFrame:
+    """Rows ``(path, hash, size_bytes, status, attempts, lease, *flags)`` after new ones ``(path, hash, size_bytes)`` are put in.
+
+    A row of the same hash keeps its state and flags. One of another hash, or a new one, is pending, without attempts, lease or flags.
+    Rows that aren't in the new ones stay. Paths are unique on both sides.
+    """
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, F.col("o.path") == F.col("n.path"), "full_outer")
+    same = F.coalesce((F.col("o.path").isNotNull()) & (F.col("n.path").isNull() | F.col("o.hash").eqNullSafe(F.col("n.hash"))), F.lit(False))
+    keep = lambda c, other: F.when(same, F.col(f"o.{c}")).otherwise(other).alias(c)
+    return both.select(
+        F.coalesce("o.path", "n.path").alias("path"), F.when(F.col("n.path").isNull(), F.col("o.hash")).otherwise(F.col("n.hash")).alias("hash"),
+        F.when(F.col("n.path").isNull(), F.col("o.size_bytes")).otherwise(F.col("n.size_bytes")).alias("size_bytes"),
+        keep("status", F.lit("pending")), keep("attempts", F.lit(0)), keep("lease", F.lit(None).cast("string")), *(keep(f, F.lit(False)) for f in flags),
+    )
+
+
+def pending(rows: DataFrame, tier: int, flags: dict[int, list[str]]) -> DataFrame:
+    """Rows of at least a tier with an open flag of that tier's passes."""
+    return rows.where((F.col("tier") >= tier) & reduce(lambda a, b: a | b, (~F.coalesce(f, F.lit(False)) for f in flags[tier])))
+
+
+def resolved_tier(files: DataFrame, folders: DataFrame, by_extension: dict[str, int], default: int = 1) -> DataFrame:
+    """``(path, tier)`` of files ``(path, own)``: the own one, else the nearest folder's of ``(folder, tier)``, else the extension's."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    up = files.withColumn("folder", F.explode(above)).join(folders, "folder")
+    near = up.groupBy("path").agg(F.max_by("tier", F.length("folder")).alias("near"))
+    ext = F.element_at(F.create_map(*(F.lit(x) for kv in by_extension.items() for x in kv)), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    return files.join(near, "path", "left").select("path", F.coalesce("own", "near", ext, F.lit(default)).alias("tier"))
+
+
+def ordered_union(a: Column, b: Column) -> Column:
+    """The items of both arrays in order, each once; a null array is empty."""
+    return F.array_distinct(F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))))
+
+
+def stale_outputs(outputs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(output, source)``: sources of outputs ``(output, source, hash)`` whose hash in ``sources(source, hash)`` is another, or gone."""
+    now = sources.select("source", F.col("hash").alias("now"))
+    return outputs.join(now, "source", "left").where(~F.col("hash").eqNullSafe(F.col("now"))).select("output", "source")
 
 
 def quality(articles: DataFrame, known: DataFrame, text: str = "text", source: str = "source_text") -> DataFrame:

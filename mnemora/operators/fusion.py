@@ -74,6 +74,50 @@ def shape(fused: DataFrame, entries: DataFrame, dates: DataFrame, now: int, limi
     return top.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))
 
 
+CHANNELS = ("bm25", "vector", "graph")
+
+
+def chosen(channels: list[str] | None) -> list[str]:
+    """The channels to run, in their order; all without a choice. An unknown name is an error."""
+    if unknown := sorted(set(channels or ()) - set(CHANNELS)):
+        raise ValueError(f"unknown channels: {', '.join(unknown)}")
+    return [c for c in CHANNELS if c in channels] if channels else list(CHANNELS)
+
+
+def run(legs: dict[str, list], entries: DataFrame, dates: DataFrame, now: int, limit: int, channels: list[str] | None = None, **how) -> tuple[DataFrame, list[str]]:
+    """The facade: the fused lists of the chosen channels, shaped, and the channels that ran.
+
+    ``legs`` has for each channel functions of a list length that each give ``(id, rank)``, and perhaps chunk_id; only those of
+    chosen channels are called, and a channel without any doesn't count as run. The pool is ``limit``, or three times that with any filter, boost or
+    predicate in ``how``, see ``shape``.
+    """
+    pool = limit * 3 if any(v is not None and v != [] for v in how.values()) else limit
+    ran = [c for c in chosen(channels) if legs.get(c)]
+    lists = []
+    for c in ran:
+        for leg in legs[c]:
+            rows = leg(pool)
+            lists.append(ranked_list(rows, c, len(lists), "id", "chunk_id" if "chunk_id" in rows.columns else None))
+    if not lists:
+        return entries.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False)), ran
+    return shape(fuse(lists, limit=pool), entries, dates, now, limit, **how), ran
+
+
+def variants(query: str, expand=None) -> list[tuple[str, str]]:
+    """``(kind, text)``: the query and what ``expand(query)`` adds to it, lexical, vector and hypothetical texts; the query alone where it fails.
+
+    Repeats of the query and empty texts are left out. A stop by the user isn't taken for a failure.
+    """
+    rows = [("original", query)]
+    if expand is not None:
+        try:
+            more = expand(query) or {}
+        except Exception:  # a provider's failure costs the variants, not the search
+            more = {}
+        rows += [(kind, t) for kind in ("lex", "vec", "hyde") for t in more.get(kind, []) if t and t.strip() and t != query]
+    return rows
+
+
 def legacy(text: DataFrame, vector: DataFrame, entries: DataFrame, dates: DataFrame, now: int, limit: int, boost: list[str] | None = None) -> DataFrame:
     """The older fusion: equal weights, boosts on the raw sum, tags without case."""
     rows = text.select("id", F.col("rank").alias("a")).join(vector.select("id", F.col("rank").alias("b")), "id", "full_outer")
@@ -114,6 +158,23 @@ def trusted(rows: DataFrame, confirmed: DataFrame, include: bool | None) -> Data
     return rows.where(~is_output).unionByName(rows.where(is_output).join(confirmed.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
+def longest_within(docs: DataFrame, key: str, doc: str, size: str, tokens: Column, budget: int) -> DataFrame:
+    """``(key, doc, rank, tokens, spent)``: for each key its longest documents, ties by id, until one would exceed the budget.
+
+    ``tokens`` is an expression of ``size``, so that all documents of one size cost alike: sizes are added up first, and only
+    documents of sizes that fit are ranked, each within its size.
+    """
+    sizes = docs.groupBy(key, size).agg(F.count("*").alias("n_of")).withColumn("tokens", tokens.cast("long"))
+    before = Window.partitionBy(key).orderBy(F.desc(size)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sizes.withColumn("spent_before", F.coalesce(F.sum(F.col("n_of") * F.col("tokens")).over(before), F.lit(0))).withColumn("rank_before", F.coalesce(F.sum("n_of").over(before), F.lit(0)))
+    room = F.when(F.col("tokens") == 0, F.col("n_of")).otherwise(F.floor((F.lit(budget) - F.col("spent_before")) / F.col("tokens")))
+    kept = sums.withColumn("kept", F.greatest(F.lit(0), F.least("n_of", room))).withColumn("cut", F.coalesce(F.max((F.col("kept") < F.col("n_of")).cast("int")).over(before), F.lit(0)))
+    kept = kept.where("cut = 0 and kept > 0").select(key, size, "tokens", "spent_before", "rank_before", "kept")
+    at = F.row_number().over(Window.partitionBy(key, size).orderBy(doc))
+    rows = docs.join(kept, [key, size]).withColumn("at", at).where("at <= kept")
+    return rows.select(key, doc, (F.col("rank_before") + F.col("at")).cast("int").alias("rank"), "tokens", (F.col("spent_before") + F.col("at") * F.col("tokens")).alias("spent"))
+
+
 def within_budget(rows: DataFrame, order: str, tokens: str, budget: int) -> DataFrame:
     """The first rows until one would exceed the budget, where it ends. For one ranked list, which is short."""
     running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

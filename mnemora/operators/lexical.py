@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import words
+from mnemora.runtime import durable
 
 #: Weights of the columns of entries and of chunks.
 ENTRY_WEIGHTS = {"id": 3.0, "content": 1.0, "tags": 1.5, "article_path": 3.0}
@@ -32,23 +34,71 @@ def counted(docs: DataFrame, key: str, weights: dict[str, float], terms: list[st
 def bm25(docs: DataFrame, key: str, weights: dict[str, float], terms: list[str]) -> DataFrame:
     """``(key, score)`` of all documents that hold a word with one of the prefixes ``terms``, which must be distinct.
 
-    Two scans and no shuffle of documents: one aggregate row gives the number of documents, their mean length and each
-    term's document frequency. Null columns have no words. No terms, or no documents, give an empty result.
+    One scan and no shuffle of documents: what has a hit is written, and while that runs the number of documents, their mean
+    length and each term's document frequency are observed. Null columns have no words. No terms, or no documents, give an
+    empty result. Many queries cost less by ``index``.
     """
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
     rows = counted(docs, key, weights, terms)
-    n, mean, *df = rows.agg(F.count("*"), F.avg("length"), *(F.count_if(F.col("tf")[i] > 0) for i in range(len(terms)))).first()
+    seen = Observation()
+    measures = [F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"d{i}") for i in range(len(terms)))]
+    rows = durable(rows.observe(seen, *measures).where(F.exists("tf", lambda x: x > 0)))
+    n, mean = seen.get["n"], seen.get["mean"]
+    df = [seen.get[f"d{i}"] or 0 for i in range(len(terms))]
     idf = [max(log((n - d + 0.5) / (d + 0.5)), IDF_LEAST) for d in df]
     norm = K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0)))
     parts = (F.lit(w) * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + norm) for i, w in enumerate(idf))
-    return rows.where(F.exists("tf", lambda x: x > 0)).select(key, sum(parts, F.lit(0.0)).alias("score"))
+    return rows.select(key, sum(parts, F.lit(0.0)).alias("score"))
+
+
+@dataclass
+class Index:
+    """Postings ``(word, key, tf)`` with weighted counts, lengths ``(key, length)``, and how many documents there are, of which mean length."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    documents: int
+    mean: float
+
+
+def index(docs: DataFrame, key: str, weights: dict[str, float]) -> Index:
+    """Takes every text apart once, for any number of queries."""
+    split = durable(docs.select(F.col(key).cast("string").alias("key"), *(words(F.coalesce(c, F.lit(""))).alias(f"w{i}") for i, c in enumerate(weights))))
+    lengths = durable(split.select("key", sum((F.size(f"w{i}") for i in range(len(weights))), F.lit(0)).alias("length")))
+    weighted = lambda i, w: F.transform(f"w{i}", lambda x: F.struct(x.alias("word"), F.lit(float(w)).alias("w")))
+    each = F.flatten(F.array(*(weighted(i, w) for i, w in enumerate(weights.values()))))
+    postings = durable(split.select("key", F.explode(each).alias("e")).groupBy("e.word", "key").agg(F.sum("e.w").alias("tf")))
+    n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
+    return Index(postings, lengths, n, float(mean or 1.0))
+
+
+def search(found: Index, queries: DataFrame, limit: int) -> DataFrame:
+    """``(query, key, score, rank)``: the ``limit`` best documents of each of the queries ``(query, term)``, by the score of ``bm25``.
+
+    Terms are prefixes of words, repeats count once. All queries share one plan: words meet the prefixes by their first characters, in
+    as many lengths as the prefixes have; a word's postings are read once for each prefix, whatever the number of queries.
+    """
+    asked = durable(queries.where("term is not null and term <> ''").select("query", "term").distinct())
+    prefixes = asked.select("term").distinct()
+    sizes = [r[0] for r in prefixes.select(F.length("term")).distinct().collect()]  # lengths of terms: a few dozen
+    if not sizes or not found.documents:
+        return asked.select("query", F.lit("").alias("key"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
+    starts = F.filter(F.array(*(F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in sorted(sizes))), lambda x: x.isNotNull())
+    heads = found.postings.select("word").distinct().select("word", F.explode(starts).alias("term")).join(prefixes, "term", "left_semi")
+    hits = durable(found.postings.join(heads, "word").groupBy("term", "key").agg(F.sum("tf").alias("tf")))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(IDF_LEAST), F.log((F.lit(found.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    norm = K1 * (1 - B + B * F.col("length") / F.lit(found.mean))
+    worth = hits.join(found.lengths, "key").join(df.select("term", idf.alias("idf")), "term")
+    worth = worth.select("term", "key", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
+    scored = asked.join(worth, "term").groupBy("query", "key").agg(F.round(F.sum("part"), 9).alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def ranked(scored: DataFrame, key: str, limit: int, score: str = "score", digits: int = 9) -> DataFrame:
     """The ``limit`` best rows with their rank from 1; ties by key. Scores are rounded so that ties are ties."""
-    from pyspark.sql import Window
-
     top = scored.withColumn(score, F.round(score, digits)).orderBy(F.desc(score), key).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))  # of at most ``limit`` rows
 

@@ -44,6 +44,25 @@ def cosine_to(rows: DataFrame, key: str, query: list[float], column: str = "embe
     return rows.where(F.size(column) == len(query)).select(key, score.alias("score"))
 
 
+def chunks_to(rows: DataFrame, query: list[float], limit: int = 20, column: str = "embedding") -> DataFrame:
+    """``(doc_id, chunk_id, score, rank)``: the ``limit`` chunks ``(chunk_id, doc_id, vector)`` most similar to the query, ties by chunk."""
+    from mnemora.operators.lexical import ranked
+
+    top = ranked(cosine_to(rows.select("chunk_id", column), "chunk_id", query, column), "chunk_id", limit)
+    return top.join(rows.select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "chunk_id", "score", "rank")
+
+
+def similar_question(asked: DataFrame, outputs: DataFrame, least: float = 0.9) -> DataFrame:
+    """``(question, output, score)``: for each of a stated set of questions ``(question, embedding)`` the most similar pending or confirmed
+    output of ``(output, state, embedding)`` if its cosine is at least ``least``; ties to the smaller output."""
+    open_ = outputs.where("state in ('pending', 'confirmed')")
+    rows = open_.select(F.col("output").alias("id"), "embedding")
+    found = queries_against_all(asked.select(F.concat(F.lit("?"), F.col("question")).alias("id"), "embedding"), rows, "id", least)
+    found = found.withColumn("score", F.round("score", 9))
+    best = found.groupBy("a").agg(F.max(F.struct("score")).alias("m"), F.min_by("b", F.struct((-F.col("score")).alias("s"), "b")).alias("output"))
+    return best.select(F.substring("a", 2, 1_000_000).alias("question"), "output", F.col("m.score").alias("score"))
+
+
 def filtered(rows: DataFrame, docs: DataFrame, doc_col: str = "doc_id", most: int = 100) -> DataFrame:
     """Rows of the first ``most`` documents of a filter, by id; an empty filter gives none."""
     return rows.join(F.broadcast(docs.select(doc_col).distinct().orderBy(doc_col).limit(most)), doc_col, "left_semi")

@@ -54,7 +54,7 @@ def reconcile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("source"), F.explode(T.wikilinks(F.col("text"))).alias("name"))
-    return links.groupBy("name").agg(F.collect_set("source").alias("sources"))
+    return links.distinct()
 
 
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,26 +63,112 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts of at least three sources."""
-    return _concepts(spark, sf_dir).where("size(sources) >= 3").select("name", F.size("sources").alias("n_sources"))
+    return _concepts(spark, sf_dir).groupBy("name").agg(F.count("*").cast("int").alias("n_sources")).where("n_sources >= 3")
 
 
 def removed_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inbox documents removed: concepts with what is left of their sources."""
     removed = table(spark, sf_dir, "documents").where("source = 'inbox'").select(F.col("doc_id").alias("source"))
     kept, deferred = corpus.without_sources(_concepts(spark, sf_dir), removed)
-    return kept.select("name", F.size("sources").alias("n_sources")).unionByName(deferred.select(F.concat(F.lit("deferred:"), F.col("source").cast("string")).alias("name"), F.lit(0).alias("n_sources")))
+    return kept.groupBy("name").agg(F.count("*").cast("int").alias("n_sources")).unionByName(deferred.select(F.concat(F.lit("deferred:"), F.col("source").cast("string")).alias("name"), F.lit(0).alias("n_sources")))
+
+
+def removed_and_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts with what is left of their sources once inbox documents are gone for good."""
+    removed = table(spark, sf_dir, "documents").where("source = 'inbox'").select(F.col("doc_id").alias("source"))
+    kept, _ = corpus.without_sources(_concepts(spark, sf_dir), removed, prune=True)
+    return kept.groupBy("name").agg(F.count("*").cast("int").alias("n_sources"))
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with passes done, leases and attempts, made of their numbers."""
+    i = X.items(spark, sf_dir)
+    n = F.col("doc_id")
+    return i.select(
+        F.col("source_path").alias("path"), F.when(n % 13 == 0, F.lit("sha256:old")).otherwise(F.col("hash")).alias("hash"), "size_bytes", "tier", "hits", "doc_id",
+        F.when(n % 5 == 0, "error").otherwise("done").alias("status"), (n % 3).cast("int").alias("attempts"), F.when(n % 4 == 0, "worker-1").alias("lease"),
+        (n % 2 == 0).alias("indexed"), (n % 3 == 0).alias("embedded"), (n % 9 != 0).alias("parsed"),
+        F.when(n % 6 == 0, "").when(n % 6 == 1, F.lit(None).cast("string")).otherwise(F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("last_queried"), "ingested_at",
+    )
+
+
+def queue_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = ["indexed", "embedded", "parsed"]
+    old = _queue(spark, sf_dir).where("doc_id % 10 <> 9").select("path", "hash", "size_bytes", "status", "attempts", "lease", *flags)
+    new = X.items(spark, sf_dir).where("doc_id % 11 <> 5").select(F.col("source_path").alias("path"), "hash", "size_bytes")
+    return corpus.queue_upsert(old, new, flags)
+
+
+def pending_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with an open pass, for each tier that has passes."""
+    flags = {0: ["indexed"], 1: ["embedded"], 3: ["indexed", "embedded", "parsed"]}
+    q = _queue(spark, sf_dir)
+    parts = [corpus.pending(q, k, flags).select("path", F.lit(k).alias("of_tier")) for k in flags]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def promotion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a low tier that were asked for often."""
+    return _queue(spark, sf_dir).where("tier <= 1 and hits >= 3").select("path", "tier", "hits")
+
+
+def demotion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the highest tier last asked for, or, if never, put in, before a day; an empty instant is none."""
+    last = F.nullif("last_queried", F.lit(""))
+    put_in = F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _queue(spark, sf_dir).where((F.col("tier") == 3) & (F.coalesce(last, put_in) < "2024-10-01T00:00:00Z")).select("path", "last_queried")
+
+
+def tiers_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("source_path is not null")
+    own = F.when(F.col("doc_id") % 8 == 0, 3)
+    files = d.select("source_path", own.alias("own")).groupBy(F.col("source_path").alias("path")).agg(F.max("own").alias("own"))
+    folders = files.select(F.explode(F.array(F.regexp_extract("path", r"^([^/]+)/", 1), F.regexp_extract("path", r"^([^/]+/[^/]+)/", 1))).alias("folder")).where("folder <> ''").distinct()
+    folders = folders.where(F.pmod(F.length("folder"), F.lit(3)) == 1).withColumn("tier", F.pmod(F.length("folder"), F.lit(4)))
+    return corpus.resolved_tier(files, folders, {"md": 2, "txt": 0})
+
+
+def coverage_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with how far it came, by path."""
+    how = F.when(F.col("indexed") & F.col("embedded") & F.col("parsed"), "complete").when(F.col("indexed") | F.col("embedded") | F.col("parsed"), "partial").otherwise("none")
+    return _queue(spark, sf_dir).select("path", how.alias("coverage")).orderBy("path")
+
+
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each item is passed over or taken up again: the first rule that fits."""
+    q, now = _queue(spark, sf_dir).where("doc_id % 10 <> 9"), X.items(spark, sf_dir).where("doc_id % 11 <> 5").select(F.col("source_path").alias("path"), F.col("hash").alias("now"))
+    done = F.col("indexed") & F.col("embedded")
+    rule = F.when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("hash"), "modified").when(~done, "resume").when(F.col("lease").isNull(), "adopt").otherwise("unchanged")
+    return q.join(now, "path", "left").select("path", rule.alias("rule"))
+
+
+def source_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a document, then those of the document of half its number, each once."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("tags", ","), lambda t: t != "").alias("t"))
+    half = d.select(F.col("doc_id").alias("other"), F.col("t").alias("u"))
+    return d.join(half, F.floor(F.col("doc_id") / 2) == F.col("other"), "left").select("doc_id", F.array_join(corpus.ordered_union(F.col("t"), F.col("u")), "|").alias("tags"))
+
+
+def source_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as outputs that hold the hash of their document as it was."""
+    c = table(spark, sf_dir, "chunks_meta").select(F.col("chunk_id").alias("output"), F.col("doc_id").alias("source")).distinct()
+    was = _manifest(spark, sf_dir).select(F.concat(F.lit("src:"), F.regexp_extract("path", r"(\d+)", 1)).alias("source"), "hash")
+    now = _current(spark, sf_dir).select(F.concat(F.lit("src:"), F.regexp_extract("path", r"(\d+)", 1)).alias("source"), "hash")
+    return corpus.stale_outputs(c.join(was, "source"), now)
 
 
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the document of the next number as their source."""
     docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "[\r  　​]", " ").alias("text"))
     known = table(spark, sf_dir, "entities").where("name is not null").select("name")
-    return corpus.quality(docs.withColumn("source_text", F.col("text")), known).select("id", "format", "coverage", "wikilink", "anti_pattern")
+    source = docs.select((F.col("id") - 1).alias("id"), F.col("text").alias("source_text"))
+    return corpus.quality(docs.join(source, "id", "left"), known)
 
 
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("ingested_at").cast("timestamp").alias("changed"))
     known = table(spark, sf_dir, "entities").where("name is not null").select("name")
-    return corpus.lint(docs, known, "2024-10-01 00:00:00").groupBy("rule").agg(F.count("*").alias("findings"), F.countDistinct("id").alias("docs"))
+    return corpus.lint(docs, known, "2024-10-01 00:00:00")
 
 
 def independence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +239,15 @@ def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (source_diff, change_feed, manifest_merge, compile_keys, drift_class, reconcile_drift, provenance, evidence_gate, removed_cascade, quality_score, lint_findings, independence, usage_rollup, latency_stats, latency_buckets, scorecard, grounding_mean, queue_stats, learnings_prune, exact_copies, concept_fold, keyed_upsert, source_types)
+    for f in (source_diff, change_feed, manifest_merge, compile_keys, drift_class, reconcile_drift, provenance, evidence_gate, removed_cascade, removed_and_pruned, queue_upsert, pending_by_tier, promotion_candidates, demotion_candidates, tiers_resolved, coverage_list, skip_reasons, source_unions, source_staleness, quality_score, lint_findings, independence, usage_rollup, latency_stats, latency_buckets, scorecard, grounding_mean, queue_stats, learnings_prune, exact_copies, concept_fold, keyed_upsert, source_types)
 }
 
 _CUR = "cur as (select source_path path, hash, file_type as type from items where doc_id % 11 <> 5)"
 _MAN = "man as (select source_path path, case when doc_id % 13 = 0 then 'sha256:old' else hash end hash, case when doc_id % 17 = 0 then 'image' else file_type end as type from items where doc_id % 10 <> 9)"
 _CON = r"con as (select distinct doc_id source, unnest(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1)) as name from documents where text is not null)"
+_QUEUE = """queue as (select i.source_path path, case when doc_id % 13 = 0 then 'sha256:old' else hash end hash, size_bytes, tier, hits, doc_id, case when doc_id % 5 = 0 then 'error' else 'done' end status, (doc_id % 3)::integer attempts,
+  case when doc_id % 4 = 0 then 'worker-1' end as lease, doc_id % 2 = 0 as indexed, doc_id % 3 = 0 as embedded, doc_id % 9 <> 0 as parsed,
+  case when doc_id % 6 = 0 then '' when doc_id % 6 = 1 then null else strftime(d.ingested_at, '%Y-%m-%dT%H:%M:%SZ') end last_queried, d.ingested_at from items i join documents d using (doc_id))"""
 _HITS = " + ".join("(length(low) - length(replace(low, '" + p.replace("'", "''") + f"', ''))) / {len(p)}" for p in T.FILLER)
 
 SQL = {
@@ -173,18 +262,43 @@ SQL = {
     "evidence_gate": X.with_(_CON) + "select name, count(*)::integer n_sources from con group by name having count(*) >= 3",
     "removed_cascade": X.with_(_CON, "rem as (select doc_id source from documents where source = 'inbox')", "one as (select name from con group by name having count(*) = 1)", "def as (select distinct source from con where source in (select source from rem) and name in (select name from one))")
     + "select name, count(*)::integer n_sources from con where source not in (select source from rem where source not in (select source from def)) group by name union all select 'deferred:' || source, 0 from def",
+    "removed_and_pruned": X.with_(_CON) + "select name, count(*)::integer n_sources from con where source not in (select doc_id from documents where source = 'inbox') group by name",
+    "queue_upsert": X.with_(X.ITEMS, _QUEUE) + """select coalesce(o.path, n.path) path, coalesce(n.hash, o.hash) hash, coalesce(n.size_bytes, o.size_bytes) size_bytes, case when k then o.status else 'pending' end status, case when k then o.attempts else 0 end attempts,
+      case when k then o.lease end as lease, k and indexed as indexed, k and embedded as embedded, k and parsed as parsed
+      from (select o, n, o.path is not null and (n.path is null or o.hash = n.hash) k, o.indexed indexed, o.embedded embedded, o.parsed parsed from (select * from queue where doc_id % 10 <> 9) o full join (select source_path path, hash, size_bytes, doc_id from items where doc_id % 11 <> 5) n on o.path = n.path)""",
+    "pending_by_tier": X.with_(X.ITEMS, _QUEUE) + "select path, 0 of_tier from queue where not indexed union all select path, 1 from queue where tier >= 1 and not embedded union all select path, 3 from queue where tier = 3 and not (indexed and embedded and parsed)",
+    "promotion_candidates": X.with_(X.ITEMS, _QUEUE) + "select path, tier, hits from queue where tier in (0, 1) and hits >= 3",
+    "demotion_candidates": X.with_(X.ITEMS, _QUEUE) + "select path, last_queried from queue where tier = 3 and case when last_queried is null or last_queried = '' then strftime(ingested_at, '%Y-%m-%dT%H:%M:%SZ') else last_queried end < '2024-10-01T00:00:00Z'",
+    "tiers_resolved": r"""with f as (select source_path path, max(case when doc_id % 8 = 0 then 3 end) own from documents where source_path is not null group by 1),
+      d as (select distinct regexp_extract(path, '^([^/]+)/', 1) d from f union select regexp_extract(path, '^([^/]+/[^/]+)/', 1) from f), t as (select d, length(d) % 4 tier from d where d <> '' and length(d) % 3 = 1)
+      select path, coalesce(own, (select arg_max(tier, length(d)) from t where starts_with(path, d || '/')), case lower(regexp_extract(path, '\.([^./]+)$', 1)) when 'md' then 2 when 'txt' then 0 end, 1)::integer tier from f""",
+    "coverage_list": X.with_(X.ITEMS, _QUEUE) + "select path, case indexed::integer + embedded::integer + parsed::integer when 3 then 'complete' when 0 then 'none' else 'partial' end coverage from queue order by path",
+    "skip_reasons": X.with_(X.ITEMS, _QUEUE) + "select path, case when doc_id % 11 = 5 then 'removed' when doc_id % 13 = 0 then 'modified' when not (indexed and embedded) then 'resume' when lease is null then 'adopt' else 'unchanged' end rule from queue where doc_id % 10 <> 9",
+    "source_unions": """with t as (select doc_id, list_filter(coalesce(str_split(tags, ','), []), lambda x: x <> '') t from documents), u as (select a.doc_id, list_concat(a.t, coalesce(b.t, [])) l from t a left join t b on a.doc_id // 2 = b.doc_id)
+      select doc_id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|'), '') tags from u""",
+    "source_staleness": X.with_(X.ITEMS, _CUR, _MAN) + r"select distinct chunk_id output, c.doc_id source from chunks_meta c join man m on c.doc_id = 'src:' || regexp_extract(m.path, '(\d+)', 1) left join cur n on m.path = n.path where m.hash is distinct from n.hash",
     "quality_score": rf"""with d as (select doc_id id, regexp_replace(text, '[\r \x{{2028}}　​]', ' ', 'g') t from documents where text is not null), k as (select distinct name from entities where name is not null),
       l as (select id, unnest(regexp_extract_all(t, '\[\[([^\]]+)\]\]', 1)) target from d), w as (select id, avg(case when k.name is null then 0 else 1 end) wikilink from l left join k on l.target = k.name group by id),
       e as (select id, t, lower(t) low, octet_length(encode(t)) n from d)
-      select e.id, round(((starts_with(regexp_replace(t, '^\s+', ''), '---') and contains(t, 'concept:'))::integer + regexp_matches(t, '(?m)^## ')::integer + ((length(t) - length(replace(t, '```', ''))) / 3 % 2 = 0)::integer) / 3.0, 6) format,
-        round(case when t = '' then 0 else least(1.0, n / least(6000.0, greatest(400.0, n * 0.15))) end, 6) coverage, round(coalesce(wikilink, 1.0), 6) wikilink, round(1 - least(1.0, 0.1 * ({_HITS})), 6) anti_pattern from e left join w on e.id = w.id""",
+      , sx as (select id - 1 id, generate_subscripts(l, 1) n, unnest(l) s from (select id, regexp_split_to_array(t, '[.!?\n]') l from d)),
+      ww as (select id, n, list_filter(regexp_split_to_array(trim(s, ' '), '[\t-\r\x{{85}}\p{{Z}}]+'), lambda x: x <> '') w from sx),
+      pp as (select id, n, i, lower(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) phrase from ww, (values (1), (2), (3), (4), (5)) v(i) where i <= len(w) - 2),
+      ff as (select id, phrase, min(n * 10 + i) as place from pp where octet_length(encode(phrase)) >= 10 group by id, phrase), kk as (select id, phrase from ff qualify row_number() over (partition by id order by place) <= 50),
+      kp as (select kk.id, count(*) np, count(*) filter (contains(low, phrase)) h from kk join e on kk.id = e.id group by kk.id),
+      z as (select e.id, coalesce(wikilink, 1.0) wl, round(((starts_with(regexp_replace(t, '^\s+', ''), '---') and contains(t, 'concept:'))::integer + regexp_matches(t, '(?m)^## ')::integer + ((length(t) - length(replace(t, '```', ''))) / 3 % 2 = 0)::integer) / 3.0, 6) format,
+        round(case when t = '' or s.t2 is null or s.t2 = '' then 0 else least(1.0, n / least(6000.0, greatest(400.0, octet_length(encode(t2)) * 0.15))) end, 6) coverage, round(coalesce(wikilink, 1.0), 6) wikilink, round(1 - least(1.0, 0.1 * ({_HITS})), 6) anti_pattern,
+        case when t = '' or s.t2 is null or s.t2 = '' then 0 when kp.np is null then 1 else kp.h / kp.np end g0,
+        round(g0, 6) grounding, ((starts_with(regexp_replace(t, '^\s+', ''), '---') and contains(t, 'concept:'))::integer + regexp_matches(t, '(?m)^## ')::integer + ((length(t) - length(replace(t, '```', ''))) / 3 % 2 = 0)::integer) / 3.0 f0,
+        case when t = '' or s.t2 is null or s.t2 = '' then 0 else least(1.0, n / least(6000.0, greatest(400.0, octet_length(encode(t2)) * 0.15))) end c0, 1 - least(1.0, 0.1 * ({_HITS})) a0
+      from e left join w on e.id = w.id left join (select id - 1 id, t t2 from d) s on e.id = s.id left join kp on e.id = kp.id)
+      select id, format, grounding, coverage, wikilink, anti_pattern, round(0.15 * f0 + 0.3 * g0 + 0.2 * c0 + 0.15 * w0 + 0.2 * a0, 6) combined from (select *, wl w0 from z)""",
     "lint_findings": r"""with d as (select doc_id id, replace(coalesce(text, ''), chr(13), '') t, ingested_at from documents), k as (select distinct lower(name) n from entities where name is not null),
       f as (select distinct id, 'completeness' rule, x detail from (select id, unnest(regexp_extract_all(t, '\[\[([^\]]+)\]\]', 1)) x from d) where lower(x) not in (select n from k)
-        union all select id, 'style', '' from d where t <> '' and not regexp_matches(t, '^﻿?---\n')
+        union all select id, 'style', 'no front matter' from d where t <> '' and not regexp_matches(t, '^﻿?---\n')
         union all select distinct id, 'impute', unnest(regexp_extract_all(t, '\b(TODO|UNKNOWN|TBD)\b', 1)) from d
         union all select distinct id, 'short section', trim(regexp_extract(s, '^#{1,6}[ \t]+([^\n]*)', 1)) from (select id, unnest(str_split(regexp_replace(t, '\n(#{1,6}[ \t])', chr(1) || '\1', 'g'), chr(1))) s from d) where starts_with(s, '#') and length(trim(regexp_replace(s, '^#{1,6}[^\n]*\n?', ''))) < 50
         union all select id, 'staleness', '' from d where ingested_at < timestamp '2024-10-01' - interval 90 days)
-      select rule, count(*) findings, count(distinct id) docs from f group by rule""",
+      select id, rule, detail from f""",
     "independence": """with c as (select distinct o_custkey output, l_orderkey k, l_suppkey % 10 chunk from lineitem join orders on l_orderkey = o_orderkey), s as (select output, k, list(chunk) l from c group by output, k),
       p as (select x.output, 1 - len(list_intersect(x.l, y.l)) / (len(x.l) + len(y.l) - len(list_intersect(x.l, y.l))) d from s x join s y on x.output = y.output and x.k < y.k), n as (select output, count(*) n from s group by output)
       select n.output, round(coalesce(avg(d), 0), 6) independence, n from n left join p on n.output = p.output group by n.output, n""",

@@ -75,7 +75,7 @@ _TAGS = {"python": ("python3",), "go": ("golang",), "javascript": ("typescript",
 
 
 def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions in the fenced code of documents, in every language that the operator parses; the SQL knows Python in backticks only."""
+    """Functions in the fenced code of documents, in every language that the operator parses."""
     tags = F.lower(F.regexp_extract("block", _FENCE, 2))
     ext = F.coalesce(*(F.when(tags.isin(lang, *of[0].split(), *_TAGS.get(lang, ())), F.lit(of[0].split()[0])) for lang, of in code.LANGUAGES.items()))
     blocks = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all(F.regexp_replace("text", "\r", ""), F.lit(_FENCE), F.lit(0))).alias("block"))
@@ -94,6 +94,4 @@ SQL = {
       s as (select user_id, ts, sum(n) over (partition by user_id order by ts rows unbounded preceding) k from g) select user_id, min(ts) as start, max(ts) + interval 6 hours as "end", count(*) events from s group by user_id, k""",
     "events_dedup": "select event_type, count(distinct (user_id, date_trunc('day', ts))) user_days from events group by event_type",
     "event_payloads": "select event_type, count(json_extract_string(props, '$.k')::integer) with_k, sum(json_extract_string(props, '$.k')::integer)::bigint sum_k, max(json_extract_string(props, '$.k')::integer) max_k from events group by event_type",
-    "code_structure": r"""with b as (select doc_id, unnest(regexp_extract_all(replace(text, chr(13), ''), '(?m)^```python\n((?:[^`\n][^\n]*\n|\n)*)', 1)) code from documents where text is not null)
-      select fn as function, count(distinct doc_id) docs from (select doc_id, unnest(regexp_extract_all(code, '(?m)^\s*(?:async\s+)?def\s+(\w+)', 1)) fn from b) group by fn""",
 }

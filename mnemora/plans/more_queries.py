@@ -44,7 +44,6 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.queries_against_all(v.where("cast(regexp_extract(id, '([0-9]+)', 1) as long) % 100 = 0"), v, "id", 0.6)
     path = table(spark, sf_dir, "documents").select(F.concat(F.lit("src:"), F.col("doc_id").cast("string")).alias("id"), F.regexp_extract("source_path", r"([^/]*)$", 1).alias("name"))
     named = found.withColumn("score", F.round("score", 9)).join(path.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(path.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
-    named = named.withColumn("x", F.regexp_replace("x", r"[0-9]+", "")).withColumn("y", F.regexp_replace("y", r"[0-9]+", ""))
     return vectors.near_duplicates(named, F.coalesce(vectors.never_merge(F.col("x"), F.col("y")), F.lit(False)))
 
 
@@ -109,8 +108,8 @@ def source_path_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     head = F.coalesce(F.substring("text", 1, 500), F.lit(""))
     path = F.coalesce("source_path", F.lit(""))
-    rows = d.select(files.signalled_type(path, head, SIGNALS).alias("type"), files.source_type(path).alias("by_extension"), files.ignored(path, ["*.txt", "inbox"]).alias("ignored"), code.language(path).alias("language"))
-    return rows.groupBy("type", "by_extension", "ignored", "language").agg(F.count("*").alias("docs"))
+    rows = d.select("doc_id", files.signalled_type(path, head, SIGNALS).alias("type"), files.source_type(path).alias("by_extension"), files.ignored(path, ["*.txt", "inbox"]).alias("ignored"), code.language(path).alias("language"))
+    return rows
 
 
 def filler_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,9 +140,9 @@ _LANG = "case " + " ".join(f"when lower(regexp_extract(p, '\\.([^./]+)$', 1)) in
 
 SQL = {
     "content_hashes": "select doc_id, 'sha256:' || sha256(text) hash, octet_length(encode(text))::integer bytes from documents where text is not null",
-    "source_path_types": f"""with d as (select coalesce(source_path, '') p, coalesce(substring(text, 1, 500), '') h from documents), e as (select *, lower(regexp_extract(p, '([^/]*)$', 1)) n, lower(h) l from d)
+    "source_path_types": f"""with d as (select doc_id, coalesce(source_path, '') p, coalesce(substring(text, 1, 500), '') h from documents), e as (select *, regexp_extract(p, '([^/]*)$', 1) n, h l from d)
       select case when contains(n, 'meeting') or contains(n, 'minutes') then 'minutes' when contains(l, 'graph leg')::integer + contains(l, 'entity graph')::integer + contains(l, 'backlink')::integer >= 2 then 'graph' when contains(h, '```python') then 'code' else {_TYPE} end as type,
-        {_TYPE} by_extension, ends_with(lower(p), '.txt') or contains('/' || p || '/', '/inbox/') ignored, {_LANG} as language, count(*) docs from e group by all""",
+        {_TYPE} by_extension, ends_with(lower(p), '.txt') or contains('/' || p || '/', '/inbox/') ignored, {_LANG} as language, doc_id from e""",
     "trusted_results": X.with_(X.ENTRIES, X.ITEMS, S._DOC, "r as (select case when regexp_extract(k, '([0-9]+)', 1)::bigint % 3 = 0 then 'output:' || regexp_extract(k, '([0-9]+)', 1) else k end doc_id, score from doc where rank <= 30)")
     + "select doc_id, score from r where not starts_with(doc_id, 'output:') or doc_id in (select 'output:' || doc_id from items where tier < 2)",
     "filler_stripped": "select doc_id, contains(lower(text), 'in summary') as left, length(text)::integer + 1 chars from documents where regexp_matches(text, '\\w')",
@@ -153,9 +152,9 @@ SQL = {
       s(word, predicate) as (values ('old form', 'was'), ('short form', 'short'), ('was', 'was'), ('short', 'short')),
       r as (select doc, source, predicate, target, greatest(0.0, least(1.0, coalesce(confidence, 0.0))) confidence, pos from a join s on lower(trim(w)) = s.word where source <> target and source in (select id from entities where id is not null) and target in (select id from entities where id is not null))
       select * from r qualify row_number() over (partition by doc order by pos, source, target, predicate) <= 60""",
-    "semantic_dedup": X.with_(X.VECTORS, _PAIR, r"named as (select a, b, round(s, 9) score, regexp_replace(regexp_extract(x.source_path, '([^/]*)$', 1), '[0-9]+', '', 'g') x, regexp_replace(regexp_extract(y.source_path, '([^/]*)$', 1), '[0-9]+', '', 'g') y from pairs join documents x on a = 'src:' || x.doc_id join documents y on b = 'src:' || y.doc_id where s >= 0.6)",
+    "semantic_dedup": X.with_(X.VECTORS, _PAIR, r"named as (select a, b, round(s, 9) score, regexp_extract(x.source_path, '([^/]*)$', 1) x, regexp_extract(y.source_path, '([^/]*)$', 1) y from pairs join documents x on a = 'src:' || x.doc_id join documents y on b = 'src:' || y.doc_id where s >= 0.6)",
         r"tok as (select *, regexp_extract_all(lower(x), '[\p{L}\p{Nd}]+') u, regexp_extract_all(lower(y), '[\p{L}\p{Nd}]+') v from named)")
-    + """select a, b, score from tok where not coalesce((contains(u, 'draft') <> contains(v, 'draft') and (contains(u, 'final') or contains(v, 'final'))) or (contains(u, 'final') <> contains(v, 'final') and (contains(u, 'draft') or contains(v, 'draft')))
+    + """select a, b, score from tok where not coalesce(list_sort(list_filter(list_distinct(u), lambda w: regexp_matches(w, '[0-9]'))) <> list_sort(list_filter(list_distinct(v), lambda w: regexp_matches(w, '[0-9]'))) or (contains(u, 'draft') <> contains(v, 'draft') and (contains(u, 'final') or contains(v, 'final'))) or (contains(u, 'final') <> contains(v, 'final') and (contains(u, 'draft') or contains(v, 'draft')))
         or (contains(u, 'primary') <> contains(v, 'primary') and (contains(u, 'secondary') or contains(v, 'secondary'))) or (contains(u, 'secondary') <> contains(v, 'secondary') and (contains(u, 'primary') or contains(v, 'primary'))), false)
         qualify row_number() over (partition by a order by score desc, b) = 1""",
     "ego_graph": X.with_(X.RELATIONS, X.GRAPH_ENTITIES, "near as (select id from graph_entities where type <> 'source' and (id = 'nation-5' or id in (select source_id from relations where target_id = 'nation-5' union all select target_id from relations where source_id = 'nation-5')))") + "select source_id, target_id, relation from relations where source_id in (select id from near) and target_id in (select id from near)",

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemora.operators import fusion, lexical, vectors
+from mnemora.functions import text as T
+from mnemora.operators import fusion, graph, lexical, vectors
 from mnemora.plans import fixtures as X
+from mnemora.plans.text_queries import TERMS_OF_QUESTIONS as _TERMS
 from mnemora.runtime import table
 
 #: The fixed query: prefix terms, and the embedding of vec_id 0.
 TERMS = ["vector", "ledger", "snapshot", "rebuild"]
 OTHER_TERMS = ["citation", "merge"]
+LEG_TERMS = ["stale", "manifest", "ranked", "snapshot", "pinned", "embedding", "cache"]
 TAGS = ["graph", "index"]
 NOW = 1735689600
 
@@ -118,11 +121,75 @@ def _lists(spark: SparkSession, sf_dir: str, graph: bool = False) -> list[DataFr
         fusion.ranked_list(vector_list(spark, sf_dir), "vector", 2),
     ]
     if graph:
-        linked = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("src:"), F.col("doc_id").cast("string")).alias("id"), F.size(F.regexp_extract_all("text", F.lit(r"\[\[[^\]]+\]\]"), F.lit(0))).cast("double").alias("score")).where("score > 0")
-        lists.append(fusion.ranked_list(lexical.ranked(linked, "id", 50), "graph", 3))
+        lists.append(fusion.ranked_list(chunk_vector_list(spark, sf_dir), "vector", 3, "doc_id", "chunk_id"))
+        lists.append(fusion.ranked_list(graph_list(spark, sf_dir), "graph", 4))
     return lists
 
 
+def chunk_vector_list(spark: SparkSession, sf_dir: str, limit: int = 20) -> DataFrame:
+    """Embeddings as those of the first chunks of documents of their numbers."""
+    e = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("src:"), F.col("vec_id").cast("string")).alias("doc_id"), "embedding")
+    c = X.chunks(spark, sf_dir).where("chunk_index = 0").groupBy("doc_id").agg(F.min("chunk_id").alias("chunk_id"))
+    return vectors.chunks_to(e.join(c, "doc_id"), _query_vector(spark, sf_dir), limit)
+
+
+def chunk_vector_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_vector_list(spark, sf_dir)
+
+
+def document_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and the names that they link as a graph; only documents are articles."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("src:"), F.col("doc_id").cast("string")).alias("source_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)))).alias("target_id"))
+    edges = d.select("source_id", F.replace(F.lower("target_id"), F.lit(" "), F.lit("-")).alias("target_id"), F.lit("cites").alias("relation")).distinct()
+    articles = edges.select(F.col("source_id").alias("id"), F.concat(F.lit("docs/"), "source_id").alias("article_path")).distinct()
+    return edges, articles.unionByName(edges.select(F.col("target_id").alias("id"), F.lit("").alias("article_path")).distinct())
+
+
+def graph_list(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
+    """The graph leg over links: documents within two links of what the query names."""
+    edges, nodes = document_edges(spark, sf_dir)
+    none = spark.createDataFrame([], "alias string, canonical_id string")
+    near = graph.graph_leg(edges, nodes, none, LEG_TERMS, limit, factor=1)
+    order = Window.orderBy("score", "id")  # of at most ``limit`` rows
+    return near.select("id", "score", F.row_number().over(order).alias("rank"))
+
+
+def graph_list_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_list(spark, sf_dir)
+
+
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents of every question of the memory benchmark, all in one plan."""
+    q = table(spark, sf_dir, "longmemeval_full").where("question is not null").select(F.col("question").alias("query")).distinct()
+    terms = q.select("query", F.explode(T.query_terms(F.col("query"))).alias("term"))
+    found = lexical.search(lexical.index(X.entries(spark, sf_dir), "id", lexical.ENTRY_WEIGHTS), terms, 3)
+    return found.select("query", F.col("key").alias("id"), "score", "rank")
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> dict:
+    return {
+        "bm25": [lambda n: bm25_list(spark, sf_dir, limit=n)], "vector": [lambda n: vector_list(spark, sf_dir, n)],
+        "graph": [lambda n: graph_list(spark, sf_dir, n)],
+    }
+
+
+def search_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facade over some channels and all, each with the channels that ran."""
+    out = []
+    for channels in (["bm25"], ["vector", "bm25"], None):
+        rows, ran = fusion.run(_legs(spark, sf_dir), X.entries(spark, sf_dir), X.entry_dates(spark, sf_dir), NOW, 10, channels)
+        out.append(rows.select(F.lit("+".join(ran)).alias("channels"), "doc_id", "score", "rank"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def similar_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings divisible by 100 as questions, and stored vectors as outputs, of which every third number's state is stale."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("question"), "embedding")
+    n = F.regexp_extract("id", "([0-9]+)", 1).cast("long")
+    outputs = X.vectors(spark, sf_dir).select(F.col("id").alias("output"), F.when(n % 3 == 0, "stale").when(n % 3 == 1, "pending").otherwise("confirmed").alias("state"), "embedding")
+    return vectors.similar_question(e, outputs, 0.2)
+
+
 def hybrid_rrf_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: BM25 and cosine lists of documents, fused."""
     lists = [fusion.ranked_list(bm25_list(spark, sf_dir), "bm25"), fusion.ranked_list(vector_list(spark, sf_dir), "vector", 1)]
@@ -130,7 +197,7 @@ def hybrid_rrf_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_three_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk and document BM25, vectors, and documents by their links in the place of the graph leg."""
+    """Chunk and document BM25, document and chunk vectors, and the graph leg over the documents' links."""
     return fusion.fuse(_lists(spark, sf_dir, True), limit=20)
 
 
@@ -176,7 +243,7 @@ def federated_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_doc_top10, bm25_chunk_top20, strong_signal, bm25_tagged, count_uncompiled, learnings_recall, cosine_doc_top10, cosine_filtered, similar_pairs, int8_codes, int8_roundtrip_topk, normalized_norms, never_merge_pairs, hybrid_rrf_top10, hybrid_three_channel, multi_query_fusion, search_recency, search_facade_filters, legacy_hybrid, rerank_blend, federated_top10)
+    for f in (bm25_doc_top10, bm25_chunk_top20, strong_signal, bm25_tagged, count_uncompiled, learnings_recall, cosine_doc_top10, cosine_filtered, similar_pairs, int8_codes, int8_roundtrip_topk, normalized_norms, never_merge_pairs, hybrid_rrf_top10, hybrid_three_channel, multi_query_fusion, search_recency, search_facade_filters, legacy_hybrid, rerank_blend, federated_top10, chunk_vector_top20, graph_list_top50, bm25_batch, search_channels, similar_questions)
 }
 
 
@@ -195,6 +262,16 @@ def _bm25_sql(name: str, source: str, key: str, weights: dict[str, float], terms
 _QV = "(select embedding::double[] from embeddings where vec_id = 0)"
 _VEC = f"""vec_s as (select id k, round(list_cosine_similarity(embedding::double[], {_QV}), 9) score from vectors),
 vec as (select k, score, row_number() over (order by score desc, k) rank from vec_s qualify rank <= 50)"""
+_CVEC = (f"""cvec as (select e.doc_id, c.chunk_id, round(list_cosine_similarity(embedding::double[], {_QV}), 9) score, row_number() over (order by round(list_cosine_similarity(embedding::double[], {_QV}), 9) desc, c.chunk_id) rank
+  from (select 'src:' || vec_id doc_id, embedding from embeddings) e join (select doc_id, min(chunk_id) chunk_id from chunks where chunk_index = 0 group by doc_id) c on e.doc_id = c.doc_id)""",)
+_LEG = LEG_TERMS
+_GRAPH = (
+    "gname(id) as (values " + ", ".join(f"('{x}')" for x in sorted({"-".join(_LEG[i : i + n]) for n in (1, 2, 3) for i in range(len(_LEG) - n + 1)})) + ")",
+    r"glink as (select distinct 'src:' || doc_id s, replace(lower(unnest(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1))), ' ', '-') t from documents where text is not null), gway as (select s id, t other from glink union select t, s from glink)",
+    "g0 as (select id, 0.0::double c from gname where id in (select id from gway)), g1 as (select id, min(c) c from (select * from g0 union all select other, c + 1 / 0.7 from g0 join gway using (id)) group by id)",
+    "g2 as (select id, min(c) c from (select * from g1 union all select other, c + 1 / 0.7 from g1 join gway using (id)) group by id)",
+    "lnk as (select id k, round(c, 9) score, row_number() over (order by round(c, 9), id) rank from g2 where id in (select s from glink))",
+)
 _DOC = _bm25_sql("doc", "entries", "id", lexical.ENTRY_WEIGHTS, TERMS, 50)
 _CHUNK = _bm25_sql("chk", "chunks", "chunk_id", lexical.CHUNK_WEIGHTS, TERMS, 50)
 _HEAD = (X.ENTRIES, X.VECTORS, _DOC, _VEC)
@@ -228,12 +305,27 @@ b as (select vec_id from embeddings order by round(list_cosine_similarity(embedd
     "hybrid_rrf_top10": X.with_(*_HEAD, _FUSED) + """select f.k doc_id, f.score, d.rank::integer bm25_rank, v.rank::integer vector_rank, row_number() over (order by f.score desc, f.k)::integer rank
       from fused f left join doc d on f.k = d.k left join vec v on f.k = v.k order by f.score desc, f.k limit 10""",
     "hybrid_three_channel": X.with_(
-        X.ENTRIES, X.VECTORS, X.CHUNKS, _DOC, _VEC, _CHUNK,
-        r"lnk as (select id k, score, row_number() over (order by score desc, id) rank from (select 'src:' || doc_id id, len(regexp_extract_all(text, '\[\[[^\]]+\]\]')) score from documents where text is not null) where score > 0 qualify rank <= 50)",
-        "lists as (select 'bm25' c, 0 l, 0.7 w, c.doc_id k, x.k chunk, x.rank from chk x join chunks c on x.k = c.chunk_id union all select 'bm25', 1, 0.7, k, null, rank from doc union all select 'vector', 2, 0.3, k, null, rank from vec union all select 'graph', 3, 0.2, k, null, rank from lnk)",
+        X.ENTRIES, X.VECTORS, X.CHUNKS, _DOC, _VEC, _CHUNK, *_CVEC, *_GRAPH,
+        "lists as (select 'bm25' c, 0 l, 0.7 w, c.doc_id k, x.k chunk, x.rank from chk x join chunks c on x.k = c.chunk_id union all select 'bm25', 1, 0.7, k, null, rank from doc union all select 'vector', 2, 0.3, k, null, rank from vec union all select 'vector', 3, 0.3, doc_id, chunk_id, rank from cvec where rank <= 20 union all select 'graph', 4, 0.2, k, null, rank from lnk where rank <= 50)",
         "best as (select c, l, w, k, arg_min(chunk, rank) chunk, min(rank) rank from lists group by c, l, w, k)",
         "out as (select k doc_id, round(sum(round(w / (60 + rank), 15)), 9) score, arg_min(chunk, row(rank, l)) filter (chunk is not null) chunk_id, min(rank) filter (c = 'bm25') b, min(rank) filter (c = 'vector') v, min(rank) filter (c = 'graph') g from best group by k)",
     ) + "select doc_id, score, chunk_id, b::integer bm25_rank, v::integer vector_rank, g::integer graph_rank, row_number() over (order by score desc, doc_id)::integer rank from out order by score desc, doc_id limit 20",
+    "chunk_vector_top20": X.with_(X.CHUNKS, *_CVEC) + "select doc_id, chunk_id, score, rank::integer rank from cvec where rank <= 20",
+    "graph_list_top50": X.with_(*_GRAPH) + "select k id, score, rank::integer rank from lnk where rank <= 50",
+    "bm25_batch": X.with_(X.ENTRIES, _TERMS, "q as (select distinct question query, term from terms)",
+        "w as (" + " union all ".join(f"select id k, {w} w, unnest(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')) word from entries" for c, w in lexical.ENTRY_WEIGHTS.items()) + ")",
+        "len as (select id k, coalesce(n, 0) n from entries left join (select k, count(*) n from w group by k) l on id = l.k), post as (select k, word, sum(w) tf from w group by k, word)",
+        "voc as (select distinct word from post), head as (select word, term from voc join (select distinct term from q) on starts_with(word, term)), tf as (select k, term, sum(tf) tf from post join head using (word) group by k, term)",
+        "df as (select term, greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) idf from (select term, count(*) d from tf group by term), (select count(*) n from entries))",
+        "part as (select t.k, t.term, d.idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * l.n / a.m)) p from tf t join df d using (term) join len l on t.k = l.k, (select avg(n) m from len) a)")
+    + "select query, k id, score, (row_number() over (partition by query order by score desc, k))::integer rank from (select query, k, round(sum(p), 9) score from q join part using (term) group by query, k) qualify rank <= 3",
+    "search_channels": X.with_(*_HEAD, X.ENTRY_DATES, *_GRAPH,
+        "ch as (select 'bm25' ch, k, 0.7 w, rank from doc where rank <= 10 union all select 'bm25+vector', k, 0.7, rank from doc where rank <= 10 union all select 'bm25+vector', k, 0.3, rank from vec where rank <= 10 union all select 'bm25+vector+graph', k, 0.7, rank from doc where rank <= 10 union all select 'bm25+vector+graph', k, 0.3, rank from vec where rank <= 10 union all select 'bm25+vector+graph', k, 0.2, rank from lnk where rank <= 10)",
+        "fu as (select ch, k, round(sum(round(w / (60 + rank), 15)), 9) score from ch group by ch, k qualify row_number() over (partition by ch order by score desc, k) <= 10)",
+        "po as (select ch, k, case when max(score) over (partition by ch) = min(score) over (partition by ch) then 1.0 else (score - min(score) over (partition by ch)) / (max(score) over (partition by ch) - min(score) over (partition by ch)) end score from fu)")
+    + f"select ch channels, k doc_id, score, row_number() over (partition by ch order by score desc, k)::integer rank from (select ch, k, round(score + {_AGE}, 9) score from po left join entry_dates on k = id)",
+    "similar_questions": X.with_(X.VECTORS) + """select question, output, score from (select a.vec_id::varchar question, b.id output, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) score from embeddings a, vectors b
+      where a.vec_id % 100 = 0 and regexp_extract(b.id, '([0-9]+)', 1)::bigint % 3 <> 0) where score >= 0.2 qualify row_number() over (partition by question order by score desc, output) = 1""",
     "multi_query_fusion": X.with_(X.ENTRIES, _DOC, _bm25_sql("alt", "entries", "id", lexical.ENTRY_WEIGHTS, OTHER_TERMS, 50)) + """select k doc_id, score, b::integer bm25_rank, row_number() over (order by score desc, k)::integer rank from
       (select k, round(sum(round(0.7 / (60 + rank), 15)), 9) score, min(rank) b from (select k, rank from doc union all select k, rank from alt) group by k) order by score desc, k limit 10""",
     "search_recency": X.with_(*_HEAD, X.ENTRY_DATES, _FUSED, _POOL) + f"select k doc_id, score, row_number() over (order by score desc, k)::integer rank from (select k, round(score + {_AGE}, 9) score from pool left join entry_dates on k = id) order by score desc, k limit 10",

@@ -58,15 +58,15 @@ def signalled_type(path: Column, head: Column, signals: list[dict]) -> Column:
     """The type of the first signal that fits, else by extension.
 
     A signal has a type, and a pattern that the head holds, or words of the file's name, or words of the head of which at
-    least ``least`` (1) stand there, without case.
+    least ``least`` (1) stand there, all in the given case.
     """
-    name, low = F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), F.lower(head)
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
     found = []
     for s in signals:
         tests = [F.contains(head, F.lit(s["pattern"]))] if s.get("pattern") else []
-        tests += [F.contains(name, F.lit(w.lower())) for w in s.get("names", [])]
+        tests += [F.contains(name, F.lit(w)) for w in s.get("names", [])]
         if s.get("words"):
-            tests.append(reduce(lambda a, b: a + b, (F.contains(low, F.lit(w.lower())).cast("int") for w in s["words"])) >= s.get("least", 1))
+            tests.append(reduce(lambda a, b: a + b, (F.contains(head, F.lit(w)).cast("int") for w in s["words"])) >= s.get("least", 1))
         found.append(F.when(reduce(lambda a, b: a | b, tests, F.lit(False)), s["type"]))
     return F.coalesce(*found, source_type(path))
 

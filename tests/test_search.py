@@ -79,3 +79,56 @@ def test_text_expressions(spark):
     assert one(T.source_date(F.lit("---\ndate: 1970-01-02\n---\n"), F.lit(None).cast("long"), F.lit(5).cast("long"))) == 86400
     assert one(T.key_phrases(F.lit("one two three four. a b c"))) == ["one two three", "two three four"]
     assert [one(T.confidence_label(F.lit(x))) for x in (" High", "odd")] == ["high", "medium"]
+
+
+def test_many_queries_score_as_one_by_one(spark):
+    docs = spark.createDataFrame([("a", "graph graph ledger", "x"), ("b", "graphs and edges", None), ("c", None, None), ("d", "ledger of edge", "graph")], "id string, content string, tags string")
+    weights = {"content": 1.0, "tags": 1.5}
+    built = lexical.index(docs, "id", weights)
+    queries = {"q1": ["graph", "edge"], "q2": ["led"], "q3": ["nothing"], "q4": ["graph", "graph"]}
+    asked = spark.createDataFrame([(q, t) for q, ts in queries.items() for t in ts] + [("q5", None), ("q6", "")], "query string, term string")
+    got = {}
+    for r in lexical.search(built, asked, 2).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.key, r.score))
+    for q, terms in queries.items():
+        want = [(r["rank"], r.id, r.score) for r in lexical.ranked(lexical.bm25(docs, "id", weights, list(dict.fromkeys(terms))), "id", 2).collect()]
+        assert sorted(got.get(q, [])) == [(a, b, pytest.approx(c, abs=1e-9)) for a, b, c in sorted(want)]
+    assert "q5" not in got and "q6" not in got
+    assert lexical.search(lexical.index(docs.limit(0), "id", weights), asked, 2).count() == 0
+    assert lexical.search(built, asked.limit(0), 2).count() == 0
+
+
+def test_channels_pools_and_variants(spark):
+    assert fusion.chosen(None) == ["bm25", "vector", "graph"] and fusion.chosen(["graph", "bm25"]) == ["bm25", "graph"]
+    with pytest.raises(ValueError, match="fuzzy"):
+        fusion.chosen(["bm25", "fuzzy"])
+    lengths = []
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, rank int")
+
+    def leg(n):
+        lengths.append(n)
+        return rows
+
+    entries = spark.createDataFrame([("a", "t"), ("b", "u")], "id string, tags string")
+    dates = spark.createDataFrame([], "id string, source_date long")
+    got, ran = fusion.run({"bm25": [leg], "vector": [leg]}, entries, dates, 0, 5, ["graph", "bm25"])
+    assert ran == ["bm25"] and lengths == [5] and [r.doc_id for r in got.orderBy("rank").collect()] == ["a", "b"]
+    got, ran = fusion.run({"bm25": [leg]}, entries, dates, 0, 5, require=["u"])
+    assert lengths == [5, 15] and [r.doc_id for r in got.collect()] == ["b"]
+    assert fusion.run({}, entries, dates, 0, 5)[0].count() == 0
+    assert fusion.variants("q", lambda q: {"lex": ["x", "q", ""], "hyde": ["h"]}) == [("original", "q"), ("lex", "x"), ("hyde", "h")]
+    assert fusion.variants("q", lambda q: 1 / 0) == [("original", "q")] == fusion.variants("q")
+
+    def stopped(q):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        fusion.variants("q", stopped)
+
+
+def test_chunks_and_similar_questions(spark):
+    c = spark.createDataFrame([("c1", "d1", [1.0, 0.0]), ("c2", "d2", [1.0, 1.0]), ("c3", "d3", [0.0, 1.0]), ("c4", "d4", None)], "chunk_id string, doc_id string, embedding array<float>")
+    assert [(r.doc_id, r["rank"]) for r in vectors.chunks_to(c, [1.0, 0.0], 2).orderBy("rank").collect()] == [("d1", 1), ("d2", 2)]
+    o = spark.createDataFrame([("o1", "stale", [1.0, 0.0]), ("o2", "pending", [1.0, 0.1]), ("o3", "confirmed", [1.0, 0.1])], "output string, state string, embedding array<float>")
+    q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [-1.0, 0.0])], "question string, embedding array<float>")
+    assert [(r.question, r.output) for r in vectors.similar_question(q, o, 0.9).collect()] == [("q1", "o2")]

@@ -44,7 +44,7 @@ def test_archives_that_unpack_to_too_much():
 
 def test_types_by_signals(spark):
     signals = [{"type": "law", "names": ["act"]}, {"type": "log", "words": ["error", "warn"], "least": 2}, {"type": "memo", "pattern": "MEMO:"}]
-    rows = [("x/the-act.md", "", "law"), ("a.txt", "Error and WARN", "log"), ("a.csv", "error", "dataset"), ("a.bin", "MEMO: x", "memo"), ("noext", None, "article")]
+    rows = [("x/the-act.md", "", "law"), ("a.txt", "Error and WARN", "article"), ("b.txt", "error, then warn", "log"), ("x/the-Act.md", "", "article"), ("a.csv", "error", "dataset"), ("a.bin", "MEMO: x", "memo"), ("noext", None, "article")]
     df = spark.createDataFrame(rows, "p string, h string, want string")
     assert df.where(~files.signalled_type(F.col("p"), F.col("h"), signals).eqNullSafe(F.col("want"))).count() == 0
 
