@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,17 +79,51 @@ def quantized(rows: DataFrame, key: str, column: str = "embedding") -> DataFrame
     return unit.select(key, F.transform("v", lambda x: F.round(x / F.lit(scale)).cast("int")).alias("codes"), F.lit(scale).alias("scale"))
 
 
-def queries_against_all(queries: DataFrame, rows: DataFrame, key: str, least: float, column: str = "embedding", block: int = 2048) -> DataFrame:
-    """``(a, b, score)`` with cosine of at least ``least`` between a stated set of queries and all other rows.
+def queries_against_all(queries: DataFrame, rows: DataFrame, key: str, least: float, column: str = "embedding", block: int = 4096) -> DataFrame:
+    """``(a, b, score)`` with cosine of at least ``least`` between a stated set of queries and all other rows of the same width.
 
-    The queries are shared in blocks of about ``block`` vectors, by hash, so that each scan of the rows holds a bounded set.
+    Queries are held in blocks of about ``block`` vectors, by hash; each scan of the rows is a matrix product of a block with
+    batches of rows. Null vectors, and such with nulls, match nothing; zero vectors have cosine 0 to all.
     """
-    asked = durable(queries.select(F.col(key).alias("a"), normalized(F.col(column)).alias("q")))
+    spark = queries.sparkSession
+    asked = durable(queries.where(F.col(column).isNotNull()).select(F.col(key).cast("string").alias("a"), F.col(column).cast("array<double>").alias("q")))
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
-    unit = rows.select(F.col(key).alias("b"), normalized(F.col(column)).alias("v"))
-    parts = (unit.join(F.broadcast(asked.where(F.col("block") == i).drop("block")), F.col("a") != F.col("b")) for i in range(blocks))
-    return reduce(DataFrame.unionByName, (p.select("a", "b", dot(F.col("q"), F.col("v")).alias("score")).where(F.col("score") >= least) for p in parts))
+    narrow = rows.where(F.col(column).isNotNull()).select(F.col(key).cast("string").alias("b"), F.col(column).cast("array<double>").alias("v"))
+
+    def scanned(i: int) -> DataFrame:
+        stated: dict[int, tuple[list, list]] = {}
+        for r in asked.where(F.col("block") == i).select("a", "q").collect():  # about ``block`` vectors
+            if None not in r.q:
+                names, x = stated.setdefault(len(r.q), ([], []))
+                names.append(r.a)
+                x.append(r.q)
+        shared = spark.sparkContext.broadcast({w: (np.array(names, object), _units(np.array(x))) for w, (names, x) in stated.items() if w})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for width, (names, x) in shared.value.items():
+                    at = np.nonzero(sizes == width)[0]
+                    for k in range(0, len(at), 1024):
+                        part = b.take(pa.array(at[k : k + 1024]))
+                        y = _units(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+                        ids = np.array(part.column(0).to_pylist(), object)
+                        scores = x @ y.T
+                        q, r = np.nonzero(scores >= least)
+                        other = names[q] != ids[r]
+                        q, r = q[other], r[other]
+                        yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.string()), pa.array(ids[r], pa.string()), pa.array(scores[q, r])], ["a", "b", "score"])
+
+        return narrow.mapInArrow(run, "a string, b string, score double")
+
+    return reduce(DataFrame.unionByName, (scanned(i) for i in range(blocks)))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay zero."""
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1.0, n)
 
 
 def near_duplicates(pairs: DataFrame, never: Column) -> DataFrame:
