@@ -85,6 +85,13 @@ def neighbors(edges: DataFrame, starts: DataFrame, depth: int = 1, direction: st
     return reduce(DataFrame.unionByName, layers[1:])
 
 
+def capped(reached: DataFrame, most: int = 10_000) -> DataFrame:
+    """The first ``most`` rows of ``neighbors()`` for each start, by depth and id, and whether there were more (``partial``)."""
+    order = F.row_number().over(Window.partitionBy("start").orderBy("depth", "id"))
+    sizes = reached.groupBy("start").agg((F.count("*") > most).alias("partial"))
+    return reached.withColumn("at", order).where(F.col("at") <= most).drop("at").join(sizes, "start")
+
+
 def canonical(aliases: DataFrame, most: int = 32) -> DataFrame:
     """``(alias, canonical_id)``: where the chain of applied aliases ends; an alias on or into a circle, or of a longer chain, is itself.
 
@@ -128,13 +135,14 @@ def fold_entities(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by("type", "seq").alias("type"), *(last(c) for c in ("name", "definition", "article_path")), F.min_by("created_at", "seq").alias("created_at"), F.max_by("updated_at", "seq").alias("updated_at"))
 
 
-def fold_relations(rows: DataFrame) -> DataFrame:
-    """One edge a key of upserts in order ``seq``. Loops are rejected.
+def fold_relations(rows: DataFrame, known: list[str] | None = None) -> DataFrame:
+    """One edge a key of upserts in order ``seq``. Loops are rejected, and, with ``known``, relations that aren't among these.
 
     A row wins if it is the first or its confidence is over that of all before. The last winner gives evidence, confidence
     and source_doc, the first winner with a valid_from gives that.
     """
     order = Window.partitionBy(*KEY).orderBy("seq")
+    rows = rows.where(F.col("relation").isin(known)) if known is not None else rows
     before = F.max("confidence").over(order.rowsBetween(Window.unboundedPreceding, -1))
     won = rows.where("source_id <> target_id").withColumn("wins", before.isNull() | (F.col("confidence") > before))
     winner = F.when(F.col("wins"), F.col("seq"))
@@ -312,7 +320,10 @@ def relevance(edges: DataFrame, entities: DataFrame, seeds: DataFrame, at: str,
 
 
 def serialize(edges: DataFrame, entities: DataFrame, seeds: DataFrame, hops: int = 2, most: int = 60) -> DataFrame:
-    """``(n, hop, line)``: edges around the seeds ``(id)``, each once at its first hop, sorted within a hop, the first ``most``."""
+    """``(n, hop, line, truncated)``: edges around the seeds ``(id)``, each once at its first hop, sorted within a hop, the first ``most``.
+
+    ``truncated`` tells whether there were more.
+    """
     reached = [durable(seeds.distinct())]
     found = []
     for hop in range(1, hops + 1):
@@ -323,12 +334,14 @@ def serialize(edges: DataFrame, entities: DataFrame, seeds: DataFrame, hops: int
             new = new.join(reduce(DataFrame.unionByName, found).select(*KEY), KEY, "left_anti")
         found.append(durable(new))
         reached.append(durable(found[-1].select(F.col("other").alias("id")).distinct().join(reduce(DataFrame.unionByName, reached), "id", "left_anti")))
-    rows = reduce(DataFrame.unionByName, found).groupBy(*KEY).agg(F.min("hop").alias("hop")).orderBy("hop", "source_id", "relation", "target_id").limit(most)
+    rows = durable(reduce(DataFrame.unionByName, found).groupBy(*KEY).agg(F.min("hop").alias("hop")).orderBy("hop", "source_id", "relation", "target_id").limit(most + 1))
+    truncated = rows.count() > most
+    rows = rows.orderBy("hop", "source_id", "relation", "target_id").limit(most)
     name = lambda end: entities.select(F.col("id").alias(end), F.nullif("name", F.lit("")).alias(f"{end}_name"))
     rows = rows.join(name("source_id"), "source_id", "left").join(name("target_id"), "target_id", "left")
     n = F.row_number().over(Window.orderBy("hop", "source_id", "relation", "target_id"))  # of at most ``most`` rows
     show = lambda end: F.coalesce(f"{end}_name", end)
-    return rows.select(n.alias("n"), "hop", F.format_string("(%s) --[%s]--> (%s)", show("source_id"), F.col("relation"), show("target_id")).alias("line"))
+    return rows.select(n.alias("n"), "hop", F.format_string("(%s) --[%s]--> (%s)", show("source_id"), F.col("relation"), show("target_id")).alias("line"), F.lit(truncated).alias("truncated"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:

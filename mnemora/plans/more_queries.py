@@ -10,7 +10,7 @@ from mnemora.operators import fusion, graph, links, vectors
 from mnemora.plans import fixtures as X
 from mnemora.plans import graph_queries as G
 from mnemora.plans import search_queries as S
-from mnemora.runtime import table
+from mnemora.runtime import durable, table
 from mnemora.sources import code, files
 
 
@@ -48,17 +48,18 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ego_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges among what is within one step of a nation and isn't a source."""
+    """Edges among what is within one step of a supplier, under the name that it goes by, and isn't a source."""
     r, e = X.relations(spark, sf_dir), X.graph_entities(spark, sf_dir)
-    near = graph.neighbors(r, G._ids(spark, "nation-5"), 1).select("id").unionByName(G._ids(spark, "nation-5")).join(e.where("type <> 'source'").select("id"), "id", "left_semi")
+    center = durable(graph.resolved(G._ids(spark, "supplier-7"), X.graph_aliases(spark, sf_dir)))
+    near = graph.neighbors(r, center, 1).select("id").unionByName(center).join(e.where("type <> 'source'").select("id"), "id", "left_semi")
     return r.join(near.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(near.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("source_id", "target_id", "relation")
 
 
 def rerank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifteen passages for a reranker, 400 tokens of four characters each and 2000 in all."""
+    """The first fifteen passages for a reranker, 400 tokens of four characters each and 8000 in all."""
     top = S.bm25_list(spark, sf_dir, limit=15).join(X.entries(spark, sf_dir).select("id", "content"), "id")
     cut = top.withColumn("passage", F.substring("content", 1, 1600)).withColumn("tokens", F.ceil(F.length("passage") / 4))
-    return fusion.within_budget(cut, "rank", "tokens", 2000).select("id", "rank", "tokens", "spent")
+    return fusion.within_budget(cut, "rank", "tokens", 8000).select("id", "rank", "tokens", "spent")
 
 
 def hydrated_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +158,8 @@ SQL = {
     + """select a, b, score from tok where not coalesce(list_sort(list_filter(list_distinct(u), lambda w: regexp_matches(w, '[0-9]'))) <> list_sort(list_filter(list_distinct(v), lambda w: regexp_matches(w, '[0-9]'))) or (contains(u, 'draft') <> contains(v, 'draft') and (contains(u, 'final') or contains(v, 'final'))) or (contains(u, 'final') <> contains(v, 'final') and (contains(u, 'draft') or contains(v, 'draft')))
         or (contains(u, 'primary') <> contains(v, 'primary') and (contains(u, 'secondary') or contains(v, 'secondary'))) or (contains(u, 'secondary') <> contains(v, 'secondary') and (contains(u, 'primary') or contains(v, 'primary'))), false)
         qualify row_number() over (partition by a order by score desc, b) = 1""",
-    "ego_graph": X.with_(X.RELATIONS, X.GRAPH_ENTITIES, "near as (select id from graph_entities where type <> 'source' and (id = 'nation-5' or id in (select source_id from relations where target_id = 'nation-5' union all select target_id from relations where source_id = 'nation-5')))") + "select source_id, target_id, relation from relations where source_id in (select id from near) and target_id in (select id from near)",
-    "rerank_candidates": X.with_(X.ENTRIES, S._DOC, "c as (select k id, rank, ceil(length(substring(content, 1, 1600)) / 4)::bigint tokens from doc join entries on k = id where rank <= 15)", "s as (select *, sum(tokens) over (order by rank) spent from c)") + "select id, rank::integer rank, tokens, spent::bigint spent from (select *, max((spent > 2000)::integer) over (order by rank) o from s) where o = 0",
+    "ego_graph": X.with_(X.RELATIONS, X.GRAPH_ENTITIES, X.GRAPH_ALIASES, G._CLOSE, "c as (select canonical_id id from terminal where alias = 'supplier-7')", "near as (select id from graph_entities where type <> 'source' and (id in (select id from c) or id in (select source_id from relations where target_id in (select id from c) union all select target_id from relations where source_id in (select id from c))))", recursive=True) + "select source_id, target_id, relation from relations where source_id in (select id from near) and target_id in (select id from near)",
+    "rerank_candidates": X.with_(X.ENTRIES, S._DOC, "c as (select k id, rank, ceil(length(substring(content, 1, 1600)) / 4)::bigint tokens from doc join entries on k = id where rank <= 15)", "s as (select *, sum(tokens) over (order by rank) spent from c)") + "select id, rank::integer rank, tokens, spent::bigint spent from (select *, max((spent > 8000)::integer) over (order by rank) o from s) where o = 0",
     "hydrated_top10": X.with_(X.ENTRIES, X.VECTORS, X.CHUNKS, S._DOC, S._VEC, S._CHUNK,
         "lists as (select 0 l, 0.7 w, c.doc_id k, x.k chunk, x.rank from chk x join chunks c on x.k = c.chunk_id union all select 1, 0.7, k, null, rank from doc union all select 2, 0.3, k, null, rank from vec)",
         "best as (select l, w, k, arg_min(chunk, rank) chunk, min(rank) rank from lists group by l, w, k)", "top as (select k, round(sum(round(w / (60 + rank), 15)), 9) score, arg_min(chunk, row(rank, l)) filter (chunk is not null) chunk from best group by k order by score desc, k limit 10)")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# For each language its extensions and the patterns of its imports, types and functions, the name in group 1.
+# Patterns made by hand: for each language its extensions and the patterns of its imports, types and functions, the name in group 1.
 LANGUAGES = {
     "python": ("py", r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", r"(?m)^\s*class\s+(\w+)", r"(?m)^\s*(?:async\s+)?def\s+(\w+)"),
     "go": ("go", r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"\s*$', r"(?m)^type\s+(\w+)\s+(?:struct|interface)", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)"),
