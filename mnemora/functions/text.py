@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 # Words that queries drop.
 STOPWORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall can "
-    "of in to for with on at by from as and or not but it its this that these those"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "of", "in", "to", "for", "with", "on", "at", "by", "from", "as", "and", "or", "not", "but", "it",
+    "its", "this", "that", "these", "those",
+)
 # Phrases that lower an article's quality.
 FILLER = (
     "in conclusion", "in summary", "it is important to note", "it's important to note", "it is worth noting", "it's worth noting",
@@ -52,7 +53,7 @@ def token_estimate(text: Column) -> Column:
 def query_terms(text: Column) -> Column:
     """Words of a query in order, cleaned and without stop words; all of them if nothing else is left; null for null."""
     cleaned = F.filter(F.transform(F.split(F.trim(F.lower(text)), r"\s+"), lambda w: F.regexp_replace(w, _KEPT, "")), lambda w: w != "")
-    kept = F.filter(cleaned, lambda w: ~w.isin(STOPWORDS))
+    kept = F.filter(cleaned, lambda w: ~w.isin(*STOPWORDS))
     return F.when(F.size(kept) > 0, kept).otherwise(cleaned)
 
 

@@ -40,6 +40,16 @@ def merge_three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> Data
     return rows.select("key", F.when(~F.col("o").eqNullSafe(F.col("b")), F.col("o")).otherwise(F.col("t")).alias("value")).where("value is not null")
 
 
+#: What a compiled article depends on, in the order in which drift is told, and the order of the last two below tier 3.
+PARTS = ("content", "pipeline", "templates", "models", "config", "embed")
+
+
+def tiered_key(tier: Column, parts: dict[str, Column]) -> Column:
+    """The compile key of all PARTS; below tier 3, where nothing is generated, of content, pipeline, embed and config, in this order."""
+    low = compile_key(*(parts[p] for p in ("content", "pipeline", "embed", "config")))
+    return F.when(tier < 3, low).otherwise(compile_key(*(parts[p] for p in PARTS)))
+
+
 def compile_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.lit("mnemora/v1"), *(F.coalesce(p, F.lit("")) for p in parts)), 256)
 
@@ -150,8 +160,12 @@ def quality(articles: DataFrame, known: DataFrame, text: str = "text", source: s
     return rows.select("id", *(F.round(c, 6).alias(c) for c in ("format", "grounding", "coverage", "wikilink", "anti_pattern")), F.round(combined, 6).alias("combined"))
 
 
-def lint(docs: DataFrame, known: DataFrame, now: str, stale_days: int = 90) -> DataFrame:
-    """``(id, rule, detail)`` of documents ``(id, text, changed)``: broken links, no front matter, open placeholders, short sections, stale."""
+def lint(docs: DataFrame, known: DataFrame, now: str, stale_days: int = 90, edges: DataFrame | None = None, scores: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """``(id, rule, detail)`` of documents ``(id, text, changed)``: broken links, no front matter, open placeholders, short sections, stale.
+
+    With live ``edges`` also consistency, for each document with an edge that contradicts, and with ``scores(id, combined)`` quality, for those
+    scored under ``least``. Orphans and connections have operators of their own.
+    """
     t = F.regexp_replace(F.coalesce("text", F.lit("")), "\r", "")
     broken = docs.select("id", F.explode(F.array_distinct(T.wikilinks(t))).alias("detail")).join(known.select(F.lower("name").alias("k")).distinct(), F.lower("detail") == F.col("k"), "left_anti").withColumn("rule", F.lit("completeness"))
     style = docs.where((t != "") & ~t.rlike(r"^﻿?---\n")).select("id", F.lit("no front matter").alias("detail"), F.lit("style").alias("rule"))
@@ -160,7 +174,32 @@ def lint(docs: DataFrame, known: DataFrame, now: str, stale_days: int = 90) -> D
     body = F.trim(F.regexp_replace("s", r"^#{1,6}[^\n]*\n?", ""))
     short = heads.where(F.length(body) < 50).select("id", F.trim(F.regexp_extract("s", r"^#{1,6}[ \t]+([^\n]*)", 1)).alias("detail")).distinct().withColumn("rule", F.lit("short section"))
     stale = docs.where(F.col("changed") < F.lit(now).cast("timestamp") - F.expr(f"interval {stale_days} days")).select("id", F.lit("").alias("detail"), F.lit("staleness").alias("rule"))
-    return reduce(DataFrame.unionByName, (broken, style, impute, short, stale)).select("id", "rule", "detail")
+    found = [broken, style, impute, short, stale]
+    if edges is not None:
+        found.append(edges.where("relation = 'contradicts'").select(F.col("source_id").alias("id"), F.col("target_id").alias("detail")).distinct().withColumn("rule", F.lit("consistency")))
+    if scores is not None:
+        found.append(scores.where(F.col("combined") < least).select("id", F.col("combined").cast("string").alias("detail"), F.lit("quality").alias("rule")))
+    return reduce(DataFrame.unionByName, (f.select(F.col("id").cast("string").alias("id"), "rule", "detail") for f in found))
+
+
+def bounded(events: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The newest ``most`` events of each key, and for each how many older ones were dropped before it in all (``dropped``)."""
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
+    sizes = events.groupBy(key).agg(F.greatest(F.lit(0), F.count("*") - most).alias("dropped"))
+    return events.withColumn("at", newest).where(F.col("at") <= most).drop("at").join(sizes, key)
+
+
+def curated(concepts: DataFrame, actions: DataFrame, veto) -> DataFrame:
+    """``(name, kept)`` of concepts ``(name)`` after actions ``(name, action, into)`` fold or drop some; a concept has one action at most.
+
+    A fold into a concept that isn't there, into itself, or that ``veto(name, into)`` forbids keeps the name. Of a fold's two names the longer
+    one is kept, ties the target's; dropped ones are gone; folds aren't followed further.
+    """
+    known = concepts.select(F.col("name").alias("into")).distinct().withColumn("there", F.lit(True))
+    rows = concepts.select("name").distinct().join(actions.select("name", "action", "into"), "name", "left").join(known, "into", "left")
+    folds = F.coalesce((F.col("action") == "fold") & F.col("there") & (F.col("into") != F.col("name")) & ~veto(F.col("name"), F.col("into")), F.lit(False))
+    longer = F.when(F.length("name") > F.length("into"), F.col("name")).otherwise(F.col("into"))
+    return rows.where(~F.coalesce(F.col("action") == "drop", F.lit(False))).select("name", F.when(folds, longer).otherwise(F.col("name")).alias("kept"))
 
 
 def independence(confirmations: DataFrame) -> DataFrame:

@@ -497,7 +497,7 @@ def stated_relations(docs: DataFrame, key: str, text: str) -> DataFrame:
     block = docs.select(key, F.explode(F.split(F.regexp_replace(text, "\r", ""), r"\n\n|\n#{1,3}\s")).alias("block")).where(F.contains("block", F.lit("[[")))
     low = F.lower("block")
     has = F.filter(F.array(*(F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in ws)), F.lit(r)) for r, ws in RELATION_WORDS.items())), lambda x: x.isNotNull())
-    links = block.select(F.col(key).alias("source_id"), F.explode(F.regexp_extract_all("block", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))).alias("target_id"), has.alias("r"))
+    links = block.select(F.col(key).cast("string").alias("source_id"), F.explode(F.regexp_extract_all("block", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))).alias("target_id"), has.alias("r"))
     return links.select("source_id", "target_id", F.explode("r").alias("relation")).where("source_id <> target_id").distinct()
 
 

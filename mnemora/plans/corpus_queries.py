@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions import text as T
-from mnemora.operators import corpus
+from mnemora.operators import corpus, graph, vectors
 from mnemora.plans import fixtures as X
+from mnemora.plans import graph_queries as G
+from mnemora.plans import search_queries as S
 from mnemora.runtime import table
 
 
@@ -39,12 +41,21 @@ def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compile_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.items(spark, sf_dir).select("source_path", corpus.compile_key(F.col("hash"), F.col("file_type"), F.col("tier").cast("string")).alias("compile_key"))
+    return X.items(spark, sf_dir).select("source_path", corpus.tiered_key(F.col("tier"), _parts()).alias("compile_key"))
+
+
+def _parts(new: bool = False) -> dict:
+    """What items were compiled with, of which some numbers have another by now."""
+    n = F.col("doc_id")
+    made = {"content": F.col("hash"), "pipeline": F.lit("p1"), "templates": F.col("file_type"), "models": F.lit("m1"), "config": F.concat(F.lit("c"), (n % 2).cast("string")), "embed": F.lit("e1")}
+    return {p: F.when(n % (k + 4) == 0, F.concat(c, F.lit("+"))).otherwise(c) if new else c for k, (p, c) in enumerate(made.items())}
 
 
 def drift_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _manifest(spark, sf_dir), _current(spark, sf_dir)
-    return corpus.drift(old, new, ["hash", "type"])
+    """What of six parts is the first that an item would be compiled anew for."""
+    i = X.items(spark, sf_dir)
+    of = lambda new: i.select(F.col("source_path").alias("path"), *(c.alias(p) for p, c in _parts(new).items()))
+    return corpus.drift(of(False), of(True), list(corpus.PARTS))
 
 
 def reconcile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +179,8 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("ingested_at").cast("timestamp").alias("changed"))
     known = table(spark, sf_dir, "entities").where("name is not null").select("name")
-    return corpus.lint(docs, known, "2024-10-01 00:00:00")
+    edges = graph.stated_relations(docs.where("text is not null"), "id", "text")
+    return corpus.lint(docs, known, "2024-10-01 00:00:00", edges=edges, scores=quality_score(spark, sf_dir).select("id", "combined"))
 
 
 def independence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +198,7 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "longmemeval_full").distinct()
     p = lambda q: F.round(F.percentile("search_latency_ms", F.lit(q)), 6)
-    return r.groupBy("group_name").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg("search_latency_ms"), 6).alias("mean"))
+    return r.groupBy("group_name").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg("search_latency_ms"), 6).alias("mean"), F.round(F.count("search_latency_ms") * 1000 / F.nullif(F.sum("search_latency_ms"), F.lit(0)), 6).alias("qps"))
 
 
 def latency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +219,48 @@ def grounding_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = X.items(spark, sf_dir)
-    return i.groupBy("tier", "file_type").agg(F.count("*").alias("items"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("hits") >= 3).alias("asked"), F.round(F.avg("size_bytes"), 4).alias("mean_bytes"))
+    """Of items by tier: how many, of what size, asked, in each status, and who took the last lease."""
+    q = _queue(spark, sf_dir)
+    holder = F.max_by("lease", F.when(F.col("lease").isNotNull(), F.struct("attempts", "path"))).alias("holder")
+    return q.groupBy("tier").agg(
+        F.count("*").alias("items"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("hits") >= 3).alias("asked"), F.round(F.avg("size_bytes"), 4).alias("mean_bytes"),
+        F.count_if(F.col("indexed") & F.col("embedded")).alias("written"), F.count_if(F.col("status") == "error").alias("failed"), holder,
+    )
+
+
+def wiki_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents as a wiki: links that lead somewhere, documents with links, names that are linked, links a document, names linked often."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    links = d.select("doc_id", F.explode(F.array_distinct(T.wikilinks(F.col("text")))).alias("target")).select("doc_id", F.lower("target").alias("target")).distinct()
+    names = table(spark, sf_dir, "entities").where("name is not null").select(F.lower("name").alias("target")).distinct()
+    hit = links.join(names.withColumn("ok", F.lit(1)), "target", "left")
+    per = hit.groupBy("target").agg(F.count("*").alias("n"), F.max("ok").alias("ok"))
+    counts = hit.agg(F.count("*").alias("links"), F.count("ok").alias("whole"), F.countDistinct("doc_id").alias("linking"))
+    names_linked = per.agg(F.count("ok").alias("linked"), F.count_if(F.col("n") >= 4).alias("hubs"))
+    rows = counts.crossJoin(names_linked).crossJoin(d.agg(F.count("*").alias("docs"))).crossJoin(names.agg(F.count("*").alias("names")))  # one row each
+    share = lambda a, b: F.round(F.col(a) / F.nullif(b, F.lit(0)), 6)
+    return rows.select(share("whole", "links").alias("link_integrity"), F.round(1 - F.col("linking") / F.nullif("docs", F.lit(0)), 6).alias("orphan_rate"), share("linked", "names").alias("coverage"), share("links", "docs").alias("mean_degree"), "hubs")
+
+
+def events_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five newest events of each user, and how many were dropped for them."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return corpus.bounded(e, "user_id", ["ts", "event_id"], 5).select("event_id", "user_id", "dropped")
+
+
+def curation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of aliases folded into their targets, or dropped where a decision rejects them."""
+    a = graph.latest_aliases(table(spark, sf_dir, "entity_aliases"))
+    first = a.groupBy(F.col("alias").alias("name")).agg(F.min(F.struct("canonical_id", "status")).alias("m"))
+    actions = first.select("name", F.when(F.col("m.status") == "rejected", "drop").when(F.col("m.status") == "applied", "fold").otherwise("keep").alias("action"), F.col("m.canonical_id").alias("into"))
+    names = a.select(F.explode(F.array("alias", "canonical_id")).alias("name")).distinct()
+    return corpus.curated(names, actions, vectors.never_merge)
+
+
+def ondemand_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three sources on a topic that aren't compiled in full yet, of twice as many hits."""
+    hits = S.bm25_list(spark, sf_dir, limit=6).select(F.substring("id", 5, 1_000_000).cast("long").alias("doc_id"), "rank")
+    return hits.join(X.items(spark, sf_dir).where("tier < 3").select("doc_id", "source_path", "tier"), "doc_id").orderBy("rank").limit(3).select("source_path", "tier", "rank")
 
 
 def learnings_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +291,7 @@ def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (source_diff, change_feed, manifest_merge, compile_keys, drift_class, reconcile_drift, provenance, evidence_gate, removed_cascade, removed_and_pruned, queue_upsert, pending_by_tier, promotion_candidates, demotion_candidates, tiers_resolved, coverage_list, skip_reasons, source_unions, source_staleness, quality_score, lint_findings, independence, usage_rollup, latency_stats, latency_buckets, scorecard, grounding_mean, queue_stats, learnings_prune, exact_copies, concept_fold, keyed_upsert, source_types)
+    for f in (source_diff, change_feed, manifest_merge, compile_keys, drift_class, reconcile_drift, provenance, evidence_gate, removed_cascade, wiki_scorecard, events_ring, curation_fold, ondemand_topic, removed_and_pruned, queue_upsert, pending_by_tier, promotion_candidates, demotion_candidates, tiers_resolved, coverage_list, skip_reasons, source_unions, source_staleness, quality_score, lint_findings, independence, usage_rollup, latency_stats, latency_buckets, scorecard, grounding_mean, queue_stats, learnings_prune, exact_copies, concept_fold, keyed_upsert, source_types)
 }
 
 _CUR = "cur as (select source_path path, hash, file_type as type from items where doc_id % 11 <> 5)"
@@ -255,8 +307,20 @@ SQL = {
     "change_feed": X.with_(X.ITEMS, _CUR, _MAN) + "select * from (select coalesce(c.path, m.path) path, case when c.path is not null and (m.path is null or length(m.path) % 5 = 0 or c.hash <> m.hash) then 'Upsert' when c.path is null and length(m.path) % 5 <> 0 then 'Delete' end op from cur c full join man m on c.path = m.path) where op is not null",
     "manifest_merge": X.with_(X.ITEMS) + """select * from (select source_path as key, case when o is distinct from b then o else t end as value from (select source_path, case when doc_id % 5 <> 4 then hash end b,
       case when doc_id % 7 <> 3 then case when doc_id % 3 = 0 then 'ours' else hash end end o, case when doc_id % 6 <> 1 then case when doc_id % 2 = 0 then 'theirs' else hash end end t from items)) where value is not null""",
-    "compile_keys": X.with_(X.ITEMS) + "select source_path, sha256('mnemora/v1' || chr(10) || hash || chr(10) || file_type || chr(10) || tier) compile_key from items",
-    "drift_class": X.with_(X.ITEMS, _CUR, _MAN) + "select m.path, case when m.hash <> c.hash then 'hash' when m.type <> c.type then 'type' else 'unchanged' end drift from man m join cur c on m.path = c.path",
+    "compile_keys": X.with_(X.ITEMS) + "select source_path, sha256(array_to_string(case when tier < 3 then ['mnemora/v1', hash, 'p1', 'e1', 'c' || doc_id % 2] else ['mnemora/v1', hash, 'p1', file_type, 'm1', 'c' || doc_id % 2, 'e1'] end, chr(10))) compile_key from items",
+    "drift_class": X.with_(X.ITEMS) + "select source_path path, case when doc_id % 4 = 0 then 'content' when doc_id % 5 = 0 then 'pipeline' when doc_id % 6 = 0 then 'templates' when doc_id % 7 = 0 then 'models' when doc_id % 8 = 0 then 'config' when doc_id % 9 = 0 then 'embed' else 'unchanged' end drift from items",
+    "wiki_scorecard": r"""with d as (select doc_id, text from documents where text is not null), l as (select distinct doc_id, lower(unnest(regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1))) t from d), k as (select distinct lower(name) n from entities where name is not null)
+      select round(count(*) filter (t in (select n from k)) / count(*), 6) link_integrity, round(1 - count(distinct doc_id) / (select count(*) from d), 6) orphan_rate, round(count(distinct t) filter (t in (select n from k)) / (select count(*) from k), 6) coverage,
+        round(count(*) / (select count(*) from d), 6) mean_degree, (select count(*) from (select t from l group by t having count(*) >= 4)) hubs from l""",
+    "events_ring": "select event_id, user_id, greatest(0, count(*) over (partition by user_id) - 5) dropped from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 5",
+    "curation_fold": r"""with latest as (select alias, canonical_id, max(row(coalesce(decided_at, ''), lower(trim(status))))[2] status from entity_aliases where alias <> canonical_id group by 1, 2),
+      f as (select alias as name, canonical_id as into_, status from latest qualify row_number() over (partition by alias order by canonical_id, status) = 1), n as (select alias as name from latest union select canonical_id from latest),
+      t as (select n.name, f.into_, f.status, list_distinct(regexp_extract_all(lower(n.name), '[\p{L}\p{Nd}]+')) x, list_distinct(regexp_extract_all(lower(f.into_), '[\p{L}\p{Nd}]+')) y from n left join f on n.name = f.name),
+      v as (select *, list_sort(list_filter(x, lambda w: regexp_matches(w, '[0-9]'))) <> list_sort(list_filter(y, lambda w: regexp_matches(w, '[0-9]')))
+        or (contains(x, 'draft') <> contains(y, 'draft') and (contains(x, 'final') or contains(y, 'final'))) or (contains(x, 'final') <> contains(y, 'final') and (contains(x, 'draft') or contains(y, 'draft')))
+        or (contains(x, 'primary') <> contains(y, 'primary') and (contains(x, 'secondary') or contains(y, 'secondary'))) or (contains(x, 'secondary') <> contains(y, 'secondary') and (contains(x, 'primary') or contains(y, 'primary'))) never from t)
+      select name, case when coalesce(status = 'applied' and not never, false) then case when length(name) > length(into_) then name else into_ end else name end kept from v where status is distinct from 'rejected'""",
+    "ondemand_topic": X.with_(X.ENTRIES, X.ITEMS, S._DOC) + "select source_path, tier, rank::integer rank from doc join items on k = 'src:' || doc_id where rank <= 6 and tier < 3 order by rank limit 3",
     "reconcile_drift": X.with_(X.ITEMS, X.VECTORS, _CUR, _MAN) + "select coalesce(c.path, m.path) path, case when c.path is null then 'drop' when m.path is null or c.hash <> m.hash then 'index' when coalesce(c.path, m.path) not in (select 'docs/' || regexp_extract(id, '(\\d+)', 1) || '.md' from vectors) then 'embed' else 'skip' end action from cur c full join man m on c.path = m.path",
     "provenance": X.with_(_CON) + "select source, count(distinct name) articles from con group by source",
     "evidence_gate": X.with_(_CON) + "select name, count(*)::integer n_sources from con group by name having count(*) >= 3",
@@ -298,19 +362,23 @@ SQL = {
         union all select distinct id, 'impute', unnest(regexp_extract_all(t, '\b(TODO|UNKNOWN|TBD)\b', 1)) from d
         union all select distinct id, 'short section', trim(regexp_extract(s, '^#{1,6}[ \t]+([^\n]*)', 1)) from (select id, unnest(str_split(regexp_replace(t, '\n(#{1,6}[ \t])', chr(1) || '\1', 'g'), chr(1))) s from d) where starts_with(s, '#') and length(trim(regexp_replace(s, '^#{1,6}[^\n]*\n?', ''))) < 50
         union all select id, 'staleness', '' from d where ingested_at < timestamp '2024-10-01' - interval 90 days)
-      select id, rule, detail from f""",
+      select id::varchar id, rule, detail from f
+      union all select distinct source_id, 'consistency', target_id from _rel where relation = 'contradicts' union all select id::varchar, 'quality', combined::varchar from _q where combined < 0.5""",
     "independence": """with c as (select distinct o_custkey output, l_orderkey k, l_suppkey % 10 chunk from lineitem join orders on l_orderkey = o_orderkey), s as (select output, k, list(chunk) l from c group by output, k),
       p as (select x.output, 1 - len(list_intersect(x.l, y.l)) / (len(x.l) + len(y.l) - len(list_intersect(x.l, y.l))) d from s x join s y on x.output = y.output and x.k < y.k), n as (select output, count(*) n from s group by output)
       select n.output, round(coalesce(avg(d), 0), 6) independence, n from n left join p on n.output = p.output group by n.output, n""",
     "usage_rollup": "select group_name, status, count(*) calls, sum(retrieved_count)::bigint retrieved, round(case when count(*) > count(search_latency_ms) then null else sum(search_latency_ms) end, 3) latency, case when count(distinct judgment) = 0 then '' when count(distinct judgment) = 1 then max(judgment) else 'mixed' end judgment from (select distinct * from longmemeval_full) group by group_name, status",
-    "latency_stats": "select group_name, round(quantile_cont(search_latency_ms, 0.5), 6) p50, round(quantile_cont(search_latency_ms, 0.95), 6) p95, round(avg(search_latency_ms), 6) mean from (select distinct * from longmemeval_full) group by group_name",
+    "latency_stats": "select group_name, round(quantile_cont(search_latency_ms, 0.5), 6) p50, round(quantile_cont(search_latency_ms, 0.95), 6) p95, round(avg(search_latency_ms), 6) mean, round(count(search_latency_ms) * 1000 / nullif(sum(search_latency_ms), 0), 6) qps from (select distinct * from longmemeval_full) group by group_name",
     "latency_buckets": "select le::double le, count(*) filter (search_latency_ms <= le) n from longmemeval_full, (values (50), (100), (250), (500), (1000), (2500), (5000)) b(le) group by le",
     "scorecard": r"""select group_name, round(avg((judgment = 'PASS')::integer), 6) pass_rate, round(avg(coalesce(trim(regexp_replace(lower(ground_truth), '\s+', ' ', 'g')) <> '' and contains(trim(regexp_replace(lower(generated_answer), '\s+', ' ', 'g')), trim(regexp_replace(lower(ground_truth), '\s+', ' ', 'g'))), false)::integer), 6) fact_rate,
       round(avg(score), 6) mean_score, count(*) n from (select distinct * from longmemeval_full) group by group_name""",
     "grounding_mean": "select question_id, coalesce(avg(score), 1.0) grounding from longmemeval_full group by question_id",
-    "queue_stats": X.with_(X.ITEMS) + "select tier, file_type, count(*) items, sum(size_bytes)::bigint bytes, count(*) filter (hits >= 3) asked, round(avg(size_bytes), 4) mean_bytes from items group by tier, file_type",
+    "queue_stats": X.with_(X.ITEMS, _QUEUE) + "select tier, count(*) items, sum(size_bytes)::bigint bytes, count(*) filter (hits >= 3) asked, round(avg(size_bytes), 4) mean_bytes, count(*) filter (indexed and embedded) written, count(*) filter (status = 'error') failed, arg_max(lease, row(attempts, path)) filter (lease is not null) as holder from queue group by tier",
     "learnings_prune": "select id, created_at, content from (select sha256(summary) id, min(updated_at) created_at, min(summary) as content from communities where summary is not null group by 1) where created_at >= '2024-10-01T00:00:00Z' order by created_at desc, id limit 500",
     "exact_copies": "select doc_id, min(doc_id) over (partition by text) group_id, count(*) over (partition by text) copies from documents where coalesce(text, '') <> ''",
     "keyed_upsert": X.with_(X.ITEMS, _CUR, _MAN, "new as (select * from cur where type = 'notes')") + "select * from man where path not in (select path from new) union all select * from new",
     "source_types": "select kind, coalesce(lower(trim(lang)) = main_lang, false) main, count(*) docs, sum(n_chars)::bigint chars from documents d left join source_catalog s on d.source = s.source group by 1, 2",
 }
+
+_REL = G.SQL["stated_relations"].replace("'src:' || doc_id", "doc_id::varchar")
+SQL["lint_findings"] = SQL["lint_findings"].replace("with d as", f"with _rel as ({_REL}), _q as ({SQL['quality_score']}), d as", 1)

@@ -87,7 +87,10 @@ def code_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_session, events_dedup, event_payloads, document_chunks, chunk_digests, hash_embeddings, louvain_communities, ann_recall, code_structure)}
 
+_FOLD = ",\n".join(f"r{k + 1} as (select doc_id, i // 8 i, case when count(*) = 1 then min(t) else sha256(string_agg(t, chr(10) order by i)) end t from r{k} group by doc_id, i // 8)" for k in range(6))
+
 SQL = {
+    "chunk_digests": X.with_(X.CHUNKS, "r0 as (select doc_id, chunk_index::bigint i, content t from chunks)", _FOLD) + "select doc_id, t as content from r6",
     "events_tumbling": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) events, round(sum(value), 6) total from events group by 1, 2",
     "events_sliding": "select s as start, count(*) events, count(distinct user_id) users from (select date_trunc('day', ts)::timestamp - interval 1 day * k s, user_id from events, (values (0), (1)) v(k)) group by s",
     "events_session": """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 6 hours then 0 else 1 end n from events window w as (partition by user_id order by ts)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions import text as T
-from mnemora.operators import fusion, graph, lexical, vectors
+from mnemora.operators import corpus, fusion, graph, lexical, vectors
 from mnemora.plans import fixtures as X
 from mnemora.plans.text_queries import TERMS_OF_QUESTIONS as _TERMS
 from mnemora.runtime import table
@@ -222,6 +222,27 @@ def search_facade_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shaped(spark, sf_dir, require=[first], boost=[second])
 
 
+def search_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of even numbers only, by a predicate that the caller brings."""
+    even = F.regexp_extract("doc_id", "([0-9]+)", 1).cast("long") % 2 == 0
+    return _shaped(spark, sf_dir, keep=even)
+
+
+def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each embedding with that of the next number."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    return both.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("next")), 9).alias("score"))
+
+
+def vector_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors after inbox documents' were deleted and embeddings put in: which ids there are, of which width."""
+    gone = table(spark, sf_dir, "documents").where("source = 'inbox'").select(F.concat(F.lit("src:"), F.col("doc_id").cast("string")).alias("id"))
+    new = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("src:"), (F.col("vec_id") * 3).cast("string")).alias("id"), "embedding")
+    left = corpus.upsert(X.vectors(spark, sf_dir).join(gone, "id", "left_anti"), new, ["id"])
+    return left.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 def legacy_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.legacy(bm25_list(spark, sf_dir), vector_list(spark, sf_dir), X.entries(spark, sf_dir), X.entry_dates(spark, sf_dir), NOW, 10, _top_tags(spark, sf_dir)[:1])
 
@@ -243,7 +264,7 @@ def federated_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_doc_top10, bm25_chunk_top20, strong_signal, bm25_tagged, count_uncompiled, learnings_recall, cosine_doc_top10, cosine_filtered, similar_pairs, int8_codes, int8_roundtrip_topk, normalized_norms, never_merge_pairs, hybrid_rrf_top10, hybrid_three_channel, multi_query_fusion, search_recency, search_facade_filters, legacy_hybrid, rerank_blend, federated_top10, chunk_vector_top20, graph_list_top50, bm25_batch, search_channels, similar_questions)
+    for f in (bm25_doc_top10, bm25_chunk_top20, strong_signal, bm25_tagged, count_uncompiled, learnings_recall, cosine_doc_top10, cosine_filtered, similar_pairs, int8_codes, int8_roundtrip_topk, normalized_norms, never_merge_pairs, hybrid_rrf_top10, hybrid_three_channel, multi_query_fusion, search_recency, search_facade_filters, legacy_hybrid, rerank_blend, federated_top10, chunk_vector_top20, graph_list_top50, bm25_batch, search_channels, similar_questions, search_predicate, cosine_neighbours, vector_upkeep)
 }
 
 
@@ -326,6 +347,9 @@ b as (select vec_id from embeddings order by round(list_cosine_similarity(embedd
     + f"select ch channels, k doc_id, score, row_number() over (partition by ch order by score desc, k)::integer rank from (select ch, k, round(score + {_AGE}, 9) score from po left join entry_dates on k = id)",
     "similar_questions": X.with_(X.VECTORS) + """select question, output, score from (select a.vec_id::varchar question, b.id output, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) score from embeddings a, vectors b
       where a.vec_id % 100 = 0 and regexp_extract(b.id, '([0-9]+)', 1)::bigint % 3 <> 0) where score >= 0.2 qualify row_number() over (partition by question order by score desc, output) = 1""",
+    "search_predicate": X.with_(*_HEAD, X.ENTRY_DATES, _FUSED, _POOL) + f"select k doc_id, score, row_number() over (order by score desc, k)::integer rank from (select k, round(score + {_AGE}, 9) score from pool left join entry_dates on k = id where regexp_extract(k, '([0-9]+)', 1)::bigint % 2 = 0) order by score desc, k limit 10",
+    "cosine_neighbours": "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) score from embeddings a join embeddings b on a.vec_id = b.vec_id - 1",
+    "vector_upkeep": X.with_(X.VECTORS, "u as (select 'src:' || vec_id * 3 id, len(embedding) w from embeddings)", "v as (select id, len(embedding) w from vectors where id not in (select 'src:' || doc_id from documents where source = 'inbox') and id not in (select id from u) union all select * from u)") + "select w::integer width, count(*) n, min(id) as first, max(id) as last from v group by w",
     "multi_query_fusion": X.with_(X.ENTRIES, _DOC, _bm25_sql("alt", "entries", "id", lexical.ENTRY_WEIGHTS, OTHER_TERMS, 50)) + """select k doc_id, score, b::integer bm25_rank, row_number() over (order by score desc, k)::integer rank from
       (select k, round(sum(round(0.7 / (60 + rank), 15)), 9) score, min(rank) b from (select k, rank from doc union all select k, rank from alt) group by k) order by score desc, k limit 10""",
     "search_recency": X.with_(*_HEAD, X.ENTRY_DATES, _FUSED, _POOL) + f"select k doc_id, score, row_number() over (order by score desc, k)::integer rank from (select k, round(score + {_AGE}, 9) score from pool left join entry_dates on k = id) order by score desc, k limit 10",
