@@ -81,6 +81,33 @@ def boundaries(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return real.withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") != "heading")).select(id_col, "of", F.col("first").alias("boundary"))
 
 
+def covered(texts: DataFrame, cut: DataFrame, id_col: str = "chunk_id", text_col: str = "content", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``(id, pieces, whole)``: for each text over the limit how many pieces ``pieces()`` made of it, and whether they are as they must be.
+
+    They start and end with the text without a gap, hold what stands there, keep to the limit and the overlap, and wherever a natural
+    boundary lies where a piece may end, it ends at one.
+    """
+    long = oversized(texts, id_col, text_col, limit)
+    marks = boundaries(long, id_col, text_col).groupBy(id_col, "of").agg(F.collect_list("boundary").alias("marks"))
+    order = F.sort_array(F.collect_list(F.struct("piece", "start", "end", F.col(text_col).alias("piece_text"))))
+    lists = cut.groupBy(id_col).agg(order.alias("p"))  # the pieces of one text
+    rows = long.join(marks, [id_col, "of"], "left").join(lists, id_col, "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<int>")))
+    room = limit - overlap
+    least = max(1, room // 4, min(overlap, room))
+
+    def fine(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0)).otherwise(F.get("p", i - 1)["end"])
+        here = F.substring(F.col(text_col), x["start"] + 1, x["end"] - x["start"]) == x["piece_text"]
+        passed = lambda end: F.size(F.filter("marks", lambda m: (m > before) & (m < end)))
+        missed = F.exists("marks", lambda m: (m >= before + least) & (m + passed(m) <= before + room))  # a mark takes the room of a character
+        at_mark = F.array_contains("marks", x["end"]) | (x["end"] == F.length(text_col))
+        return (x["start"] <= before) & (before - x["start"] <= overlap) & (x["end"] > before) & (x["end"] - x["start"] <= limit) & here & (at_mark | ~missed)
+
+    ends = (F.get("p", F.lit(0))["start"] == 0) & (F.element_at("p", -1)["end"] == F.length(text_col))
+    ok = ends & F.forall(F.transform("p", fine), lambda b: b)
+    return rows.select(id_col, F.coalesce(F.size("p"), F.lit(0)).alias("pieces"), F.coalesce(ok, F.lit(False)).alias("whole"))
+
+
 def pieces(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", heading_col: str = "heading", start_col: str = "start_offset", end_col: str = "end_offset", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """``(id, piece, heading, start, end, place_start, place_end, content)`` for each text over ``limit`` code points.
 

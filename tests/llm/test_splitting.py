@@ -48,3 +48,13 @@ def test_pieces_cover_the_text_within_the_limit(spark):
     assert got["a"][0].place_start == 5 and got["c"][0].place_start is None and got["b"][0].place_start is None
     assert all(p.end == len(long) or long[p.end - 1] == "。" for p in got["b"])
     assert splitting.pieces(df.limit(0)).count() == 0
+
+
+def test_covered_tells_wrong_pieces(spark):
+    rows = [("a", TEXT, "h", 5, 5 + len(TEXT)), ("c", "x" * 5000, "", 1, 2), ("d", None, "h", 0, 0)]
+    df = spark.createDataFrame(rows, "chunk_id string, content string, heading string, start_offset int, end_offset int")
+    cut = splitting.pieces(df).select("chunk_id", "piece", "start", "end", "content")
+    assert {tuple(r) for r in splitting.covered(df, cut).select("chunk_id", "whole").collect()} == {("a", True), ("c", True)}
+    for wrong in (cut.where("piece <> 1"), cut.withColumn("end", cut["end"] - 1), cut.withColumn("content", cut.piece.cast("string"))):
+        assert not any(r.whole for r in splitting.covered(df, wrong).collect())
+    assert [r.whole for r in splitting.covered(df, cut.limit(0)).collect()] == [False, False]
