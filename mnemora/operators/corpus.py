@@ -176,10 +176,10 @@ def lint(docs: DataFrame, known: DataFrame, now: str, stale_days: int = 90, edge
     stale = docs.where(F.col("changed") < F.lit(now).cast("timestamp") - F.expr(f"interval {stale_days} days")).select("id", F.lit("").alias("detail"), F.lit("staleness").alias("rule"))
     found = [broken, style, impute, short, stale]
     if edges is not None:
-        found.append(edges.where("relation = 'contradicts'").select(F.col("source_id").alias("id"), F.col("target_id").alias("detail")).distinct().withColumn("rule", F.lit("consistency")))
+        found.append(edges.where("relation = 'contradicts'").select(F.col("source_id").cast(docs.schema["id"].dataType).alias("id"), F.col("target_id").alias("detail")).distinct().withColumn("rule", F.lit("consistency")))
     if scores is not None:
         found.append(scores.where(F.col("combined") < least).select("id", F.col("combined").cast("string").alias("detail"), F.lit("quality").alias("rule")))
-    return reduce(DataFrame.unionByName, (f.select(F.col("id").cast("string").alias("id"), "rule", "detail") for f in found))
+    return reduce(DataFrame.unionByName, (f.select("id", "rule", "detail") for f in found))
 
 
 def bounded(events: DataFrame, key: str, order: list[str], most: int) -> DataFrame:

@@ -11,7 +11,8 @@ _PARTS = r"\[\[[^\]]+\]\]|(?:(?!\[\[[^\]]+\]\])[\s\S])+"
 def rewrite(docs: DataFrame, names: DataFrame, key: str, text: str, replace) -> DataFrame:
     """``(key, text)`` with each link replaced by ``replace(link, display, id)``; id is null for targets that aren't in ``names(name, id)``.
 
-    A link is ``[[target]]`` or ``[[target|display]]``; targets compare without case. Only texts with links are taken apart, links alone are
+    A link is ``[[target]]`` or ``[[target|display]]``; targets compare without case. Of several ids of a name the one of the least
+    ``priority`` holds, if names have that, then the smallest. Only texts with links are taken apart, links alone are
     shuffled to the names, and a text's parts come together again by its key, which must be unique.
     """
     linked = F.contains(text, F.lit("[["))
@@ -21,8 +22,9 @@ def rewrite(docs: DataFrame, names: DataFrame, key: str, text: str, replace) ->
     links = parts.where(is_link).select(key, "pos", inner.alias("inner"))
     target = F.split("inner", r"\|")
     links = links.select(key, "pos", target[0].alias("target"), F.element_at(target, -1).alias("display"))
-    known = names.groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"))
-    solved = links.join(known, F.lower("target") == F.col("k"), "left").select(key, "pos", replace(F.col("target"), F.col("display"), F.col("id")).alias("part"))
+    first = F.col("priority") if "priority" in names.columns else F.lit(0)
+    known = names.groupBy(F.lower("name").alias("k")).agg(F.min_by("id", F.struct(first, F.col("id"))).alias("known_id"))
+    solved = links.join(known, F.lower("target") == F.col("k"), "left").select(key, "pos", replace(F.col("target"), F.col("display"), F.col("known_id")).alias("part"))
     whole = parts.where(~is_link).unionByName(solved).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias(text))
     rest = docs.where(~F.coalesce(linked, F.lit(False))).select(key, text)
     return whole.unionByName(rest)

@@ -362,8 +362,8 @@ SQL = {
         union all select distinct id, 'impute', unnest(regexp_extract_all(t, '\b(TODO|UNKNOWN|TBD)\b', 1)) from d
         union all select distinct id, 'short section', trim(regexp_extract(s, '^#{1,6}[ \t]+([^\n]*)', 1)) from (select id, unnest(str_split(regexp_replace(t, '\n(#{1,6}[ \t])', chr(1) || '\1', 'g'), chr(1))) s from d) where starts_with(s, '#') and length(trim(regexp_replace(s, '^#{1,6}[^\n]*\n?', ''))) < 50
         union all select id, 'staleness', '' from d where ingested_at < timestamp '2024-10-01' - interval 90 days)
-      select id::varchar id, rule, detail from f
-      union all select distinct source_id, 'consistency', target_id from _rel where relation = 'contradicts' union all select id::varchar, 'quality', combined::varchar from _q where combined < 0.5""",
+      select id, rule, detail from f
+      union all select distinct source_id::bigint, 'consistency', target_id from _rel where relation = 'contradicts' union all select id, 'quality', combined::varchar from _q where combined < 0.5""",
     "independence": """with c as (select distinct o_custkey output, l_orderkey k, l_suppkey % 10 chunk from lineitem join orders on l_orderkey = o_orderkey), s as (select output, k, list(chunk) l from c group by output, k),
       p as (select x.output, 1 - len(list_intersect(x.l, y.l)) / (len(x.l) + len(y.l) - len(list_intersect(x.l, y.l))) d from s x join s y on x.output = y.output and x.k < y.k), n as (select output, count(*) n from s group by output)
       select n.output, round(coalesce(avg(d), 0), 6) independence, n from n left join p on n.output = p.output group by n.output, n""",

@@ -223,6 +223,30 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select(F.col("rel").alias("path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"), source_type(F.col("rel")).alias("type"), "size")
 
 
+def readable(files: DataFrame, content: str = "content") -> DataFrame:
+    """Files whose bytes are text: valid UTF-8 without a zero byte. Null contents aren't."""
+    text = F.col(content).cast("binary")
+    return files.where(F.coalesce(F.is_valid_utf8(text.cast("string")) & ~F.contains(text, F.lit(b"\x00")), F.lit(False)))
+
+
+def ingested(files: DataFrame, known: DataFrame) -> DataFrame:
+    """The manifest ``(path, hash, type, size)`` after scanned files were taken in: theirs, and known rows of other paths."""
+    new = manifest(files)
+    return known.join(new.select("path"), "path", "left_anti").select(*new.columns).unionByName(new)
+
+
+def pages(fetched: DataFrame, folder: str = "raw") -> DataFrame:
+    """``(rel, content, url)`` files out of fetched pages ``(url, html)``: the visible text under a name made of the address.
+
+    Pages without text, or with another scheme than http or https, are left out; of equal addresses one page, the largest, is taken.
+    """
+    visible = F.pandas_udf(lambda html: html.map(lambda h: html_text(h) if h else None), "string")
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace("url", r"^https?://", "")), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+    once = fetched.where(F.col("url").rlike(r"^https?://[^/\s]")).groupBy("url").agg(F.max("html").alias("html"))
+    rows = once.select(F.concat(F.lit(folder + "/"), name, F.lit(".md")).alias("rel"), visible("html").alias("content"), "url")
+    return rows.where(F.trim(F.coalesce("content", F.lit(""))) != "")
+
+
 def append_jsonl(rows: DataFrame, folder: str) -> None:
     """Adds rows as JSON lines; readers take files as they appear."""
     rows.write.mode("append").json(folder)

@@ -84,3 +84,24 @@ def test_providers(spark):
     lines = providers.table_function(lambda b: ((x,) for x in b.decode().split("\n")), "line string")
     spark.udtf.register("lines_of", lines)
     assert spark.sql("select * from lines_of(cast('a\nb' as binary))").count() == 2
+
+
+def test_readable_files_pages_and_ingestion(spark):
+    rows = [("a.md", b"text", 4), ("b.md", b"\xff\xfe", 2), ("c.md", b"x\x00y", 3), ("d.md", None, 0), ("e.md", "čau".encode(), 4)]
+    f = spark.createDataFrame(rows, "rel string, content binary, size long")
+    assert {r.rel for r in files.readable(f).collect()} == {"a.md", "e.md"}
+    known = spark.createDataFrame([("a.md", "sha256:old", "article", 1), ("z.md", "sha256:z", "article", 9)], "path string, hash string, type string, size long")
+    got = {r.path: r.hash for r in files.ingested(files.readable(f), known).collect()}
+    assert set(got) == {"a.md", "e.md", "z.md"} and got["a.md"] != "sha256:old" and got["z.md"] == "sha256:z"
+    html = [("https://Ex.org/a/?b=1", "<p>One</p><script>no</script>"), ("ftp://ex.org", "<p>x</p>"), ("https://ex.org/empty", "<style>s</style>"), ("https://ex.org/null", None), ("https://Ex.org/a/?b=1", "")]
+    found = files.pages(spark.createDataFrame(html, "url string, html string")).collect()
+    assert [(r.rel, r.content.strip()) for r in found] == [("raw/ex-org-a-b-1.md", "One")]
+
+
+def test_names_by_priority(spark):
+    from mnemora.operators import links
+
+    docs = spark.createDataFrame([(1, "[[Graph]] and [[graph|it]]")], "id int, text string")
+    names = spark.createDataFrame([("graph", "zz", 1), ("Graph", "aa", 2)], "name string, id string, priority int")
+    assert links.rewrite(docs, names, "id", "text", links.sanitized).first().text == "[[zz|Graph]] and [[zz|it]]"
+    assert links.rewrite(docs, names.drop("priority"), "id", "text", links.sanitized).first().text == "[[aa|Graph]] and [[aa|it]]"
