@@ -12,8 +12,10 @@ SAMPLE = 20_000
 
 
 def fit(rows: DataFrame, key: str, cells: int, column: str = "embedding", sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
-    """Unit centroids by Lloyd's rounds over the ``sample`` vectors of the smallest hash."""
+    """Unit centroids by Lloyd's rounds over the ``sample`` vectors of the smallest hash; one of no width without vectors."""
     x = np.array([r[0] for r in rows.orderBy(F.xxhash64(key)).limit(sample).select(column).collect()], np.float64)
+    if not len(x):
+        return np.zeros((1, 0))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     c = x[np.random.default_rng(0).choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):

@@ -107,6 +107,17 @@ def queue_upsert(old: DataFrame, new: DataFrame, flags: list[str]) -> DataFrame:
     )
 
 
+def index_entries(sources: DataFrame) -> DataFrame:
+    """``(id, tags, content)`` of sources ``(path, type, tier, text, structure)`` that have text: tags are type, tier and whether code was parsed.
+
+    A structure is appended to the text under a line.
+    """
+    parsed = F.coalesce(F.col("structure") != "", F.lit(False))
+    tags = F.concat_ws(",", "type", F.concat(F.lit("tier:"), F.col("tier").cast("string")), F.when(parsed, F.lit("parsed")))
+    content = F.when(parsed, F.concat("text", F.lit("\n\n---\nStructure:\n"), "structure")).otherwise(F.col("text"))
+    return sources.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(F.concat(F.lit("src:"), "path").alias("id"), tags.alias("tags"), content.alias("content"))
+
+
 def pending(rows: DataFrame, tier: int, flags: dict[int, list[str]]) -> DataFrame:
     """Rows of at least a tier with an open flag of that tier's passes."""
     return rows.where((F.col("tier") >= tier) & reduce(lambda a, b: a | b, (~F.coalesce(f, F.lit(False)) for f in flags[tier])))

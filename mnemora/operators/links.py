@@ -42,6 +42,17 @@ def stripped(target: Column, display: Column, id_: Column) -> Column:
     return F.when(id_.isNull(), display).otherwise(sanitized(target, display, F.lit(None).cast("string")))
 
 
+def normalize_entities(entities: DataFrame, types: list[str], triples: DataFrame, most: int = 40, default: str = "concept") -> DataFrame:
+    """``(doc, name, type, pos)`` out of a document's entities in order ``pos``: trimmed, each name once at its first place, types that
+    aren't known as ``default``, the first ``most``, and of these what stands in a triple of ``normalize_triples``."""
+    clean = entities.select("doc", F.trim("name").alias("name"), F.lower(F.trim("type")).alias("type"), "pos").where("name <> ''")
+    clean = clean.withColumn("type", F.when(F.col("type").isin(types), F.col("type")).otherwise(default))
+    once = clean.groupBy("doc", "name").agg(F.min(F.struct("pos", "type")).alias("m")).select("doc", "name", "m.type", "m.pos")
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("pos", "name"))
+    ends = triples.select("doc", F.explode(F.array("source", "target")).alias("name")).distinct()
+    return once.withColumn("at", at).where(F.col("at") <= most).drop("at").join(ends, ["doc", "name"], "left_semi").select("doc", "name", "type", "pos")
+
+
 def normalize_triples(triples: DataFrame, entities: DataFrame, synonyms: DataFrame, most: int = 60) -> DataFrame:
     """``(doc, source, predicate, target, confidence, pos)`` out of triples of a document in order ``pos``.
 

@@ -103,6 +103,22 @@ def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def queue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with all their columns, flags stored as numbers read as booleans."""
+    flags = ["indexed", "embedded", "parsed"]
+    stored = _queue(spark, sf_dir).withColumns({f: F.col(f).cast("int") for f in flags})
+    return stored.select("path", "hash", "size_bytes", "tier", "hits", "status", "attempts", F.coalesce("lease", F.lit("")).alias("lease"), *(F.col(f).cast("boolean").alias(f) for f in flags))
+
+
+def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of documents, those with fenced code with the names that it defines."""
+    d = table(spark, sf_dir, "documents")
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?m)^(?:def|func|class) (\w+)"), F.lit(1)))
+    rows = d.select(F.coalesce("source_path", F.lit("")).alias("path"), F.coalesce("source_type", F.lit("article")).alias("type"), (F.col("doc_id") % 4).alias("tier"), "text", F.array_join(names, " ").alias("structure"), "doc_id")
+    keyed = rows.withColumn("path", F.concat("path", F.lit("#"), F.col("doc_id").cast("string")))
+    return corpus.index_entries(keyed).select("id", "tags", F.md5("content").alias("digest"))
+
+
 def queue_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = ["indexed", "embedded", "parsed"]
     old = _queue(spark, sf_dir).where("doc_id % 10 <> 9").select("path", "hash", "size_bytes", "status", "attempts", "lease", *flags)
@@ -291,7 +307,7 @@ def source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (source_diff, change_feed, manifest_merge, compile_keys, drift_class, reconcile_drift, provenance, evidence_gate, removed_cascade, wiki_scorecard, events_ring, curation_fold, ondemand_topic, removed_and_pruned, queue_upsert, pending_by_tier, promotion_candidates, demotion_candidates, tiers_resolved, coverage_list, skip_reasons, source_unions, source_staleness, quality_score, lint_findings, independence, usage_rollup, latency_stats, latency_buckets, scorecard, grounding_mean, queue_stats, learnings_prune, exact_copies, concept_fold, keyed_upsert, source_types)
+    for f in (source_diff, change_feed, manifest_merge, compile_keys, drift_class, reconcile_drift, provenance, evidence_gate, removed_cascade, wiki_scorecard, events_ring, curation_fold, ondemand_topic, removed_and_pruned, queue_rows, index_entries, queue_upsert, pending_by_tier, promotion_candidates, demotion_candidates, tiers_resolved, coverage_list, skip_reasons, source_unions, source_staleness, quality_score, lint_findings, independence, usage_rollup, latency_stats, latency_buckets, scorecard, grounding_mean, queue_stats, learnings_prune, exact_copies, concept_fold, keyed_upsert, source_types)
 }
 
 _CUR = "cur as (select source_path path, hash, file_type as type from items where doc_id % 11 <> 5)"
@@ -327,6 +343,10 @@ SQL = {
     "removed_cascade": X.with_(_CON, "rem as (select doc_id source from documents where source = 'inbox')", "one as (select name from con group by name having count(*) = 1)", "def as (select distinct source from con where source in (select source from rem) and name in (select name from one))")
     + "select name, count(*)::integer n_sources from con where source not in (select source from rem where source not in (select source from def)) group by name union all select 'deferred:' || source, 0 from def",
     "removed_and_pruned": X.with_(_CON) + "select name, count(*)::integer n_sources from con where source not in (select doc_id from documents where source = 'inbox') group by name",
+    "queue_rows": X.with_(X.ITEMS, _QUEUE) + "select path, hash, size_bytes, tier, hits, status, attempts, coalesce(lease, '') as lease, indexed, embedded, parsed from queue",
+    "index_entries": r"""with d as (select coalesce(source_path, '') || '#' || doc_id path, coalesce(source_type, 'article') t, doc_id % 4 tier, text, regexp_extract_all(text, '(?m)^(?:def|func|class) (\w+)', 1) l from documents where trim(coalesce(text, ''), ' ') <> ''),
+      s as (select *, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') s from d)
+      select 'src:' || path id, t || ',tier:' || tier || case when s <> '' then ',parsed' else '' end tags, md5(case when s <> '' then text || chr(10) || chr(10) || '---' || chr(10) || 'Structure:' || chr(10) || s else text end) digest from s""",
     "queue_upsert": X.with_(X.ITEMS, _QUEUE) + """select coalesce(o.path, n.path) path, coalesce(n.hash, o.hash) hash, coalesce(n.size_bytes, o.size_bytes) size_bytes, case when k then o.status else 'pending' end status, case when k then o.attempts else 0 end attempts,
       case when k then o.lease end as lease, k and indexed as indexed, k and embedded as embedded, k and parsed as parsed
       from (select o, n, o.path is not null and (n.path is null or o.hash = n.hash) k, o.indexed indexed, o.embedded embedded, o.parsed parsed from (select * from queue where doc_id % 10 <> 9) o full join (select source_path path, hash, size_bytes, doc_id from items where doc_id % 11 <> 5) n on o.path = n.path)""",

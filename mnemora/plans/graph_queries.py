@@ -194,6 +194,11 @@ def alias_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.blocks(*_named(spark, sf_dir), 60, 0.05)
 
 
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the pairs of alias_blocks that no decision rejects."""
+    return graph.rejected_either_way(alias_blocks(spark, sf_dir), graph.latest_aliases(table(spark, sf_dir, "entity_aliases")))
+
+
 def alias_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each entity with a name: the smallest id of its type with the same words."""
     return graph.name_classes(*_named(spark, sf_dir)).select("id", "class")
@@ -255,7 +260,7 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_view, live_edges_asof, entity_degree, connection_counts, orphans, cites_semi_join, traverse_depth2, traverse_capped, edges_of_relation, traverse_out, canonical_closure, alias_components, pair_conflicts, free_blocks, alias_unlink, supersession_triggers, cluster_guards, link_aliases, alias_sweep, graph_leg, relevance_signals, serialize_subgraph, graph_cycles, entity_upsert_fold, relation_upsert_fold, alias_upsert_fold, functional_supersession, alias_blocks, alias_classes, elect_canonical, community_input, modularity, label_communities, member_hash, community_level, related_top8, stated_relations, delete_cascade)
+    for f in (edge_view, live_edges_asof, entity_degree, connection_counts, orphans, cites_semi_join, traverse_depth2, traverse_capped, edges_of_relation, traverse_out, canonical_closure, alias_components, pair_conflicts, free_blocks, alias_unlink, supersession_triggers, cluster_guards, link_aliases, alias_sweep, graph_leg, relevance_signals, serialize_subgraph, graph_cycles, entity_upsert_fold, relation_upsert_fold, alias_upsert_fold, functional_supersession, alias_blocks, candidate_pairs, alias_classes, elect_canonical, community_input, modularity, label_communities, member_hash, community_level, related_top8, stated_relations, delete_cascade)
 }
 
 _LIVE = lambda t: f"(valid_from = '' or valid_from <= '{t}') and (valid_to = '' or valid_to > '{t}')"
@@ -357,3 +362,6 @@ SQL = {
     "delete_cascade": X.with_(X.RELATIONS, X.GRAPH_ENTITIES, X.GRAPH_ALIASES, _DERIVED, "gone as (select id from graph_entities where type = 'claim')")
     + "select 'entities' part, id source_id, '' target_id, '' relation from graph_entities where type <> 'claim' union all select 'relations', source_id, target_id, relation from relations where source_id not in (select id from gone) and target_id not in (select id from gone) union all select 'derived', source_id, target_id, relation from derived where source_id not in (select id from gone) and target_id not in (select id from gone)",
 }
+
+SQL["alias_classes"] = SQL["alias_blocks"].split("c as (", 1)[0].rstrip().rstrip(",") + " select id, min(id) over (partition by type, l) class from l"
+SQL["candidate_pairs"] = f"with p as ({SQL['alias_blocks']}), {_LAST} select a, b from p where (a, b) not in (select (least(alias, canonical_id), greatest(alias, canonical_id)) from latest where status = 'rejected')"

@@ -38,6 +38,14 @@ def triples_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.normalize_triples(a.withColumn("doc", F.concat("doc", F.substring("pos", 1, 10))), e, s)
 
 
+def entities_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of aliases as entities of the documents that the triples come from."""
+    a = table(spark, sf_dir, "entity_aliases")
+    doc = F.concat(F.substring("entity_type", 1, 1), F.substring("created_at", 1, 10))
+    both = a.select(doc.alias("doc"), F.explode(F.array("alias", "canonical_id")).alias("name"), F.col("entity_type").alias("type"), F.col("created_at").alias("pos")).where("name is not null and doc is not null")
+    return links.normalize_entities(both, ["concept", "technique", "claim"], triples_normalized(spark, sf_dir), 40)
+
+
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every vector whose number is divisible by 100 the nearest other of at least 0.6 with a mergeable source path."""
     v = X.vectors(spark, sf_dir)
@@ -129,7 +137,7 @@ def trusted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.trusted(rows, sure, None)
 
 
-QUERIES = {f.__name__: f for f in (content_hashes, source_path_types, filler_stripped, trusted_results)} | {f.__name__: f for f in (wikilinks_sanitized, wikilinks_stripped, triples_normalized, semantic_dedup, ego_graph, rerank_candidates, hydrated_top10, workspace_status, query_hits, lint_connections)}
+QUERIES = {f.__name__: f for f in (content_hashes, source_path_types, filler_stripped, trusted_results)} | {f.__name__: f for f in (wikilinks_sanitized, wikilinks_stripped, triples_normalized, entities_normalized, semantic_dedup, ego_graph, rerank_candidates, hydrated_top10, workspace_status, query_hits, lint_connections)}
 
 _LINKS = r"""names as (select lower(name) k, min(id) id from entities where name is not null and id is not null group by 1),
 parts as (select doc_id, generate_subscripts(l, 1) pos, unnest(l) part from (select doc_id, str_split(regexp_replace(text, '(\[\[[^\]]+\]\])', chr(1) || '\1' || chr(1), 'g'), chr(1)) l from documents where text is not null)),
@@ -169,3 +177,8 @@ SQL = {
     "query_hits": X.with_(X.ITEMS) + "select source_path, hits + coalesce(more, 0) hits from items left join (select user_id, count(*) more from events group by user_id) on doc_id = user_id",
     "lint_connections": X.with_(X.VECTORS, _PAIR, r"t as (select 'src:' || doc_id id, regexp_extract_all(text, '\[\[([^\]]+)\]\]', 1) l from documents where text is not null)") + "select a, b, round(s, 6) score from pairs join t x on a = x.id join t y on b = y.id where s >= 0.7 and not list_has_any(x.l, y.l)",
 }
+
+SQL["entities_normalized"] = f"""with tr as ({SQL['triples_normalized']}), b as (select left(entity_type, 1) || left(created_at, 10) doc, trim(unnest([alias, canonical_id])) as name, lower(trim(entity_type)) as type, created_at pos from entity_aliases),
+  c as (select doc, name, case when type in ('concept', 'technique', 'claim') then type else 'concept' end as type, pos from b where name <> '' and doc is not null),
+  o as (select * from c qualify row_number() over (partition by doc, name order by pos nulls first, type) = 1), f as (select * from o qualify row_number() over (partition by doc order by pos nulls first, name) <= 40)
+  select doc, name, type, pos from f where (doc, name) in (select (doc, source) from tr union select (doc, target) from tr)"""

@@ -20,7 +20,9 @@ NOW = 1735689600
 
 
 def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+    """The embedding of vec_id 0, or none, to which nothing is similar."""
+    found = table(spark, sf_dir, "embeddings").where("vec_id = 0 and embedding is not null").select("embedding").first()
+    return [float(x) for x in found[0]] if found else []
 
 
 def _top_tags(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -218,8 +220,8 @@ def search_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_facade_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent tag required, the second boosted."""
-    first, second = _top_tags(spark, sf_dir)
-    return _shaped(spark, sf_dir, require=[first], boost=[second])
+    tags = _top_tags(spark, sf_dir)
+    return _shaped(spark, sf_dir, require=tags[:1], boost=tags[1:])
 
 
 def search_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,3 +23,14 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(SQL) <= set(plans.queries())
+
+
+def test_searches_over_empty_tables(spark, tmp_path):
+    import os
+
+    from mnemora.plans import event_queries, search_queries
+
+    for f in os.listdir(SF):
+        spark.read.parquet(f"{SF}/{f}").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{f}")
+    for name, query in (search_queries.QUERIES | {"ann_recall": event_queries.ann_recall}).items():
+        assert query(spark, str(tmp_path)).count() <= 1, name
