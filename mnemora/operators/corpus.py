@@ -151,13 +151,14 @@ def quality(articles: DataFrame, known: DataFrame, text: str = "text", source: s
     source's key phrases that the article has. coverage: length against 15 % of the source's, from 400 to 6000. wikilink: the share of
     links to ``known(name)``, 1 without links. anti_pattern: 0.1 off for each filler phrase.
     """
-    t, s = F.coalesce(text, F.lit("")), F.coalesce(source, F.lit(""))
-    low = F.lower(t)
+    # phrases and the folded text in columns of their own, so that each is made once
+    articles = articles.select("id", F.coalesce(text, F.lit("")).alias("_t"), F.coalesce(source, F.lit("")).alias("_s"))
+    articles = articles.withColumns({"_low": F.lower("_t"), "_phrases": T.key_phrases(F.col("_s"))})
+    t, s, low, phrases = (F.col(c) for c in ("_t", "_s", "_low", "_phrases"))
     trimmed = F.regexp_replace(t, r"^\s+", "")
     third = lambda c: c.cast("int")
     fences = F.size(F.split(t, "```")) - 1
     format_ = (third(F.startswith(trimmed, F.lit("---")) & F.contains(t, F.lit("concept:"))) + third(t.rlike(r"(?m)^## ")) + third(fences % 2 == 0)) / 3.0
-    phrases = T.key_phrases(s)
     held = F.size(F.filter(phrases, lambda p: F.contains(low, p)))
     some = (t != "") & (s != "")
     grounding = F.when(some & (F.size(phrases) > 0), held / F.size(phrases)).otherwise(F.when(some, 1.0).otherwise(0.0))

@@ -343,6 +343,8 @@ SQL = {
     "removed_cascade": X.with_(_CON, "rem as (select doc_id source from documents where source = 'inbox')", "one as (select name from con group by name having count(*) = 1)", "def as (select distinct source from con where source in (select source from rem) and name in (select name from one))")
     + "select name, count(*)::integer n_sources from con where source not in (select source from rem where source not in (select source from def)) group by name union all select 'deferred:' || source, 0 from def",
     "removed_and_pruned": X.with_(_CON) + "select name, count(*)::integer n_sources from con where source not in (select doc_id from documents where source = 'inbox') group by name",
+    "concept_fold": """with recursive n as (select distinct name, unnest([lower(trim(name)), lower(trim(replace(name, '-', ' ')))]) k from entities where name is not null), e as (select distinct x.name a, y.name b from n x join n y using (k)),
+      r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a as name, b canonical from r qualify row_number() over (partition by a order by length(b) desc, b) = 1""",
     "queue_rows": X.with_(X.ITEMS, _QUEUE) + "select path, hash, size_bytes, tier, hits, status, attempts, coalesce(lease, '') as lease, indexed, embedded, parsed from queue",
     "index_entries": r"""with d as (select coalesce(source_path, '') || '#' || doc_id path, coalesce(source_type, 'article') t, doc_id % 4 tier, text, regexp_extract_all(text, '(?m)^(?:def|func|class) (\w+)', 1) l from documents where trim(coalesce(text, ''), ' ') <> ''),
       s as (select *, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') s from d)
