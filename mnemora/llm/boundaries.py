@@ -153,13 +153,13 @@ def decisions() -> np.ndarray:
 
 def _last(mask: np.ndarray) -> np.ndarray:
     """For each place the last one up to it, itself included, where the mask holds, or -1."""
-    return np.maximum.accumulate(np.where(mask, np.arange(len(mask)), -1))
+    return np.maximum.accumulate(np.where(mask, np.arange(len(mask), dtype=np.int32), np.int32(-1)))
 
 
 def _next(mask: np.ndarray) -> np.ndarray:
     """For each place the first one from it on where the mask holds, or the length."""
     n = len(mask)
-    return np.minimum.accumulate(np.where(mask, np.arange(n), n)[::-1])[::-1]
+    return np.minimum.accumulate(np.where(mask, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
 
 
 class Scan:

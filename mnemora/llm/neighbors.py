@@ -346,7 +346,7 @@ def _asked(bounded: DataFrame, h: Hashing, width: int, chance: float) -> dict[in
     """Tasks that each bucket is copied to, of those that more than ASKED_MOST classes ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             x = _unit(_matrix(b.column(0), np.float32, width))
             yield pa.RecordBatch.from_arrays([pa.array(h.visits(x, _distance(b.column(1)), chance)[1])], ["key"])
             for t in range(h.tables):
@@ -373,7 +373,7 @@ def _visiting(bounded: DataFrame, h: Hashing, width: int, chance: float, parts:
         return part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             k, vec = b.column(0), b.column(1)
             x, low = _unit(_matrix(vec, np.float32, width)), b.column(2).to_numpy(zero_copy_only=False)
             for t in range(h.tables):
@@ -387,14 +387,20 @@ def _visiting(bounded: DataFrame, h: Hashing, width: int, chance: float, parts:
                             at = pa.array(np.full(n - 1, i))
                             yield _rows(np.full(n - 1, key[i]), others, np.full(n - 1, MEMBER), k.take(at), vec.take(at), np.zeros(n - 1))
             rows, keys = h.visits(x, _distance(b.column(2)), chance)
-            for i in range(0, len(rows), 20_000):
-                r, key = rows[i : i + 20_000], keys[i : i + 20_000]
-                at = pa.array(r)
-                yield _rows(key, spread(key, k.take(at)), np.full(len(r), ASKS), k.take(at), vec.take(at), low[r])
+            if len(rows):
+                at = pa.array(rows)
+                yield _rows(keys, spread(keys, k.take(at)), np.full(len(rows), ASKS), k.take(at), vec.take(at), low[rows])
 
     return bounded.select("k", "vec", "low").mapInArrow(run, _ROW)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows``, as visits hold many numbers a row."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def hash_of(name: str) -> int:
     """The same in every process."""
     return reduce(lambda h, c: (h * 31 + c) & 0xFFFFFFFF, name.encode(), 7)

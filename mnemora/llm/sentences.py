@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from mnemora.llm.boundaries import ALPHA, NEW_BLOCK, Scan, symbols
 from mnemora.llm.markup import FIRST_ITEM, GAP, ITEM, RULE, TURN
 from mnemora.llm.transducer import states_before
 
+#: Bytes of texts that are read at once, about; a longer text is read by itself.
+TOGETHER = 1 << 20
+
 # Line symbols.
 PLAIN, BLANK, TICKS, TICKS_INFO, TILDES, TILDES_INFO, HEADING, TABLE, QUOTE, FIRST, OTHER, LINE_RULE, SPEAKER, INDENT, DASHES, OPENING, NEW_TEXT = range(17)
 # Line states: outside any block, in front matter, in fences, in a paragraph, item or turn, in a quotation.
@@ -190,8 +194,10 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            cuts = np.nonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // TOGETHER))[0] + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                part = batch.slice(i, j - i)
                 number, starts, ends = split(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(number, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], [id_col, "start_pos", "end_pos"])
 
