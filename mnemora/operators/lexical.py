@@ -54,7 +54,10 @@ def bm25(docs: DataFrame, key: str, weights: dict[str, float], terms: list[str])
 
 @dataclass
 class Index:
-    """Postings ``(word, key, tf)`` with weighted counts, lengths ``(key, length)``, and how many documents there are, of which mean length."""
+    """Postings ``(word, doc, tf)`` with weighted counts, ``(doc, key, length)`` of the documents, how many there are, and their mean length.
+
+    Numbers ``doc`` ascend with the keys.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -64,11 +67,12 @@ class Index:
 
 def index(docs: DataFrame, key: str, weights: dict[str, float]) -> Index:
     """Takes every text apart once, for any number of queries."""
-    split = durable(docs.select(F.col(key).cast("string").alias("key"), *(words(F.coalesce(c, F.lit(""))).alias(f"w{i}") for i, c in enumerate(weights))))
-    lengths = durable(split.select("key", sum((F.size(f"w{i}") for i in range(len(weights))), F.lit(0)).alias("length")))
+    taken = docs.select(F.col(key).cast("string").alias("key"), *(words(F.coalesce(c, F.lit(""))).alias(f"w{i}") for i, c in enumerate(weights)))
+    split = durable(taken.orderBy("key").withColumn("doc", F.monotonically_increasing_id()))
+    lengths = durable(split.select("doc", "key", sum((F.size(f"w{i}") for i in range(len(weights))), F.lit(0)).alias("length")))
     weighted = lambda i, w: F.transform(f"w{i}", lambda x: F.struct(x.alias("word"), F.lit(float(w)).alias("w")))
     each = F.flatten(F.array(*(weighted(i, w) for i, w in enumerate(weights.values()))))
-    postings = durable(split.select("key", F.explode(each).alias("e")).groupBy("e.word", "key").agg(F.sum("e.w").alias("tf")))
+    postings = durable(split.select("doc", F.explode(each).alias("e")).groupBy("e.word", "doc").agg(F.sum("e.w").alias("tf")))
     n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
     return Index(postings, lengths, n, float(mean or 1.0))
 
@@ -79,22 +83,25 @@ def search(found: Index, queries: DataFrame, limit: int) -> DataFrame:
     Terms are prefixes of words, repeats count once. All queries share one plan: words meet the prefixes by their first characters, in
     as many lengths as the prefixes have; a word's postings are read once for each prefix, whatever the number of queries.
     """
-    asked = durable(queries.where("term is not null and term <> ''").select("query", "term").distinct())
+    told = queries.where("term is not null and term <> ''").select("query", "term").distinct()
+    names = durable(told.select("query").distinct().withColumn("q", F.monotonically_increasing_id()))
+    asked = durable(told.join(names, "query").select("q", "term"))
     prefixes = asked.select("term").distinct()
     sizes = [r[0] for r in prefixes.select(F.length("term")).distinct().collect()]  # lengths of terms: a few dozen
     if not sizes or not found.documents:
-        return asked.select("query", F.lit("").alias("key"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
+        return names.select("query", F.lit("").alias("key"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
     starts = F.filter(F.array(*(F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in sorted(sizes))), lambda x: x.isNotNull())
     heads = found.postings.select("word").distinct().select("word", F.explode(starts).alias("term")).join(prefixes, "term", "left_semi")
-    hits = durable(found.postings.join(heads, "word").groupBy("term", "key").agg(F.sum("tf").alias("tf")))
+    hits = durable(found.postings.join(heads, "word").groupBy("term", "doc").agg(F.sum("tf").alias("tf")))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(IDF_LEAST), F.log((F.lit(found.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = K1 * (1 - B + B * F.col("length") / F.lit(found.mean))
-    worth = hits.join(found.lengths, "key").join(df.select("term", idf.alias("idf")), "term")
-    worth = worth.select("term", "key", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
-    scored = asked.join(worth, "term").groupBy("query", "key").agg(F.round(F.sum("part"), 9).alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    worth = hits.join(found.lengths, "doc").join(df.select("term", idf.alias("idf")), "term")
+    worth = worth.select("term", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("part"))
+    scored = asked.join(worth, "term").groupBy("q", "doc").agg(F.round(F.sum("part"), 9).alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return top.join(names, "q").join(found.lengths.select("doc", "key"), "doc").select("query", "key", "score", "rank")
 
 
 def ranked(scored: DataFrame, key: str, limit: int, score: str = "score", digits: int = 9) -> DataFrame:
