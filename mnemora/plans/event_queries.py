@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import chunking, providers
 from mnemora.operators import cells, graph, louvain
 from mnemora.plans import fixtures as X
-from mnemora.runtime import table
+from mnemora.runtime import durable, table
 from mnemora.sources import code
 from mnemora.streaming import events as E
 
@@ -61,12 +61,12 @@ def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of cells against all rows, for every vector whose number is divisible by 100."""
-    v = X.vectors(spark, sf_dir)
+    v = durable(X.vectors(spark, sf_dir))
     q = v.where("cast(regexp_extract(id, '([0-9]+)', 1) as long) % 100 = 0")
     c = cells.fit(v, "id", 64)
-    near = cells.search(v, q, "id", c, 12)
+    near = cells.search(v, q, "id", c, 12).select("query", "other", F.lit(1).alias("near"))
     exact = cells.search(v, q, "id", c, len(c))
-    return exact.join(near.select("query", "other"), ["query", "other"]).agg(F.round(F.count("*") / F.lit(max(exact.count(), 1)), 4).alias("recall"))
+    return exact.join(near, ["query", "other"], "left").agg(F.round(F.count("near") / F.greatest(F.count("*"), F.lit(1)), 4).alias("recall"))
 
 
 #: Fenced blocks: fence, language, code.

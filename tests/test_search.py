@@ -66,6 +66,24 @@ def test_cells_find_most_neighbours(spark):
     assert cells.search(v, v, "id", c, 5).select("query", "other").intersect(exact).count() > 3000
 
 
+def test_cells_take_matrix_products_not_joined_pairs(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).standard_normal((300, 8)).astype(np.float32)
+    x[200:] = x[:100]  # ties
+    rows = [(f"r{i:03}", r.tolist()) for i, r in enumerate(x)] + [("none", None), ("zero", [0.0] * 8)]
+    v = spark.createDataFrame(rows, "id string, embedding array<float>")
+    q = v.where("id < 'r050'")
+    c = cells.fit(v.where("embedding is not null"), "id", 6)
+    found = cells.search(v, q, "id", c, 6, 5, block=16)
+    assert "Join" not in found._jdf.queryExecution().simpleString()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    want = {(f"r{i:03}", f"r{j:03}", n + 1) for i in range(50) for n, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-scores[i, j], j))[:5])}
+    assert {(r.query, r.other, r["rank"]) for r in found.collect()} == want
+    assert cells.search(v, q.limit(0), "id", c, 6).count() == 0
+
+
 def test_text_expressions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(T.token_estimate(F.lit(x))) for x in ("abcdefg", "日本語", "日本語abcd", "")] == [1, 4, 5, 0]
