@@ -56,6 +56,55 @@ def test_two_triangles(spark):
     assert louvain.communities(e.limit(0)).count() == 0
 
 
+def test_louvain_of_more_edges_than_two_million(spark):
+    e = spark.range(2_000_002).selectExpr("concat('n', id % 6) source_id", "concat('n', case when id % 6 = 5 and id < 999 then 0 else (id % 6) div 3 * 3 + (id + 1) % 3 end) target_id")
+    found = {(r.id, r.community) for r in louvain.communities(e).where("level = 0").collect()}
+    assert found == {(f"n{i}", f"n{i // 3 * 3}") for i in range(6)}
+
+
+def test_louvain_is_the_sequential_one(spark, monkeypatch):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(3)
+    pairs = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(260)) if a % 4 == b % 4 or rng.random() < 0.2]
+    name = lambda i: f"n{i:02}"
+    weights = defaultdict(lambda: defaultdict(float))
+    for a, b in pairs:
+        if a != b:
+            weights[name(a)][name(b)] += 1
+            weights[name(b)][name(a)] += 1
+    size = {n: sum(x.values()) for n, x in weights.items()}
+    total, of, load, moved = sum(size.values()), {n: n for n in weights}, dict(size), True
+    while moved:
+        moved = False
+        for n in sorted(weights):
+            pull = defaultdict(float)
+            for v, w in weights[n].items():
+                pull[of[v]] += w
+            home = best = of[n]
+            load[home] -= size[n]
+            pull.setdefault(home, 0.0)
+            most = 0.0
+            for c in sorted(pull):
+                if (gain := pull[c] - load[c] * size[n] / total) > most + louvain.MOVE:
+                    best, most = c, gain
+            load[best] += size[n]
+            moved |= best != home
+            of[n] = best
+    least = {c: min(n for n in of if of[n] == c) for c in set(of.values())}
+    e = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "source_id string, target_id string")
+    for wide in (0, 200):
+        monkeypatch.setattr(louvain, "WIDE", wide)
+        index = {n: i for i, n in enumerate(sorted(weights))}
+        rows = [(index[n], index[v], w) for n in sorted(weights) for v, w in sorted(weights[n].items())]
+        import numpy as np
+
+        m = louvain.Matrix([tuple(np.array(x) for x in zip(*rows))], len(index))
+        assert dict(zip(sorted(weights), louvain.levels(m)[0].tolist())) == {n: index[least[of[n]]] for n in of}
+    assert {(r.id, r.community) for r in louvain.communities(e).where("level = 0").collect()} == {(n, least[of[n]]) for n in of}
+
+
 def test_components_circles_and_neighbours(spark):
     links = spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "z")], "a string, b string")
     assert {r.id: r.component for r in graph.components(links).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "z"}
