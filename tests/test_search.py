@@ -84,6 +84,19 @@ def test_cells_take_matrix_products_not_joined_pairs(spark):
     assert cells.search(v, q.limit(0), "id", c, 6).count() == 0
 
 
+def test_bm25_batch_hands_on_the_best_of_blocks_only(spark):
+    docs = spark.range(3000).selectExpr("concat('d', lpad(id, 4, '0')) id", "concat('alpha ', if(id % 3 = 0, 'alphabet ', ''), repeat('beta ', cast(id % 7 as int))) content")
+    asked = spark.range(40).selectExpr("concat('q', id) query", "explode(array('alpha', if(id % 2 = 0, 'beta', 'alphab'))) term")
+    built = lexical.index(docs, "id", {"content": 1.0})
+    found = lexical.search(built, asked, 5)
+    rows = found.collect()
+    for q, terms in (("q0", ["alpha", "beta"]), ("q1", ["alpha", "alphab"])):
+        want = lexical.ranked(lexical.bm25(docs, "id", {"content": 1.0}, terms), "id", 5).collect()
+        assert sorted((r["rank"], r.key, r.score) for r in rows if r["query"] == q) == [(r["rank"], r.id, r.score) for r in want]
+    assert len(rows) == 200
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # instead of a row for each query and document
+
+
 def test_text_expressions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(T.token_estimate(F.lit(x))) for x in ("abcdefg", "日本語", "日本語abcd", "")] == [1, 4, 5, 0]
