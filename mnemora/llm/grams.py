@@ -60,13 +60,17 @@ class Bayes:
 
     def freeze(self) -> Bayes:
         """Turns n-grams into one matrix of logs, a row each and a column a label; the last row is of unknown ones."""
-        self.labels = sorted(self.parts)
-        counted = [np.unique(np.concatenate(self.parts[x]), return_counts=True) for x in self.labels]
+        return self.counted({x: np.unique(np.concatenate(found), return_counts=True) for x, found in self.parts.items()})
+
+    def counted(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], sizes: dict[str, int] | None = None, different: int | None = None) -> Bayes:
+        """From the keys of each label and how often it has them; where these are a part, ``sizes`` and ``different`` are of all."""
+        self.labels = sorted(counts)
+        counted = [counts[x] for x in self.labels]
         self.known = np.unique(np.concatenate([k for k, _ in counted])) if counted else np.zeros(0, np.uint64)
         logs = np.full((len(self.known) + 1, len(self.labels)), self.alpha)
         for j, (k, n) in enumerate(counted):
             logs[np.searchsorted(self.known, k), j] += n
-        size = np.array([n.sum() + self.alpha * len(logs) for _, n in counted])
+        size = np.array([(sizes[x] if sizes else n.sum()) + self.alpha * (len(self.known) if different is None else different) + self.alpha for x, (_, n) in zip(self.labels, counted)])
         self.logs = np.log(logs / size).astype(np.float32)
         self.parts = {}
         return self

@@ -1,6 +1,6 @@
 """Defects of prompt and response pairs.
 
-Three small models are fitted on a bounded sample of the rows: a naive Bayes model of languages on character n-grams, one
+Three models are fitted on counts of all rows: a naive Bayes model of languages on character n-grams, one
 of answers that decline on word n-grams, and a model of how likely a text is to end after its last characters. Every pair is
 then judged by itself, next to its ground truth.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import log
 
 import numpy as np
@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.llm import grams
+from mnemora.runtime import durable
 
-#: Rows that the models are fitted on at most, those of the smallest hash; texts with a known language, of each language; and languages, those with most texts.
-FITTED_MOST, LABELLED_MOST, LANGUAGES_MOST = 12_000, 200, 64
 #: Longest context of the model of ends, and how often a context must have been seen.
 #: And how much of a longer text without a final stop must have been seen before.
 CONTEXT, SEEN_LEAST, KNOWN = 14, 4, 9
@@ -79,6 +78,8 @@ TELLING = 40
 #: By what an n-gram another language must explain an answer better at first, in logs, for it not to count for its question's.
 LEAVES = 0.12
 OTHER = "other"
+#: N-grams that all labelled texts of a language count as at most, so that smoothing favours no language for having few.
+LABELLED_WEIGHT = 600_000
 
 
 class Languages:
@@ -162,12 +163,7 @@ class Languages:
 
 def _elsewhere(texts: list[np.ndarray], same: np.ndarray, seeds: grams.Bayes, language: int) -> list[bool]:
     """Whether the n-grams of each text that the language lacks stand with questions of other languages, mostly."""
-    lacked = []
-    for g in texts:
-        g = np.unique(g)
-        at = np.minimum(np.searchsorted(seeds.known, g), max(0, len(seeds.known) - 1))
-        lacks = (seeds.known[at] != g) | (seeds.logs[at, language] <= seeds.logs[-1, language])
-        lacked.append(g[lacks])
+    lacked = [_lacked(g, seeds, language) for g in texts]
     if not lacked:
         return []
     every = np.unique(np.concatenate(lacked))
@@ -178,6 +174,12 @@ def _elsewhere(texts: list[np.ndarray], same: np.ndarray, seeds: grams.Bayes, la
     return [bool(len(g)) and float(ratio[np.searchsorted(every, g)].mean()) > log(ELSEWHERE) for g in lacked]
 
 
+def _lacked(g: np.ndarray, seeds: grams.Bayes, language: int) -> np.ndarray:
+    g = np.unique(g)
+    at = np.minimum(np.searchsorted(seeds.known, g), max(0, len(seeds.known) - 1))
+    return g[(seeds.known[at] != g) | (seeds.logs[at, language] <= seeds.logs[-1, language])]
+
+
 def _each(found: np.ndarray, of: np.ndarray, texts: int) -> list[np.ndarray]:
     return np.split(found, np.searchsorted(of, np.arange(1, texts)))
 
@@ -209,7 +211,23 @@ class Ends:
 
     def __init__(self, texts: list[tuple[str, bool]]):
         """From texts and whether they are known to be complete; the end of any other counts only after a final mark."""
-        plain = [(self._plain(t), complete) for t, complete in texts]
+        found, seen, ended = [], [], []
+        for keys, number, over, whole in self.contexts(texts):
+            kept = whole | (number >= SEEN_LEAST)
+            found.append(keys[kept])
+            seen.append(number[kept])
+            ended.append(over[kept])
+        self._sorted(np.concatenate(found), np.concatenate(seen), np.concatenate(ended))
+
+    def _sorted(self, found: np.ndarray, seen: np.ndarray, ended: np.ndarray) -> Ends:
+        order = np.argsort(found, kind="stable")
+        self.found, self.seen, self.ended = found[order], seen[order], ended[order]
+        return self
+
+    @classmethod
+    def contexts(cls, texts: list[tuple[str, bool]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length the keys of contexts, how often they were seen and ended, and which are a text from its start."""
+        plain = [(cls._plain(t), complete) for t, complete in texts]
         folded = [t.casefold() for t, _ in plain]
         shown = [t if len(t) == len(f) else f for (t, _), f in zip(plain, folded)]
         t, n = grams.codes([_START + x + _OVER for x in folded])
@@ -227,7 +245,6 @@ class Ends:
         ends |= over
         counts = (at >= 1) & (~over | complete | _in(p, _STOPS + _CLOSERS))
         # keys of the n characters before each place
-        found, seen, ended = [], [], []
         h = np.zeros(len(t), np.uint64)
         for k in range(1, CONTEXT + 1):
             h = np.concatenate([np.zeros(1, np.uint64), grams.chained(h[:-1], t[:-1])]) if len(t) else h
@@ -235,13 +252,7 @@ class Ends:
             keys, inverse, number = np.unique(h[valid], return_inverse=True, return_counts=True)
             whole = np.zeros(len(keys), bool)
             whole[inverse[at[valid] == k]] = True
-            kept = whole | (number >= SEEN_LEAST)
-            found.append(keys[kept])
-            seen.append(number[kept])
-            ended.append(np.bincount(inverse, ends[valid], len(keys))[kept])
-        found = np.concatenate(found)
-        order = np.argsort(found, kind="stable")
-        self.found, self.seen, self.ended = found[order], np.concatenate(seen)[order], np.concatenate(ended)[order]
+            yield keys, number, np.bincount(inverse, ends[valid], len(keys)), whole
 
     @staticmethod
     def _plain(text: str) -> str:
@@ -251,12 +262,8 @@ class Ends:
     def chances(self, texts: list[str]) -> list[float]:
         """The chance of each; none for a text without a stop that ends in a word never seen there."""
         whole = [_START + self._plain(t).casefold() for t in texts]
-        last = np.array([[ord(c) for c in t[-CONTEXT:].rjust(CONTEXT, "\0")] for t in whole], np.uint64).reshape(-1, CONTEXT)
         seen, share = np.zeros((len(texts), CONTEXT + 1)), np.zeros((len(texts), CONTEXT + 1))
-        for n in range(1, CONTEXT + 1):
-            h = np.zeros(len(texts), np.uint64)
-            for k in range(CONTEXT - n, CONTEXT):
-                h = grams.chained(h, last[:, k])
+        for n, h in enumerate(self._last(whole), 1):
             if len(self.found):
                 at = np.minimum(np.searchsorted(self.found, h), len(self.found) - 1)
                 hit = self.found[at] == h
@@ -264,6 +271,21 @@ class Ends:
                 share[:, n] = np.where(hit, self.ended[at] / self.seen[at], 0)
         return [self._chance(t, s, e) for t, s, e in zip(whole, seen.tolist(), share.tolist())]
 
+    @staticmethod
+    def _last(whole: list[str]) -> Iterator[np.ndarray]:
+        """Keys of the last characters of each text, one, two and so on."""
+        last = np.array([[ord(c) for c in t[-CONTEXT:].rjust(CONTEXT, "\0")] for t in whole], np.uint64).reshape(-1, CONTEXT)
+        for n in range(1, CONTEXT + 1):
+            h = np.zeros(len(whole), np.uint64)
+            for k in range(CONTEXT - n, CONTEXT):
+                h = grams.chained(h, last[:, k])
+            yield h
+
+    @classmethod
+    def asked(cls, texts: list[str]) -> np.ndarray:
+        """Keys that ``chances`` of the texts looks up."""
+        return np.unique(np.concatenate(list(cls._last([_START + cls._plain(t).casefold() for t in texts]))))
+
     @staticmethod
     def _chance(t: str, seen: list[float], share: list[float]) -> float:
         word = re.search(r"[^\W\d]+$", t)
@@ -442,36 +464,259 @@ def fit(pairs: list[tuple], labelled: list[tuple[str, str]]) -> tuple[Languages,
     return languages, ends, declines
 
 
-def broken(rows: DataFrame, labelled: DataFrame, most: int = FITTED_MOST, each: int = LABELLED_MOST, languages: int = LANGUAGES_MOST) -> DataFrame:
-    """``(question_id, defect)`` of every defective pair, each once.
+Tallied = Callable[[list[tuple]], Iterable[tuple[str, np.ndarray]]]
 
-    ``rows`` has question_id, question, ground_truth, is_abstention and generated_answer, ``labelled`` texts and
-    their languages, ``(lang, text)``. A null answer is empty; a null question is in no language and copied by no answer;
-    without a truth no answer holds it. An empty input gives an empty result. The models are fitted on at most
-    ``most`` rows, those of the smallest hash, and on ``each`` whole texts, likewise, of each of the ``languages`` languages that
-    have most; every row is judged.
-    """
-    names = ["question_id", "question", "ground_truth", "is_abstention", "generated_answer"]
-    once = rows.select(*names).where("question_id is not null")
-    sample = [tuple(r) for r in once.dropDuplicates(names).orderBy(F.xxhash64("question_id", "generated_answer"), *names).limit(most).collect()]
-    models = fit(sample, _few(labelled, each, languages))
-    shared = rows.sparkSession.sparkContext.broadcast(models)  # bounded by ``most``, ``each`` and ``languages``
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                rows = list(zip(*(c.to_pylist() for c in batch.slice(i, 2048).columns)))
-                out = [(r[0], d) for r, found in zip(rows, defects_of(rows, *shared.value)) for d in found]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([d for _, d in out], pa.string())], ["question_id", "defect"])
+def _tallied(df: DataFrame, each: Tallied, rows: int = 2048) -> DataFrame:
+    """``(label, key, n)``: how often each label has each key that ``each`` finds in some rows. Tasks add up before they hand on."""
 
-    return once.mapInArrow(run, "question_id string, defect string").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new: dict[str, list] = defaultdict(list)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def fold() -> None:
+            for label, found in new.items():
+                v = pa.array(np.concatenate(found)).value_counts()
+                keys, n = v.field(0).to_numpy(), v.field(1).to_numpy()
+                if label in held:
+                    keys, at = np.unique(np.concatenate([held[label][0], keys]), return_inverse=True)
+                    n = np.bincount(at, np.concatenate([held[label][1], n])).astype(np.int64)
+                held[label] = keys, n
+            new.clear()
+
+        size = 0
+        for part in _parts(batches, rows):
+            for label, found in each(part):
+                new[label].append(found)
+                size += len(found)
+            if size > 4_000_000:
+                fold()
+                size = 0
+        fold()
+        for label, (keys, n) in held.items():
+            for i in range(0, len(keys), 65_536):
+                k = keys[i : i + 65_536].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(k), pa.string()), pa.array(k), pa.array(n[i : i + 65_536])], ["label", "key", "n"])
+
+    return df.mapInArrow(run, "label string, key long, n long").groupBy("label", "key").agg(F.sum("n").alias("n"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[list[tuple]]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield list(zip(*(c.to_pylist() for c in batch.slice(i, rows).columns)))
+
+
+def _mapped(df: DataFrame, each: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``each`` makes of some rows."""
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[kind]) for name, kind in fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            columns = list(zip(*each(part))) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds.types)], schema=kinds)
+
+    return df.mapInArrow(run, schema)
+
+
+def _counts(tallied: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    t = tallied.select("label", "key", "n").toArrow()
+    labels = np.array(t.column(0).to_pylist(), object)
+    keys, n = (t.column(i).to_numpy() for i in (1, 2))
+    out = {}
+    for x in sorted(set(labels.tolist())):
+        own = np.nonzero(labels == x)[0]
+        own = own[np.argsort(keys[own].view(np.uint64))]
+        out[x] = keys[own].view(np.uint64), n[own]
+    return out
+
+
+def _bayes(tallied: DataFrame, wanted: DataFrame) -> grams.Bayes:
+    """Of all that was counted, without what isn't wanted."""
+    sizes = {r.label: r.n for r in tallied.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    counts = _counts(tallied.join(wanted, "key", "left_semi"))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return grams.Bayes().counted({x: counts.get(x, none) for x in sizes}, sizes, tallied.select("key").distinct().count())
+
+
+def _by_label(labels: list[str], texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    for label in dict.fromkeys(labels):
+        yield label, grams.keys([t for x, t in zip(labels, texts) if x == label])[0]
+
+
+def _languages(usable: DataFrame, labelled: DataFrame) -> Languages:
+    """Languages() of all rows, by counts."""
+    share = usable.sparkSession.sparkContext.broadcast
+    languages = Languages([], [])
+    named = durable(_tallied(labelled.select("lang", "text"), lambda rows: _by_label(*map(list, zip(*rows))), 256))
+    pairs = usable.where("question <> ''").select("question", "generated_answer")
+    if named.isEmpty() or pairs.isEmpty():
+        return languages
+    weight = named.groupBy("label").agg(F.least(F.lit(1.0), F.lit(LABELLED_WEIGHT) / F.sum("n")).alias("weight"))
+    named = durable(named.join(F.broadcast(weight), "label").select("label", "key", (F.col("n") * F.col("weight")).alias("n")))  # a row each language
+    texts = pairs.select(F.explode(F.array("question", "generated_answer")).alias("text")).where("text <> ''").distinct()
+    wanted = durable(_tallied(texts, lambda rows: [("", grams.keys([t for (t,) in rows])[0])]).select("key"))
+    first = share(_bayes(named, wanted))
+
+    def guessed(rows: list[tuple]) -> list[tuple]:
+        best = first.value.logliks(*grams.keys([q for q, _ in rows]), len(rows)).argmax(1)
+        return [(q, a, first.value.labels[j]) for (q, a), j in zip(rows, best.tolist())]
+
+    known = durable(_mapped(pairs.distinct(), guessed, "question string, answer string, label string"))
+    asked = _tallied(known.select("label", "question").distinct(), lambda rows: _by_label(*map(list, zip(*rows))))
+    both = named.join(known.select("label").distinct(), "label", "left_semi").unionByName(asked.select("label", "key", F.col("n").cast("double")))
+    seeds = share(_bayes(durable(both.groupBy("label", "key").agg(F.sum("n").alias("n"))), wanted))
+    stood = known.select(F.explode(F.array("question", "answer")).alias("text"), "label").where("text <> ''").groupBy("text").agg(F.array_join(F.array_sort(F.collect_set("label")), " ").alias("labels"))  # at most all languages
+
+    def rated(rows: list[tuple]) -> list[tuple]:
+        """Language, the question's language, rate of an n-gram, and n-grams of each text."""
+        m, (found, of) = seeds.value, grams.keys([t for t, _ in rows])
+        values, out = m.logliks(found, of, len(rows)), []
+        for (t, labels), v, n in zip(rows, values, np.maximum(1, np.bincount(of, minlength=len(rows))).tolist()):
+            at = max((m.labels.index(x) for x in labels.split(" ")), key=lambda j: v[j])
+            best = at if v.max() - v[at] < LEAVES * n else int(v.argmax())
+            out.append((t, best, at, float(v[best]) / n, n))
+        return out
+
+    rows = durable(_mapped(stood, rated, "text string, best int, asked int, rate double, n long").where(F.col("n") >= TELLING))
+    by = Window.partitionBy("best")
+    order = rows.select("best", "rate", F.row_number().over(by.orderBy("rate")).alias("at"), F.count("*").over(by).alias("of"))
+    middle = order.where("at in (floor((of + 1) / 2), floor(of / 2) + 1)").groupBy("best").agg(F.avg("rate").alias("rate"))
+    usual = share({r.best: r.rate for r in middle.collect()})
+
+    def odd(part: list[tuple]) -> list[tuple]:
+        """``(row, its n-grams)`` of odd texts."""
+        near = [i for i, r in enumerate(part) if r[3] < usual.value[r[1]] - ODD]
+        split = _each(*grams.keys([part[i][0] for i in near]), len(near)) if near else []
+        return [(i, g) for i, g in zip(near, split) if sum(c > "\u2e80" for c in grams.letters(part[i][0])) * 12 < len(g)]
+
+    def lacking(part: list[tuple]) -> Iterator[tuple[str, np.ndarray]]:
+        for i, g in odd(part):
+            yield f"{part[i][1]} {int(part[i][2] == part[i][1])}", _lacked(g, seeds.value, part[i][1])
+
+    seen = _counts(_tallied(rows, lacking))
+    ratios = {}
+    for j in {int(x.split()[0]) for x in seen}:
+        found = [seen.get(f"{j} {same}", (np.zeros(0, np.uint64), np.zeros(0))) for same in (0, 1)]
+        every = np.unique(np.concatenate([k for k, _ in found]))
+        counts = np.full((2, len(every)), 0.5)
+        for same, (k, n) in enumerate(found):
+            counts[same, np.searchsorted(every, k)] += n
+        ratios[j] = every, np.log(counts[0] / counts[1])
+    told = share(ratios)
+
+    def labels(part: list[tuple]) -> Iterator[tuple[str, np.ndarray]]:
+        strange = set()
+        for i, g in odd(part):
+            lacked = _lacked(g, seeds.value, part[i][1])
+            if len(lacked):
+                every, ratio = told.value[part[i][1]]
+                if float(ratio[np.searchsorted(every, lacked)].mean()) > log(ELSEWHERE):
+                    strange.add(i)
+        yield from _by_label([OTHER if i in strange else seeds.value.labels[r[1]] for i, r in enumerate(part)], [r[0] for r in part])
+
+    languages.model = grams.Bayes().counted(_counts(_tallied(rows, labels)))
+    shared = share(languages)
+
+    def tails(part: list[tuple]) -> list[tuple]:
+        m = shared.value
+        apart = m.apart(m.posteriors([q for q, _ in part], asked=True), m.posteriors([t for _, t in part]))
+        return [(_tail_words(q),) for (q, _), x in zip(part, apart.tolist()) if x > FOREIGN_LEAST]
+
+    truths = usable.where("question <> '' and ground_truth <> '' and not abstains").select("question", "ground_truth")
+    languages.asking = {r.words for r in _mapped(truths, tails, "words string").groupBy("words").count().where("count >= 2").collect()}
+    return languages
+
+
+def _ends(usable: DataFrame, truths: DataFrame) -> Ends:
+    """Ends() of all rows, of the contexts that their answers end with."""
+    keys = _tallied(usable.select("generated_answer"), lambda rows: [("", Ends.asked([a for (a,) in rows]))])
+    wanted = np.sort(keys.select("key").toArrow().column(0).to_numpy().view(np.uint64))
+    shared = usable.sparkSession.sparkContext.broadcast(wanted)
+    texts = usable.select(F.col("generated_answer").alias("text"), "ground_truth").unionByName(truths.select(F.col("ground_truth").alias("text"), "ground_truth"))
 
-def _few(labelled: DataFrame, each: int, languages: int) -> list[tuple[str, str]]:
-    """At most ``each`` texts, by hash, of each of the ``languages`` languages with most; partitions keep no more before they are shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        seen, ended = np.zeros(len(wanted), np.int64), np.zeros(len(wanted))
+        for part in _parts(batches):
+            for keys, number, over, _ in Ends.contexts([(a, bool(t) and bool(normal(t)) and normal(a).endswith(normal(t))) for a, t in part]):
+                at = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
+                hit = np.nonzero(wanted[at] == keys)[0]
+                seen[at[hit]] += number[hit]
+                ended[at[hit]] += over[hit]
+        held = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held]), pa.array(ended[held])], ["at", "seen", "ended"])
+
+    t = texts.mapInArrow(run, "at long, seen long, ended double").groupBy("at").agg(F.sum("seen"), F.sum("ended")).toArrow()
+    at, seen, ended = (t.column(i).to_numpy() for i in range(3))
+    return Ends.__new__(Ends)._sorted(wanted[at], seen, ended)
+
+
+def _declines(usable: DataFrame, truths: DataFrame) -> Declines:
+    """Declines() of all rows, by counts."""
+    declines = Declines([])
+    known = usable.select("question", "generated_answer", "abstains").unionByName(truths.select("question", F.col("ground_truth").alias("generated_answer"), F.lit(False).alias("abstains")))
+
+    def fitted(first: WordBayes | None) -> WordBayes:
+        before = Declines([])
+        if first:
+            before.model = first
+        shared = usable.sparkSession.sparkContext.broadcast(before)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: dict[bool, Counter] = {False: Counter(), True: Counter()}
+            texts: Counter = Counter()
+            for part in _parts(batches):
+                for q, a, abstains in part:
+                    f = Declines.features(a, q)
+                    if first is None or (shared.value._score(f) > 0) == abstains:
+                        counts[abstains].update(f)
+                        texts[abstains] += 1
+            rows = [("declines" if x else "answers", f, n) for x, c in counts.items() for f, n in [*c.items(), *([(None, texts[x])] if texts[x] else [])]]
+            for i in range(0, len(rows), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 65_536]), (pa.string(), pa.string(), pa.int64()))], ["label", "word", "n"])
+
+        t = known.where("generated_answer <> ''").mapInArrow(run, "label string, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n")).toArrow()
+        out = WordBayes(0.1)
+        for label, word, n in zip(*(t.column(i).to_pylist() for i in range(3))):
+            if word is None:
+                out.texts[label] = n
+                out.counts[label].update()
+            else:
+                out.counts[label][word] = n
+                out.totals[label] += n
+        return out.freeze()
+
+    declines.model = fitted(None)
+    if len(declines.model.labels) == 2:
+        declines.model = fitted(declines.model)
+    return declines
+
+
+def fitted(rows: DataFrame, labelled: DataFrame) -> tuple[Languages, Ends, Declines]:
+    """The models of ``fit`` over tables of any size: all that is learned from them is counted where they lie.
+
+    Where a language's labelled texts have more than LABELLED_WEIGHT n-grams, their counts are all scaled down to that sum.
+    """
+    names = ["question_id", "question", "ground_truth", "is_abstention", "generated_answer"]
+    keep = lambda part: [(*r, is_abstention(r[0], r[3])) for r in part if not is_empty(r[4], r[2])]
+    usable = durable(_mapped(rows.select(*names).distinct(), keep, "question_id string, question string, ground_truth string, is_abstention boolean, generated_answer string, abstains boolean"))
     of = F.lower(F.regexp_extract("lang", r"^\s*([A-Za-z]{2,3})\b", 1))
     texts = labelled.where("length(text) > 40").select(of.alias("lang"), "text").where("lang <> ''")
-    common = [r.lang for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    few = texts.where(F.col("lang").isin(common)).withColumn("at", F.row_number().over(order)).where(F.col("at") <= each)
-    return [(r.lang, r.text) for r in few.orderBy("lang", "at").collect()]
+    truths = durable(usable.where("ground_truth <> '' and not abstains").select(F.coalesce("question", F.lit("")).alias("question"), "ground_truth").distinct())
+    return _languages(usable, texts), _ends(usable, truths), _declines(usable, truths)
+
+
+def broken(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``(question_id, defect)`` of every defective pair, each once.
+
+    ``rows`` has question_id, question, ground_truth, is_abstention and generated_answer, ``labelled`` texts and
+    their languages, ``(lang, text)``. A null answer is empty; a null question is in no language and copied by no answer;
+    without a truth no answer holds it. An empty input gives an empty result. The models are fitted on all rows and
+    all labelled texts; every row is judged.
+    """
+    once = rows.select("question_id", "question", "ground_truth", "is_abstention", "generated_answer").where("question_id is not null")
+    shared = rows.sparkSession.sparkContext.broadcast(fitted(once, labelled))
+    judged = _mapped(once, lambda part: [(r[0], d) for r, found in zip(part, defects_of(part, *shared.value)) for d in found], "question_id string, defect string")
+    return judged.distinct()

@@ -66,3 +66,18 @@ def test_the_operator_counts_repeats_once(spark, rows, labelled):
     got = sorted((r.question_id, r.defect) for r in pairs.broken(df, texts).where("question_id like 'b%'").collect())
     assert got == sorted((b[0], b[5][0]) for b in BAD if b[5])
     assert pairs.broken(df.limit(0), texts.limit(0)).count() == 0
+
+
+def test_models_count_every_row(spark, rows, labelled):
+    import numpy as np
+
+    schema = "question_id string, question string, ground_truth string, is_abstention boolean, generated_answer string, judgment string"
+    texts = [x for x in labelled if len(x[1]) > 40] * 5  # more than 200 a language
+    got = pairs.fitted(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(texts, "lang string, text string"))
+    want = pairs.fit(list(dict.fromkeys(r[:5] for r in rows)), texts)
+    a, b = got[0].model, want[0].model
+    assert a.labels == b.labels and np.array_equal(a.known, b.known) and np.allclose(a.logs, b.logs) and got[0].asking == want[0].asking
+    answers = [r[4] for r in rows] + [x[4] for x in BAD if x[4]]
+    assert got[2].model.logs == want[2].model.logs and got[2].model.texts == want[2].model.texts
+    known = [r[4] for r in rows]
+    assert got[1].chances(known) == want[1].chances(known) and len(answers) > len(known)
